@@ -6,7 +6,11 @@ SPACE_CHARS = (
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 # The same set as the inside of a Java character class.
-SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# The beyond-Latin part is tested as one range first, so that usual characters fail it at once.
+SPACE = (
+    r" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
+    r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
+)
 WS = f"[{SPACE}]"
 
 # Service names looked for in a file name, first hit wins.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolog.functions.text import let, pinned
+
 STRICT = {"allowSingleQuotes": "false"}
 OBJECT = "map<string,variant>"
 # Texts that count as "no value" unless they are strings.
@@ -33,7 +35,7 @@ def with_json_object(df: DataFrame, line: str, out: str = "record") -> DataFrame
     return (
         df.withColumn("_wrapped", wrapped)
         .withColumn("_inner", F.when(whole, inner))
-        .withColumn(out, last_wins(F.col("_inner")))
+        .withColumn(out, pinned(last_wins(F.col("_inner"))))
         .drop("_wrapped", "_inner")
     )
 
@@ -84,5 +86,7 @@ def as_object(value: Column) -> Column:
 
 def truthy(value: Column) -> Column:
     """Text of a value that is present and not empty, zero, false or null; else NULL."""
-    shown = text(value)
-    return F.when((shown != "") & (~shown.isin(EMPTY_TEXTS) | is_string(value)), shown)
+    return let(
+        text(value),
+        lambda shown: F.when((shown != "") & (~shown.isin(EMPTY_TEXTS) | is_string(value)), shown),
+    )

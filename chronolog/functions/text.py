@@ -21,7 +21,7 @@ def strip(text: Column) -> Column:
 
 
 def nonempty(text: Column) -> Column:
-    return F.when(text != "", text)
+    return F.nullif(text, F.lit(""))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -29,6 +29,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def pinned(column: Column) -> Column:
+    """A column whose expression stays in its own projection.
+
+    Catalyst moves a filter below the projections it reads from, copying their expressions; with
+    columns built on one another that multiplies the work. A condition that Spark must not move,
+    though it always holds, keeps such filters above.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
 def contains_any(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 

@@ -1,45 +1,100 @@
-"""Record columns of JSON objects. Every function takes the object as ``MAP<STRING, VARIANT>``."""
+"""Record columns of JSON objects.
+
+A ``View`` of the objects is worked out once; the column functions then only look things up in it.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolog.functions import records as R
 from chronolog.functions.fixed import ERROR_KEYS, MARKED_LEVELS
-from chronolog.functions.text import contains_any, title_case
+from chronolog.functions.text import contains_any, let, title_case
 from chronolog.functions.versions import UNKNOWN, version_from_text
 
-
-def named_level(record: Column) -> Column:
+# Keys whose values fill record columns, at the top and inside objects.
+TOP_KEYS = [
+    "level", "log.level", "pid", "process.id", "tr", "lg", "logger", "component", "app_id", "tn",
+    "cluster.name", "node.name", "mt", "message", "v", "l",
+]
+INNER_KEYS = [
+    ("log", "level"), ("log", "logger"), ("process", "pid"), ("process", "id"), ("trace", "id"),
+    ("transaction", "id"), ("logger", "name"), ("service", "name"), ("service", "version"),
+    ("host", "name"),
+]
+
+
+@dataclass(frozen=True)
+class View:
+    """Lookups into JSON objects; ``inner`` names a member of a nested object as ``outer/inner``."""
+
+    record: Column
+    inner: Column
+    texts: Column
+
+    def has(self, key: str) -> Column:
+        """The key is present, whatever its value."""
+        return F.map_contains_key(self.inner if "/" in key else self.record, F.lit(key))
+
+    def value(self, key: str) -> Column:
+        return F.try_element_at(self.inner if "/" in key else self.record, F.lit(key))
+
+    def text(self, key: str) -> Column:
+        """The value as text, also when empty."""
+        return R.text(self.value(key))
+
+    def given(self, key: str) -> Column:
+        """The value as text, NULL when it is empty, zero or false."""
+        return F.try_element_at(self.texts, F.lit(key))
+
+
+def with_view(df: DataFrame, record: str = "record") -> tuple[DataFrame, View]:
+    """Add what a ``View`` of the objects needs as columns ``_inner`` and ``_texts``."""
+    source = F.col(record)
+    pairs: list[Column] = []
+    for outer, inner in INNER_KEYS:
+        pairs += [F.lit(f"{outer}/{inner}"), R.nested(R.member(source, outer), inner)]
+    found = F.map_filter(F.create_map(*pairs), lambda _, value: value.isNotNull())
+    df = df.withColumn("_inner", F.when(source.isNotNull(), found))
+    top = F.map_filter(source, lambda key, _: key.isin(TOP_KEYS))
+    texts = F.transform_values(F.map_concat(top, F.col("_inner")), lambda _, value: R.truthy(value))
+    df = df.withColumn("_texts", texts)
+    return df, View(source, F.col("_inner"), F.col("_texts"))
+
+
+def named_level(view: View) -> Column:
     """Level the record names, as written."""
-    return F.coalesce(
-        R.truthy(R.nested(R.member(record, "log"), "level")),
-        R.truthy(R.member(record, "level")),
-        R.truthy(R.member(record, "log.level")),
-    )
+    return F.coalesce(view.given("log/level"), view.given("level"), view.given("log.level"))
 
 
 def marked_level(line: Column) -> Column:
     """Level from a bracketed word anywhere in the record's text."""
-    low = F.lower(line)
-    (first, marks), *others = MARKED_LEVELS
-    case = F.when(contains_any(low, marks), F.lit(first))
-    for level, marks in others:
-        case = case.when(contains_any(low, marks), F.lit(level))
-    return case.otherwise(F.lit("Information"))
 
+    def of_text(low: Column) -> Column:
+        (first, marks), *others = MARKED_LEVELS
+        case = F.when(contains_any(low, marks), F.lit(first))
+        for level, marks in others:
+            case = case.when(contains_any(low, marks), F.lit(level))
+        return case.otherwise(F.lit("Information"))
+
+    return let(F.lower(line), of_text)
 
-def json_full_level(record: Column, line: Column) -> Column:
-    return F.coalesce(named_level(record), marked_level(line))
 
+def json_full_level(view: View, line: Column) -> Column:
+    return F.coalesce(named_level(view), marked_level(line))
 
-def json_level(record: Column, line: Column) -> Column:
+
+def json_level(view: View, line: Column) -> Column:
     """Level as written; only ``Information`` is shortened. An input ``l`` is not looked at."""
-    level = json_full_level(record, line)
-    return F.when(level == "Information", F.lit("Info")).otherwise(level)
+    return shorten_information(json_full_level(view, line))
+
+
+def shorten_information(level: Column) -> Column:
+    return F.regexp_replace(level, "^Information$", "Info")
 
 
 def short_level(level: Column) -> Column:
@@ -48,160 +103,143 @@ def short_level(level: Column) -> Column:
     return level
 
 
-def json_level_titled(record: Column, line: Column) -> Column:
+def json_level_titled(view: View, line: Column) -> Column:
     """Level with an input ``l`` first, title-cased and shortened."""
-    level = F.coalesce(R.truthy(R.member(record, "l")), json_full_level(record, line))
-    return short_level(title_case(level))
+    return short_level(title_case(F.coalesce(view.given("l"), json_full_level(view, line))))
 
 
-def json_pid(record: Column) -> Column:
-    process = R.member(record, "process")
+def json_pid(view: View) -> Column:
     return F.coalesce(
-        R.truthy(R.member(record, "pid")),
-        R.truthy(R.nested(process, "pid")),
-        R.truthy(R.nested(process, "id")),
-        R.truthy(R.member(record, "process.id")),
-        R.text(R.member(record, "process.pid")),
-        F.lit("1"),
-    )
+        view.given("pid"), view.given("process/pid"), view.given("process/id"),
+        view.given("process.id"), view.text("process.pid"), F.lit("1"),
+    )
 
 
-def json_trace_id(record: Column) -> Column:
+def json_trace_id(view: View) -> Column:
     """``trace.id`` when it exists, even empty, else a non-empty ``tr``."""
-    identity = R.nested(R.member(record, "trace"), "id")
-    return F.when(identity.isNotNull(), R.text(identity)).otherwise(R.truthy(R.member(record, "tr")))
+    return F.when(view.has("trace/id"), view.text("trace/id")).otherwise(view.given("tr"))
 
 
-def json_transaction_id(record: Column) -> Column:
-    return R.text(R.nested(R.member(record, "transaction"), "id"))
+def json_transaction_id(view: View) -> Column:
+    return view.text("transaction/id")
 
 
-def json_logger(record: Column, service: Column) -> Column:
+def json_logger(view: View, service: Column) -> Column:
     """The first logger-like key decides, even when its value is empty; then the service."""
-    logger = R.member(record, "logger")
-    logger_name = R.nested(logger, "name")
-    service_name = R.nested(R.member(record, "service"), "name")
     found = (
-        F.when(R.has(record, "lg"), R.truthy(R.member(record, "lg")))
-        .when(R.is_string(logger), R.truthy(logger))
-        .when(logger_name.isNotNull(), R.truthy(logger_name))
-        .when(R.has(record, "component"), R.truthy(R.member(record, "component")))
-        .when(service_name.isNotNull(), R.truthy(service_name))
-        .when(R.has(record, "app_id"), R.truthy(R.member(record, "app_id")))
+        F.when(view.has("lg"), view.given("lg"))
+        .when(R.is_string(view.value("logger")), view.given("logger"))
+        .when(view.has("logger/name"), view.given("logger/name"))
+        .when(view.has("component"), view.given("component"))
+        .when(view.has("service/name"), view.given("service/name"))
+        .when(view.has("app_id"), view.given("app_id"))
     )
     return F.coalesce(found, service)
 
 
-def json_tenant(record: Column, service: Column) -> Column:
+def json_tenant(view: View, service: Column) -> Column:
     """``tn`` or ``host.name`` decide when present; then cluster and node names; then the service."""
-    host_name = R.nested(R.member(record, "host"), "name")
-    cluster = R.truthy(R.member(record, "cluster.name"))
-    node = R.truthy(R.member(record, "node.name"))
+    cluster, node = view.given("cluster.name"), view.given("node.name")
     found = (
-        F.when(R.has(record, "tn"), R.truthy(R.member(record, "tn")))
-        .when(host_name.isNotNull(), R.truthy(host_name))
-        .otherwise(F.coalesce(F.concat_ws("-", cluster, node), F.lit("")))
+        F.when(view.has("tn"), view.given("tn"))
+        .when(view.has("host/name"), view.given("host/name"))
+        .when(cluster.isNotNull() | node.isNotNull(), F.concat_ws("-", cluster, node))
     )
-    return F.coalesce(F.when(found != "", found), service)
+    return F.coalesce(found, service)
 
 
-def json_message_value(record: Column) -> Column:
-    """The value that serves as message, with its JSON type."""
+def json_message(view: View) -> Column:
+    msg = F.when(view.has("msg"), view.text("msg")).otherwise(F.lit(""))
+    return F.coalesce(view.given("mt"), view.given("message"), msg)
 
-    def given(key: str) -> Column:
-        value = R.member(record, key)
-        return F.when(R.truthy(value).isNotNull(), value)
 
-    return F.coalesce(given("mt"), given("message"), R.member(record, "msg"))
+def json_version_text(view: View) -> Column:
+    """The text to look for a version in: the message, unless it is no string."""
+    value = (
+        F.when(view.given("mt").isNotNull(), view.value("mt"))
+        .when(view.given("message").isNotNull(), view.value("message"))
+        .otherwise(view.value("msg"))
+    )
+    return let(value, lambda v: F.when(R.is_string(v), R.text(v)))
 
 
-def json_message(record: Column) -> Column:
-    value = json_message_value(record)
-    return F.when(value.isNull(), F.lit("")).otherwise(R.text(value))
+def named_version(view: View) -> Column:
+    return F.coalesce(view.given("v"), view.given("service/version"))
 
 
-def json_version(record: Column) -> Column:
+def json_version(view: View) -> Column:
     """``v``, else ``service.version``, else a version in the message."""
-    value = json_message_value(record)
-    in_message = F.when(value.isNull() | R.is_string(value), version_from_text(R.text(value)))
-    return F.coalesce(
-        R.truthy(R.member(record, "v")),
-        R.truthy(R.nested(R.member(record, "service"), "version")),
-        in_message,
-        F.lit(UNKNOWN),
-    )
+    return F.coalesce(named_version(view), version_from_text(json_version_text(view)), F.lit(UNKNOWN))
 
 
 def json_errors(record: Column) -> Column:
     """Object of the error-describing keys, NULL without any."""
     found = F.map_filter(record, lambda key, _: key.isin(ERROR_KEYS))
-    return F.when(F.size(found) > 0, F.to_variant_object(found))
+    return let(found, lambda errors: F.when(F.size(errors) > 0, F.to_variant_object(errors)))
 
 
 # --- records in the Elastic Common Schema
 
 
-def ecs_level(record: Column) -> Column:
-    return short_level(title_case(F.coalesce(R.text(R.nested(R.member(record, "log"), "level")), F.lit("information"))))
+def ecs_level(view: View) -> Column:
+    return short_level(title_case(F.coalesce(view.text("log/level"), F.lit("information"))))
 
 
-def ecs_service(record: Column) -> Column:
-    return F.coalesce(R.text(R.nested(R.member(record, "service"), "name")), F.lit("UnknownService"))
+def ecs_service(view: View) -> Column:
+    return F.coalesce(view.text("service/name"), F.lit("UnknownService"))
 
 
-def ecs_logger(record: Column) -> Column:
-    return F.coalesce(R.text(R.nested(R.member(record, "log"), "logger")), ecs_service(record))
+def ecs_logger(view: View) -> Column:
+    return F.coalesce(view.text("log/logger"), ecs_service(view))
 
 
-def ecs_pid(record: Column) -> Column:
-    return F.coalesce(R.text(R.nested(R.member(record, "process"), "pid")), F.lit("1"))
+def ecs_pid(view: View) -> Column:
+    return F.coalesce(view.text("process/pid"), F.lit("1"))
 
 
-def or_default(record: Column, key: str, default: str) -> Column:
-    return F.coalesce(R.text(R.member(record, key)), F.lit(default))
+def or_default(view: View, key: str, default: str) -> Column:
+    return F.coalesce(view.text(key), F.lit(default))
 
 
 # --- search-engine JSON
 
 
-def es_json_level(record: Column) -> Column:
-    level = title_case(or_default(record, "level", "INFO"))
+def es_json_level(view: View) -> Column:
+    level = title_case(or_default(view, "level", "INFO"))
     return F.replace(level, F.lit("Critical"), F.lit("Fatal"))
 
 
 # --- keep-everything JSON
 
 
-def enriched(record: Column, line: Column, service: Column, t: Column) -> Column:
-    """All input keys, with ``t`` normalised and missing canonical keys added."""
-    process_pid = R.text(R.nested(R.member(record, "process"), "pid"))
-    message = F.coalesce(R.member(record, "message"), R.member(record, "msg"))
-    version = F.coalesce(
-        R.text(R.nested(R.member(record, "service"), "version")),
-        version_from_text(
-            F.when(R.has(record, "message"), R.text(R.member(record, "message"))).otherwise(line)
-        ),
+def present_level(view: View, line: Column) -> Column:
+    """Level of the first level key that is present, else from marks in the text; titled."""
+    named = (
+        F.when(view.has("log/level"), view.given("log/level"))
+        .when(view.has("level"), view.given("level"))
+        .when(view.has("log.level"), view.given("log.level"))
     )
+    return short_level(title_case(F.coalesce(named, marked_level(line))))
+
+
+def enriched(view: View, line: Column, service: Column, t: Column) -> Column:
+    """All input keys, with ``t`` normalised and missing canonical keys added."""
+    record = view.record
+    # without a message the whole record is searched, where quoted keys are no version marks
+    searched = F.when(view.has("message"), view.text("message")).otherwise(F.translate(line, '"', "'"))
     additions = {
-        "pid": F.coalesce(process_pid, F.lit("1")),
-        "tr": F.coalesce(
-            R.text(R.nested(R.member(record, "trace"), "id")), json_transaction_id(record)
-        ),
-        "l": short_level(title_case(json_full_level(record, line))),
-        "lg": json_logger(record, service),
-        "mt": R.text(message),
-        "tn": json_tenant(record, service),
-        "v": version,
+        "pid": F.coalesce(view.text("process/pid"), F.lit("1")),
+        "tr": F.coalesce(view.text("trace/id"), view.text("transaction/id")),
+        "l": present_level(view, line),
+        "lg": json_logger(view, service),
+        "mt": F.coalesce(view.text("message"), view.text("msg")),
+        "tn": json_tenant(view, service),
+        "v": F.coalesce(view.text("service/version"), version_from_text(searched)),
     }
-    pairs = reduce(lambda acc, kv: [*acc, F.lit(kv[0]), kv[1]], additions.items(), [])
+    pairs = reduce(lambda acc, kv: [*acc, F.lit(kv[0]), kv[1].cast("variant")], additions.items(), [])
+    pairs += [F.lit("ex"), json_errors(record)]
     added = F.map_filter(
         F.create_map(*pairs), lambda key, value: value.isNotNull() & ~F.map_contains_key(record, key)
     )
-    errors = F.map_filter(
-        F.create_map(F.lit("ex"), json_errors(record)),
-        lambda key, value: value.isNotNull() & ~F.map_contains_key(record, key),
-    )
     kept = F.map_filter(record, lambda key, _: key != "t")
-    typed = F.transform_values(added, lambda _, value: value.cast("variant"))
-    time = F.create_map(F.lit("t"), t.cast("variant"))
-    return F.map_concat(kept, time, typed, errors)
+    return F.map_concat(kept, F.create_map(F.lit("t"), t.cast("variant")), added)

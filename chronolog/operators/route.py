@@ -21,7 +21,7 @@ from chronolog.functions.fixed import (
     TIME_KEYS,
     YEAR_FIRST_TIME,
 )
-from chronolog.functions.text import groups, strip
+from chronolog.functions.text import groups, pinned, strip
 from chronolog.options import DEFAULT, Options
 
 CANONICAL, JSON, PROCRUN, ES_TEXT, SYSLOG, MINIMAL = (
@@ -90,7 +90,8 @@ def with_format(df: DataFrame, options: Options = DEFAULT) -> DataFrame:
     )
     df = with_parts(df.withColumn("_kind", kind), "_kind", options)
     unread = F.col("_kind").isin(ES_TEXT, SYSLOG) & F.col("parts").isNull()
-    return df.withColumn("format", F.when(unread, F.lit(MINIMAL)).otherwise(F.col("_kind"))).drop("_kind")
+    kind = F.when(unread, F.lit(MINIMAL)).otherwise(F.col("_kind"))
+    return df.withColumn("format", pinned(kind)).drop("_kind")
 
 
 def with_parts(df: DataFrame, kind: str, options: Options = DEFAULT) -> DataFrame:
@@ -139,8 +140,8 @@ def with_event_time(df: DataFrame, options: Options = DEFAULT) -> DataFrame:
         .when(kind.isin(CANONICAL, JSON), F.lit("json_key"))
         .otherwise(F.lit("line_start"))
     )
-    df = df.withColumn("time_source", source)
-    df = df.withColumn("t", F.coalesce("_found", "_parsed", fallback_time(options)))
+    df = df.withColumn("time_source", pinned(source))
+    df = df.withColumn("t", pinned(F.coalesce("_found", "_parsed", fallback_time(options))))
     df = df.withColumn("event_ts", T.instant_of(F.col("t")))
     return df.drop("_day_first", "_year_first", "_found", "_written", "_parsed")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,7 +17,7 @@ from chronolog.functions.fixed import (
     VHOST,
     WS,
 )
-from chronolog.functions.text import collapse_spaces, contains_any, nonempty, strip
+from chronolog.functions.text import collapse_spaces, contains_any, let, nonempty, strip
 
 PROCRUN_HEAD = 28  # characters of "[YYYY-MM-DD HH:MM:SS] [info]"
 
@@ -85,11 +83,17 @@ def span_of(name: Column | str, kind: str, message: Column) -> Column:
 
 def minimal_level(line: Column) -> Column:
     """First level whose words occur as whole words, ``Info`` without any."""
-    low = F.lower(line)
-    cases = [(contains_any(low, hints) & low.rlike(words), level) for level, hints, words in TEXT_LEVELS]
-    (first, level), *others = cases
-    case = reduce(lambda c, x: c.when(x[0], F.lit(x[1])), others, F.when(first, F.lit(level)))
-    return case.otherwise(F.lit("Info"))
+    return whole_word_level(line, TEXT_LEVELS)
+
+
+def whole_word_level(line: Column, levels: list[tuple[str, list[str], str]]) -> Column:
+    def of_text(low: Column) -> Column:
+        case = F
+        for level, hints, words in levels:
+            case = case.when(contains_any(low, hints) & low.rlike(words), F.lit(level))
+        return case.otherwise(F.lit("Info"))
+
+    return let(F.lower(line), of_text)
 
 
 def minimal_pid(line: Column) -> Column:
@@ -98,20 +102,22 @@ def minimal_pid(line: Column) -> Column:
         F.contains(line, F.lit("<")) | F.contains(line, F.lit("(")),
         nonempty(F.regexp_extract(line, BRACKETED_PID, 1)),
     )
-    return F.coalesce(bracketed, nonempty(F.regexp_extract(line, TRAILING_PID, 1)), F.lit("1"))
+    numbered = F.when(
+        F.right(line, F.lit(1)).between("0", "9"), nonempty(F.regexp_extract(line, TRAILING_PID, 1))
+    )
+    return F.coalesce(bracketed, numbered, F.lit("1"))
 
 
 def minimal_logger(line: Column, service: Column) -> Column:
     """Last of several words before the first pipe, else the service of the file."""
     before = strip(F.substring_index(line, "|", 1))
-    word = nonempty(F.regexp_extract(before, rf"{WS}([^{SPACE}]+)$", 1))
-    return F.coalesce(F.when(F.contains(line, F.lit("|")), word), service)
+    word = F.when(F.contains(line, F.lit("|")), F.regexp_extract(before, rf"{WS}([^{SPACE}]+)$", 1))
+    return F.coalesce(nonempty(word), service)
 
 
 def _field(line: Column, hint: str, pattern: str) -> Column:
-    return F.when(
-        F.contains(F.lower(line), F.lit(hint)), nonempty(strip(F.regexp_extract(line, pattern, 1)))
-    )
+    found = F.when(F.contains(F.lower(line), F.lit(hint)), F.regexp_extract(line, pattern, 1))
+    return nonempty(strip(found))
 
 
 def minimal_user(line: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from chronolog.options import DEFAULT, Options
@@ -77,13 +77,11 @@ def with_position(ordered: DataFrame, name: str = "position") -> DataFrame:
     numbered = fixed.withColumn("_id", F.monotonically_increasing_id())
     part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     numbered = numbered.select("*", part.alias("_part"), place.alias("_place")).drop("_id")
-    counts = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows")).collect()
-    starts, total = [], 0
-    for row in sorted(counts, key=lambda r: r["_part"]):
-        starts.append((row["_part"], total))
-        total += row["_rows"]
-    spark = ordered.sparkSession
-    offsets = spark.createDataFrame(starts, "_first_part bigint, _start bigint")
+    counts = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy("_first_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumnRenamed("_part", "_first_part").select(
+        "_first_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start")
+    )
     joined = numbered.join(F.broadcast(offsets), F.col("_part") == F.col("_first_part"))
     return joined.withColumn(name, F.col("_start") + F.col("_place")).drop(
         "_part", "_place", "_first_part", "_start"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronolog.functions import records as R
 from chronolog.functions import times as T
-from chronolog.functions.text import service_from_path, strip
+from chronolog.functions.text import pinned, service_from_path, strip
 from chronolog.functions.versions import UNKNOWN, bare_version, version_from_text
 from chronolog.operators import json_records as J
 from chronolog.operators import route
@@ -66,37 +66,35 @@ def _by_format(**columns: Column) -> Column:
     return case
 
 
-def _json_columns(options: Options, record: Column) -> dict[str, Column]:
-    """Columns of JSON objects, by the chosen rules."""
+def _json_columns(options: Options, view: J.View) -> dict[str, Column]:
+    """Columns of JSON objects, by the chosen rules; ``v`` only where a key names it."""
     if options.json_rules == "ecs":
-        message = J.or_default(record, "message", "")
         return {
-            "pid": J.ecs_pid(record), "l": J.ecs_level(record), "lg": J.ecs_logger(record),
-            "tn": J.ecs_service(record), "v": version_from_text(message), "mt": message,
+            "pid": J.ecs_pid(view), "l": J.ecs_level(view), "lg": J.ecs_logger(view),
+            "tn": J.ecs_service(view), "mt": J.or_default(view, "message", ""),
         }
     if options.json_rules == "es_json":
-        message = J.or_default(record, "message", "")
         return {
-            "pid": J.or_default(record, "process.id", "1"), "l": J.es_json_level(record),
-            "lg": J.or_default(record, "component", "Elasticsearch"),
-            "tn": J.or_default(record, "node.name", "Elasticsearch"),
-            "v": version_from_text(message), "mt": message,
+            "pid": J.or_default(view, "process.id", "1"), "l": J.es_json_level(view),
+            "lg": J.or_default(view, "component", "Elasticsearch"),
+            "tn": J.or_default(view, "node.name", "Elasticsearch"),
+            "mt": J.or_default(view, "message", ""),
         }
     level = (
-        J.json_level_titled(record, F.col("line"))
+        J.json_level_titled(view, F.col("line"))
         if options.levels == "titled"
-        else J.json_level(record, F.col("line"))
+        else J.shorten_information(F.col("_full_level"))
     )
     columns = {
-        "pid": J.json_pid(record), "l": level, "lg": J.json_logger(record, F.col("service")),
-        "tn": J.json_tenant(record, F.col("service")), "v": J.json_version(record),
-        "mt": J.json_message(record), "span": R.member(record, "span"), "ex": J.json_errors(record),
+        "pid": J.json_pid(view), "l": level, "lg": J.json_logger(view, F.col("service")),
+        "tn": J.json_tenant(view, F.col("service")), "v": J.named_version(view),
+        "mt": J.json_message(view), "span": view.value("span"), "ex": J.json_errors(view.record),
     }
     if options.arguments == "leftovers":
-        columns["tr"] = R.truthy(R.member(record, "tr"))
+        columns["tr"] = view.given("tr")
     else:
-        columns["trace_id"] = J.json_trace_id(record)
-        columns["transaction_id"] = J.json_transaction_id(record)
+        columns["trace_id"] = J.json_trace_id(view)
+        columns["transaction_id"] = J.json_transaction_id(view)
     return columns
 
 
@@ -110,21 +108,31 @@ def with_fields(df: DataFrame, options: Options = DEFAULT, carry: tuple[str, ...
     line, record, parts = F.col("line"), F.col("record"), F.col("parts")
     df = df.withColumn("service", service_from_path(F.col("file_path")))
     service = F.col("service")
-    df = df.withColumn(
-        "_message",
-        _by_format(
-            procrun=X.procrun_message(X.procrun_tail(line), options.keep_two_bracket_message),
-            es_text=strip(F.get(parts, F.lit(5))),
-            syslog=F.get(parts, F.lit(4)),
-        ),
+    df, view = J.with_view(df)
+    searched = (
+        J.json_version_text(view) if options.json_rules == "generic" else view.text("message")
+    )
+    df = df.withColumns(
+        {
+            "_message": _by_format(
+                procrun=X.procrun_message(X.procrun_tail(line), options.keep_two_bracket_message),
+                es_text=strip(F.get(parts, F.lit(5))),
+                syslog=F.get(parts, F.lit(4)),
+                json=searched,
+            ),
+            # the level as first found, for arguments that repeat it in full
+            "_full_level": F.when(F.col("format") == "json", J.json_full_level(view, line)),
+        }
     )
     message = F.col("_message")
+    versioned = F.col("format").isin("procrun", "es_text", "json")
+    version = F.when(versioned, F.coalesce(version_from_text(message), F.lit(UNKNOWN)))
     syslog_service = X.syslog_service(message, F.get(parts, F.lit(2)))
 
     def own(key: str) -> Column:
         return R.text(R.member(record, key))
 
-    json = _json_columns(options, record)
+    json = _json_columns(options, view)
     info = F.lit("Info")
     empty_object = F.parse_json(F.lit("{}"))
     text_columns = {
@@ -136,8 +144,7 @@ def with_fields(df: DataFrame, options: Options = DEFAULT, carry: tuple[str, ...
                    syslog=syslog_service, minimal=X.minimal_logger(line, service)),
         "tn": dict(procrun=service, es_text=F.get(parts, F.lit(4)), syslog=syslog_service,
                    minimal=service),
-        "v": dict(procrun=version_from_text(message), es_text=version_from_text(message),
-                  minimal=bare_version(line)),
+        "v": dict(minimal=bare_version(line)),
         "mt": dict(procrun=message, es_text=message),
         "tr": dict(minimal=X.minimal_trace(line)),
         "un": dict(minimal=X.minimal_user(line)),
@@ -155,19 +162,20 @@ def with_fields(df: DataFrame, options: Options = DEFAULT, carry: tuple[str, ...
         if name in json:
             kinds["json"] = json[name]
         kinds["canonical"] = own(name) if name in as_text else R.member(record, name)
-        fields[name] = _by_format(**kinds)
-    # the level as first found, for arguments that repeat it in full
-    fields["_full_level"] = F.when(F.col("format") == "json", J.json_full_level(record, line))
+        column = _by_format(**kinds)
+        fields[name] = pinned(F.coalesce(column, version) if name == "v" else column)
     df = df.withColumns(fields)
     df = with_arguments(df, F.col("format") == "json", options)
     extra = F.map_filter(record, lambda key, _: ~key.isin(RENDERED))
     df = df.withColumns(
         {
-            "args": _by_format(
-                json=F.col("_json_args"),
-                canonical=R.member(record, "args"),
-                procrun=empty_object,
-                es_text=empty_object,
+            "args": pinned(
+                _by_format(
+                    json=F.col("_json_args"),
+                    canonical=R.member(record, "args"),
+                    procrun=empty_object,
+                    es_text=empty_object,
+                )
             ),
             "extra": F.when((F.col("format") == "canonical") & (F.size(extra) > 0), extra),
             "raw_record": F.when(F.col("format") == "canonical", F.to_json(record)),

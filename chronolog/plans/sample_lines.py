@@ -15,7 +15,7 @@ SHAPES = [
 ]
 
 
-def _stamp(pattern: str) -> Column:
+def stamp(pattern: str) -> Column:
     return F.date_format("ts", pattern)
 
 
@@ -27,11 +27,11 @@ def templates() -> dict[str, Column]:
     """One log line per shape, from the columns of an event row."""
     event, user, kind, props = (F.col(c) for c in ("event_id", "user_id", "event_type", "props"))
     digit, node = event % 10, user % 5
-    sec = _stamp("yyyy-MM-dd HH:mm:ss")
-    sec3, sec3c = _stamp("yyyy-MM-dd HH:mm:ss.SSS"), _stamp("yyyy-MM-dd HH:mm:ss,SSS")
-    iso3c = _stamp("yyyy-MM-dd'T'HH:mm:ss,SSS")
-    iso6 = _stamp("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    dotted = _stamp("dd.MM.yyyy HH:mm:ss")
+    sec = stamp("yyyy-MM-dd HH:mm:ss")
+    sec3, sec3c = stamp("yyyy-MM-dd HH:mm:ss.SSS"), stamp("yyyy-MM-dd HH:mm:ss,SSS")
+    iso3c = stamp("yyyy-MM-dd'T'HH:mm:ss,SSS")
+    iso6 = stamp("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    dotted = stamp("dd.MM.yyyy HH:mm:ss")
     return {
         "procrun": _text("[", sec, "] [info] [ ", user, "] ", kind, " done version=1.2.", digit),
         "syslog": _text(

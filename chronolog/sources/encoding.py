@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronolog.sources.lookup import lookup_by_file
 
 PROFILES = ("utf8_first", "cp1251_first", "lossy")
-UNASSIGNED = "98"  # the one byte value windows-1251 does not define
+UNASSIGNED = b"\x98"  # the one byte windows-1251 does not define
 REPLACEMENT = "�"
 
 
@@ -21,25 +21,28 @@ def is_ascii(line: Column) -> Column:
 
 
 def file_encodings(raw: DataFrame, profile: str = "utf8_first") -> DataFrame:
-    """Files that are not plain UTF-8, with what to do with them: ``cp1251`` or ``replace``.
+    """Files not to be read as UTF-8, and how to read them.
 
-    A file is UTF-8 when all its lines are; else windows-1251 unless the unassigned byte occurs. The
-    profile ``cp1251_first`` prefers windows-1251 for files that could be either, except those whose
-    multi-byte characters give UTF-8 away. One map-side combined aggregation; the result has at most
-    one row per file, and none for UTF-8 files.
+    A file is UTF-8 when all its lines are; else windows-1251 (``cp1251``) unless the byte that it
+    does not define occurs; else the profile's last resort, with replacement characters. The profile
+    ``cp1251_first`` also prefers windows-1251 for files with a single multi-byte character, too
+    little to call them UTF-8. One map-side combined aggregation with at most one row per file.
     """
     line = F.col("line")
-    utf8 = F.is_valid_utf8(line)
-    unassigned = F.locate(UNASSIGNED, F.regexp_replace(F.hex(_bytes(line)), "(..)", "$1 ")) > 0
-    per_file = raw.groupBy("file_path").agg(
-        F.bool_and(utf8).alias("utf8"),
-        F.bool_or(~utf8 & unassigned).alias("unassigned"),
-    )
-    odd = per_file.where(~F.col("utf8"))
-    other = "replace" if profile == "utf8_first" else "cp1251_replace"
-    return odd.select(
-        "file_path", F.when(F.col("unassigned"), F.lit(other)).otherwise(F.lit("cp1251")).alias("encoding")
-    )
+    facts = [
+        F.bool_and(F.is_valid_utf8(line)).alias("utf8"),
+        F.bool_or(F.contains(_bytes(line), F.lit(UNASSIGNED))).alias("unassigned"),
+    ]
+    if profile == "cp1251_first":
+        wide = F.length(F.regexp_replace(F.make_valid_utf8(line), r"[\x00-\x7f]+", ""))
+        facts.append(F.sum(F.when(is_ascii(line), F.lit(0)).otherwise(wide)).alias("wide"))
+    per_file = raw.groupBy("file_path").agg(*facts)
+    odd, last_resort = ~F.col("utf8"), "replace"
+    if profile == "cp1251_first":
+        odd = odd | ((F.col("wide") == 1) & ~F.col("unassigned"))
+        last_resort = "cp1251_replace"
+    encoding = F.when(F.col("unassigned"), F.lit(last_resort)).otherwise(F.lit("cp1251"))
+    return per_file.where(odd).select("file_path", encoding.alias("encoding"))
 
 
 def decode_lines(raw: DataFrame, profile: str = "utf8_first") -> DataFrame:
@@ -55,20 +58,20 @@ def decode_lines(raw: DataFrame, profile: str = "utf8_first") -> DataFrame:
     marked = raw.withColumn("_file", F.when(~is_ascii(line) | ~F.is_valid_utf8(line), F.col("file_path")))
     known = lookup_by_file(marked, file_encodings(raw, profile), "_file", "file_path")
     cp1251 = F.decode(_bytes(line), "windows-1251")
-    # the unassigned byte alone cannot be decoded; everything around it can
-    hexed = F.regexp_replace(F.hex(_bytes(line)), "(..)", "$1 ")
     decoded = (
         F.when(F.col("encoding") == "cp1251", cp1251)
         .when(F.col("encoding") == "replace", F.make_valid_utf8(line))
-        .when(F.col("encoding") == "cp1251_replace", _cp1251_replacing(hexed))
+        .when(F.col("encoding") == "cp1251_replace", _cp1251_replacing(line))
         .otherwise(line)
     )
     return known.withColumn("line", decoded).drop("_file", "encoding")
 
 
-def _cp1251_replacing(hexed: Column) -> Column:
-    pieces = F.split(hexed, UNASSIGNED + " ")
+def _cp1251_replacing(line: Column) -> Column:
+    """Decode around the undefined byte, which becomes a replacement character."""
+    pairs = F.regexp_replace(F.hex(_bytes(line)), "(..)", "$1_")
+    pieces = F.split(pairs, UNASSIGNED.hex() + "_")
     texts = F.transform(
-        pieces, lambda piece: F.decode(F.unhex(F.replace(piece, F.lit(" "), F.lit(""))), "windows-1251")
+        pieces, lambda piece: F.decode(F.unhex(F.replace(piece, F.lit("_"), F.lit(""))), "windows-1251")
     )
     return F.array_join(texts, REPLACEMENT)
