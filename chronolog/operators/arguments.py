@@ -154,7 +154,10 @@ def prune(node: dict, known: dict[str, str], keep_empty: bool = False) -> dict:
 
 
 def _nested_pruner(keep_empty: bool):
-    """Arrow-batched pruning of the few rows whose nested values need it; other rows hold NULL."""
+    """Arrow-batched pruning of the few rows whose nested values need it; other rows hold NULL.
+
+    With ``keep_empty`` only time keys go.
+    """
 
     @F.pandas_udf("string")
     def pruned(
@@ -162,7 +165,7 @@ def _nested_pruner(keep_empty: bool):
     ) -> pd.Series:
         out = pd.Series([None] * len(args), dtype=object)
         for i in args.index[args.notna()]:
-            known = dict(zip(REPEATABLE, (l[i], pid[i], mt[i], tn[i], v[i])))
+            known = {} if keep_empty else dict(zip(REPEATABLE, (l[i], pid[i], mt[i], tn[i], v[i])))
             out[i] = json.dumps(prune(json.loads(args[i]), known, keep_empty), ensure_ascii=False)
         return out
 
