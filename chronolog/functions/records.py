@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolog.functions.text import let, pinned
+from chronolog.functions.text import pinned
 
 STRICT = {"allowSingleQuotes": "false"}
 OBJECT = "map<string,variant>"
@@ -16,28 +16,24 @@ EMPTY_TEXTS = ["0", "-0", "0.0", "-0.0", "false", "{}", "[]"]
 def with_json_object(df: DataFrame, line: str, out: str = "record") -> DataFrame:
     """Add the line's top-level object, NULL unless the whole line is one JSON object.
 
-    ``from_json`` ignores what follows the first value, so the line is read inside a wrapper whose
-    closing brackets must come out right: an object member followed by more text leaves the wrapper
-    malformed or with more members. Only a line that spells the wrapper's own closing can slip
-    through; such lines are read again inside a different wrapper.
+    ``from_json`` ignores what follows the first value, so the line must first count as exactly one
+    element of an array. That test only skips over tokens. It is fooled by a line that closes the
+    array itself, right after its first object; lines with such a text must also be the only member
+    of an object, which the same line cannot be. Not-a-number words, which the count does not know,
+    take both tests in full.
     """
     text = F.col(line)
-    wrapped = F.when(
-        F.startswith(text, F.lit("{")),
-        F.from_json(
-            F.concat(F.lit('[{"r":'), text, F.lit("}]")), f"array<map<string,{OBJECT}>>", STRICT
-        ),
-    )
-    again = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{OBJECT}>", STRICT)
-    single = (F.size("_wrapped") == 1) & (F.size(F.get("_wrapped", F.lit(0))) == 1)
-    whole = single & (~text.rlike(r"\}\s*\}\s*\]") | (F.size(again) == 1))
-    inner = F.try_element_at(F.get("_wrapped", F.lit(0)), F.lit("r"))
-    return (
-        df.withColumn("_wrapped", wrapped)
-        .withColumn("_inner", F.when(whole, inner))
-        .withColumn(out, pinned(last_wins(F.col("_inner"))))
-        .drop("_wrapped", "_inner")
+    in_array = F.concat(F.lit("["), text, F.lit("]"))
+    only_member = F.size(F.from_json(F.concat(F.lit('{"r":'), text, F.lit("}")), OBJECT, STRICT)) == 1
+    only_element = F.size(F.from_json(in_array, f"array<{OBJECT}>", STRICT)) == 1
+    counted = F.json_array_length(in_array) == 1
+    whole = (
+        F.when(counted, ~text.rlike(r"\}\s*\]") | only_member)
+        .when(F.contains(text, F.lit("NaN")) | F.contains(text, F.lit("Infinity")), only_element & only_member)
     )
+    read = F.when(F.startswith(text, F.lit("{")) & whole, read_known_object(text))
+    df = df.withColumn("_read", read).withColumn(out, pinned(last_wins(F.col("_read"))))
+    return df.drop("_read")
 
 
 def read_known_object(text: Column) -> Column:
@@ -84,9 +80,13 @@ def as_object(value: Column) -> Column:
     return F.try_variant_get(value, "$", OBJECT)
 
 
+def counts(value: Column) -> Column:
+    """The value is present and not empty, zero, false or null."""
+    shown = text(value)
+    empty = shown.isin("", *EMPTY_TEXTS) & ((shown == "") | ~is_string(value))
+    return ~F.coalesce(empty, F.lit(True))
+
+
 def truthy(value: Column) -> Column:
-    """Text of a value that is present and not empty, zero, false or null; else NULL."""
-    return let(
-        text(value),
-        lambda shown: F.when((shown != "") & (~shown.isin(EMPTY_TEXTS) | is_string(value)), shown),
-    )
+    """Text of a value that counts, else NULL."""
+    return F.when(counts(value), text(value))

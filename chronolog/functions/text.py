@@ -83,11 +83,10 @@ def service_from_path(path: Column) -> Column:
     """Known service named in the file name, else the titled file stem, else ``Unknown``."""
 
     def of_name(name: Column) -> Column:
-        known = F.when(F.contains(name, F.lit(SERVICES[0])), F.lit(SERVICES[0].title()))
-        for service in SERVICES[1:]:
-            known = known.when(F.contains(name, F.lit(service)), F.lit(service.title()))
-        own = title_case(sanitize_name(stem(name)))
-        return F.coalesce(known, F.nullif(own, F.lit("")), F.lit("Unknown"))
+        services = F.split(F.lit(",".join(SERVICES)), ",")
+        known = F.get(F.filter(services, lambda service: F.contains(name, service)), F.lit(0))
+        own = title_case(F.coalesce(known, sanitize_name(stem(name))))
+        return F.coalesce(nonempty(own), F.lit("Unknown"))
 
     return let(F.lower(basename(path)), of_name)
 

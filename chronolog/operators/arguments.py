@@ -19,7 +19,7 @@ from chronolog.functions.fixed import (
     REPEATED_KEYS,
     STANDARD_KEYS,
 )
-from chronolog.functions.text import title_case
+from chronolog.functions.text import let, title_case
 from chronolog.options import DEFAULT, Options
 
 TIME_KEY_TEXT = '"(?:' + "|".join(DROPPED_TIME_KEYS) + ')":'
@@ -27,8 +27,9 @@ LOST_KEYS = ["l", "args", "ex", "trace_id", "transaction_id"]
 
 
 def _object_without(value: Column, key: str, even_empty: bool = False) -> Column:
+    least = 0 if even_empty else 1
     rest = F.map_filter(R.as_object(value), lambda k, _: k != key)
-    return F.when((F.size(rest) >= 0) if even_empty else (F.size(rest) > 0), F.to_variant_object(rest))
+    return let(rest, lambda found: F.when(F.size(found) >= least, F.to_variant_object(found)))
 
 
 def _no_object(record: Column, *keys: str) -> Column:
@@ -208,7 +209,8 @@ def with_arguments(df: DataFrame, is_json: Column, options: Options = DEFAULT) -
 
     df = df.withColumn("_rest", F.map_filter("_rest", stays))
     containers = F.map_filter("_rest", lambda _, value: F.substring(R.text(value), 1, 1).isin("{", "["))
-    df = df.withColumn("_inside", F.when(F.size(containers) > 0, F.to_json(containers)))
+    inside = let(containers, lambda found: F.when(F.size(found) > 0, F.to_json(found)))
+    df = df.withColumn("_inside", inside)
     inside = F.substr("_inside", F.lit(2))
     suspect = inside.rlike(TIME_KEY_TEXT)
     if clean:

@@ -61,8 +61,8 @@ def with_view(df: DataFrame, record: str = "record") -> tuple[DataFrame, View]:
     found = F.map_filter(F.create_map(*pairs), lambda _, value: value.isNotNull())
     df = df.withColumn("_inner", F.when(source.isNotNull(), found))
     top = F.map_filter(source, lambda key, _: key.isin(TOP_KEYS))
-    texts = F.transform_values(F.map_concat(top, F.col("_inner")), lambda _, value: R.truthy(value))
-    df = df.withColumn("_texts", texts)
+    counting = F.map_filter(F.map_concat(top, F.col("_inner")), lambda _, value: R.counts(value))
+    df = df.withColumn("_texts", F.transform_values(counting, lambda _, value: R.text(value)))
     return df, View(source, F.col("_inner"), F.col("_texts"))
 
 

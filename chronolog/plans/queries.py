@@ -34,15 +34,23 @@ def _text(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-EVENT, USER, KIND = F.col("event_id"), F.col("user_id"), F.col("event_type")
-DIGIT = F.col("event_id") % 10
+def _event() -> Column:
+    return F.col("event_id")
+
+
+def _user() -> Column:
+    return F.col("user_id")
+
+
+def _digit() -> Column:
+    return F.col("event_id") % 10
 
 
 def _cases(*columns: Column) -> Column:
     """One of several forms per event, by event id."""
-    case = F.when(EVENT % len(columns) == 0, columns[0])
+    case = F.when(_event() % len(columns) == 0, columns[0])
     for i, column in enumerate(columns[1:], 1):
-        case = case.when(EVENT % len(columns) == i, column)
+        case = case.when(_event() % len(columns) == i, column)
     return case
 
 
@@ -54,7 +62,7 @@ def _read(spark: SparkSession, folder: str, line: Column) -> DataFrame:
     """Event rows, one JSON or text line each, with the line's JSON object."""
     df = _events(spark, folder).select("*", line.alias("line"))
     df = R.with_json_object(df, "line")
-    return df.withColumn("service", X.service_from_path(_text("/logs/", KIND, ".log")))
+    return df.withColumn("service", X.service_from_path(_text("/logs/", F.col("event_type"), ".log")))
 
 
 def _json_query(build: Callable[[], Column], out: Callable[[J.View], dict[str, Column]]) -> Query:
@@ -92,7 +100,7 @@ def parse_ts_notations(spark: SparkSession, folder: str) -> DataFrame:
         _text(S.stamp("EEE, dd MMM yyyy HH:mm:ss"), " GMT"),
         S.stamp("yyyyMMdd'T'HHmmss"),
         S.stamp("M/d/yyyy h:mm:ss a"),
-        _text("not a time ", USER),
+        _text("not a time ", _user()),
     )
     df = _events(spark, folder).select("event_id", text.alias("written"))
     return df.select("event_id", T.parse_time(F.col("written")).alias("t"))
@@ -109,7 +117,7 @@ def event_time_regex(spark: SparkSession, folder: str) -> DataFrame:
         _text("job ", S.stamp("dd.MM.yyyy H:mm:ss"), " done"),
         _text("at ", S.stamp("yyyy-MM-dd HH:mm:ss.SSS"), "+03:00 | x"),
         _text("31.02.2024 00:00:00 ", S.stamp("yyyy-MM-dd  HH:mm:ss"), " y"),
-        _text("nothing ", USER),
+        _text("nothing ", _user()),
     )
     df = _events(spark, folder).select("event_id", line.alias("line"))
     return df.select("event_id", T.event_time_in_text(F.col("line")).alias("t"))
@@ -140,13 +148,13 @@ def route_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def is_canonical(spark: SparkSession, folder: str) -> DataFrame:
-    rest = _text('"pid":"', USER, '","l":"Info","lg":"x","tn":"n","v":"1"}')
+    rest = _text('"pid":"', _user(), '","l":"Info","lg":"x","tn":"n","v":"1"}')
     stamp = S.stamp("yyyy-MM-dd HH:mm:ss.SSS")
     line = _cases(
         _text('{"t":"', stamp, '+00:00",', rest),
         _text('{"t":"', stamp, '",', rest),
-        _text('{"t":', USER, ",", rest),
-        _text('{"t":"', stamp, '+00:00","pid":"', USER, '","l":"Info","lg":"x","v":"1"}'),
+        _text('{"t":', _user(), ",", rest),
+        _text('{"t":"', stamp, '+00:00","pid":"', _user(), '","l":"Info","lg":"x","v":"1"}'),
         _text('{"t":"', stamp, '+00:00",', rest, " x"),
     )
     df = R.with_json_object(_events(spark, folder).select("event_id", line.alias("line")), "line")
@@ -155,10 +163,10 @@ def is_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def strict_json(spark: SparkSession, folder: str) -> DataFrame:
-    pair = _text('{"a":', USER, "}")
+    pair = _text('{"a":', _user(), "}")
     line = _cases(
         pair, _text(pair, " x"), _text(pair, "}"), _text(pair, "]x[{}"), _text(pair, '}]x[{"r":{}'),
-        _text(pair, ',"r":{}'), _text("{'a':", USER, "}"), _text('{"a":[{"b":{"c":', USER, "}}]}"),
+        _text(pair, ',"r":{}'), _text("{'a':", _user(), "}"), _text('{"a":[{"b":{"c":', _user(), "}}]}"),
     )
     df = R.with_json_object(_events(spark, folder).select("event_id", line.alias("line")), "line")
     return df.select("event_id", F.col("record").isNotNull().cast("int").alias("valid"))
@@ -282,8 +290,8 @@ def _of_url(name: str, make: Callable[[Column], Column]) -> Query:
 
 def service_names(spark: SparkSession, folder: str) -> DataFrame:
     path = _cases(
-        _text("/a/node_exporter-", USER, ".log"), _text("/a/my-svc_", USER, "a.log"), _text("C:\\l\\WEB", USER, ".LOG"),
-        _text("/a/.hidden", USER), _text("/a/x", USER, ".tar.gz"), F.lit("/a/"),
+        _text("/a/node_exporter-", _user(), ".log"), _text("/a/my-svc_", _user(), "a.log"), _text("C:\\l\\WEB", _user(), ".LOG"),
+        _text("/a/.hidden", _user()), _text("/a/x", _user(), ".tar.gz"), F.lit("/a/"),
     )
     df = _events(spark, folder).select("event_id", path.alias("path"))
     return df.select("event_id", X.service_from_path(F.col("path")).alias("service"))
@@ -291,10 +299,10 @@ def service_names(spark: SparkSession, folder: str) -> DataFrame:
 
 def version_texts(spark: SparkSession, folder: str) -> DataFrame:
     text = _cases(
-        _text("x 9.9.9 [1.2.", DIGIT, "] version=7"), _text('{"version" : "a', USER, '"}'),
-        _text('"module":"m, Version=4.', DIGIT, ', x"'), _text('"Version":"B', USER, '"'),
-        _text("version: 'v", USER, "' 1.1.1"), _text("elasticsearch-7.17.", DIGIT, ".jar"),
-        _text("at 10.0.0.", DIGIT, "!"), _text("none here ", USER),
+        _text("x 9.9.9 [1.2.", _digit(), "] version=7"), _text('{"version" : "a', _user(), '"}'),
+        _text('"module":"m, Version=4.', _digit(), ', x"'), _text('"Version":"B', _user(), '"'),
+        _text("version: 'v", _user(), "' 1.1.1"), _text("elasticsearch-7.17.", _digit(), ".jar"),
+        _text("at 10.0.0.", _digit(), "!"), _text("none here ", _user()),
     )
     df = _events(spark, folder).select("event_id", text.alias("text"))
     return df.select("event_id", version_from_text(F.col("text")).alias("v"))
@@ -302,8 +310,8 @@ def version_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def syslog_span(spark: SparkSession, folder: str) -> DataFrame:
     message = _cases(
-        _text("closing <0.", EVENT, ".0>   vhost:/a, now"), _text("AMQP connection closing ", USER),
-        _text("TextExtractorService up ", USER), _text("GenericService RabbitMqSubscriber\t", USER),
+        _text("closing <0.", _event(), ".0>   vhost:/a, now"), _text("AMQP connection closing ", _user()),
+        _text("TextExtractorService up ", _user()), _text("GenericService RabbitMqSubscriber\t", _user()),
     )
     df = _events(spark, folder).select("event_id", message.alias("message"))
     message = F.col("message")
@@ -316,10 +324,10 @@ def syslog_span(spark: SparkSession, folder: str) -> DataFrame:
 
 def minimal_fields(spark: SparkSession, folder: str) -> DataFrame:
     line = _cases(
-        _text("user job (job-", USER, ") UserName: u", USER, "  "), _text("a <main", USER, ") b Trace:  t", EVENT),
-        _text("job finished ", USER, "+7"), _text("job finished ", USER), _text("x | Ошибка: не удалось ", USER),
-        _text("svc w", USER, " | WARNING 1.2.", DIGIT, ".4 crit"), _text("debugging infos, critical ", USER, " x"),
-        _text("debug: исключения trace:", USER, " x"),
+        _text("user job (job-", _user(), ") UserName: u", _user(), "  "), _text("a <main", _user(), ") b Trace:  t", _event()),
+        _text("job finished ", _user(), "+7"), _text("job finished ", _user()), _text("x | Ошибка: не удалось ", _user()),
+        _text("svc w", _user(), " | WARNING 1.2.", _digit(), ".4 crit"), _text("debugging infos, critical ", _user(), " x"),
+        _text("debug: исключения trace:", _user(), " x"),
     )
     df = _events(spark, folder).select("event_id", X.strip(line).alias("line"))
     line = F.col("line")
@@ -333,7 +341,13 @@ def minimal_fields(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- JSON rules
 
-LINE, SERVICE = F.col("line"), F.col("service")
+
+def _line() -> Column:
+    return F.col("line")
+
+
+def _service() -> Column:
+    return F.col("service")
 
 
 def _json_time_lines() -> Column:
@@ -346,69 +360,69 @@ def _json_time_lines() -> Column:
 
 def _json_level_lines() -> Column:
     return _cases(
-        _text('{"log":{"level":"error"},"level":"WARN","u":', USER, "}"),
-        _text('{"log":{"level":""},"level":"WARN","u":', USER, "}"),
-        _text('{"level":0,"log.level":"Information","u":', USER, "}"),
-        _text('{"l":"Error","msg":"[WARNING] disk ', USER, '"}'),
-        _text('{"x":{"level":"error"},"u":', USER, "}"),
-        _text('{"level":{"a":', USER, "}}"),
-        _text('{"l":"critical","level":"x","u":', USER, "}"),
+        _text('{"log":{"level":"error"},"level":"WARN","u":', _user(), "}"),
+        _text('{"log":{"level":""},"level":"WARN","u":', _user(), "}"),
+        _text('{"level":0,"log.level":"Information","u":', _user(), "}"),
+        _text('{"l":"Error","msg":"[WARNING] disk ', _user(), '"}'),
+        _text('{"x":{"level":"error"},"u":', _user(), "}"),
+        _text('{"level":{"a":', _user(), "}}"),
+        _text('{"l":"critical","level":"x","u":', _user(), "}"),
     )
 
 
 def _json_pid_lines() -> Column:
     return _cases(
-        _text('{"pid":', USER, ',"process":{"pid":1}}'), _text('{"pid":0,"process":{"pid":', USER, "}}"),
-        _text('{"process":{"pid":0,"id":"', USER, '"}}'), _text('{"process.id":0,"process.pid":"p', USER, '"}'),
-        _text('{"process.id":', USER, ',"process":"x"}'), F.lit('{"process.pid":0}'), F.lit('{"pid":1,"pid":2}'),
+        _text('{"pid":', _user(), ',"process":{"pid":1}}'), _text('{"pid":0,"process":{"pid":', _user(), "}}"),
+        _text('{"process":{"pid":0,"id":"', _user(), '"}}'), _text('{"process.id":0,"process.pid":"p', _user(), '"}'),
+        _text('{"process.id":', _user(), ',"process":"x"}'), F.lit('{"process.pid":0}'), F.lit('{"pid":1,"pid":2}'),
     )
 
 
 def _json_id_lines() -> Column:
     return _cases(
-        _text('{"trace":{"id":"t', USER, '"},"tr":"x","transaction":{"id":', USER, "}}"),
-        _text('{"trace":{"x":1},"tr":"r', USER, '","transaction":"y"}'),
-        _text('{"trace":{"id":""},"tr":"r', USER, '"}'), _text('{"tr":"","u":', USER, "}"),
+        _text('{"trace":{"id":"t', _user(), '"},"tr":"x","transaction":{"id":', _user(), "}}"),
+        _text('{"trace":{"x":1},"tr":"r', _user(), '","transaction":"y"}'),
+        _text('{"trace":{"id":""},"tr":"r', _user(), '"}'), _text('{"tr":"","u":', _user(), "}"),
     )
 
 
 def _json_name_lines() -> Column:
     return _cases(
-        _text('{"lg":"L', USER, '","tn":"T', USER, '"}'), _text('{"lg":"","logger":"a","tn":"","host":{"name":"h', USER, '"}}'),
-        _text('{"logger":"lg', USER, '","host":{"name":"h', USER, '"},"node.name":"n"}'),
-        _text('{"logger":{"name":"ln', USER, '"},"cluster.name":"c","node.name":"n', USER, '"}'),
-        _text('{"component":"c', USER, '","service":{"name":"s"},"node.name":"n', USER, '"}'),
-        _text('{"service":{"name":"s', USER, '"},"cluster.name":"c', USER, '","host":"x"}'),
-        _text('{"app_id":"a', USER, '","host":{"name":""},"node.name":"n"}'), _text('{"logger":7,"u":', USER, "}"),
+        _text('{"lg":"L', _user(), '","tn":"T', _user(), '"}'), _text('{"lg":"","logger":"a","tn":"","host":{"name":"h', _user(), '"}}'),
+        _text('{"logger":"lg', _user(), '","host":{"name":"h', _user(), '"},"node.name":"n"}'),
+        _text('{"logger":{"name":"ln', _user(), '"},"cluster.name":"c","node.name":"n', _user(), '"}'),
+        _text('{"component":"c', _user(), '","service":{"name":"s"},"node.name":"n', _user(), '"}'),
+        _text('{"service":{"name":"s', _user(), '"},"cluster.name":"c', _user(), '","host":"x"}'),
+        _text('{"app_id":"a', _user(), '","host":{"name":""},"node.name":"n"}'), _text('{"logger":7,"u":', _user(), "}"),
     )
 
 
 def _json_message_lines() -> Column:
     return _cases(
-        _text('{"mt":"m 1.2.', DIGIT, '","message":"x","v":"V', USER, '"}'),
-        _text('{"mt":"","message":"m [1.2.', DIGIT, ']","service":{"version":"S', USER, '"}}'),
-        _text('{"msg":"rel-v3.1.', DIGIT, '","service":{"version":""}}'), _text('{"message":{"a":', USER, "}}"),
-        _text('{"x":', USER, "}"),
+        _text('{"mt":"m 1.2.', _digit(), '","message":"x","v":"V', _user(), '"}'),
+        _text('{"mt":"","message":"m [1.2.', _digit(), ']","service":{"version":"S', _user(), '"}}'),
+        _text('{"msg":"rel-v3.1.', _digit(), '","service":{"version":""}}'), _text('{"message":{"a":', _user(), "}}"),
+        _text('{"x":', _user(), "}"),
     )
 
 
 def _json_error_lines() -> Column:
     return _cases(
-        _text('{"error":{"code":', USER, '},"err":"e"}'), _text('{"stack_trace":"at ', USER, '","x":1}'), _text('{"x":', USER, "}"),
+        _text('{"error":{"code":', _user(), '},"err":"e"}'), _text('{"stack_trace":"at ', _user(), '","x":1}'), _text('{"x":', _user(), "}"),
     )
 
 
 def _args_lines() -> Column:
     stamp = _text('{"@timestamp":"', S.stamp("yyyy-MM-dd HH:mm:ss.SSS"), '",')
     return _cases(
-        _text(stamp, '"level":"Warn","u":', USER, ',"e":{},"list":[]}'),
-        _text(stamp, '"level":"ERROR","name":"n', USER, '","tn":"n', USER, '"}'),
-        _text(stamp, '"log":"x","u":', USER, "}"),
-        _text(stamp, '"message":"m', USER, '","k":{"message":"m', USER, '","z":[{"time":1},{"a":', USER, "}]}}"),
-        _text(stamp, '"trace":{"id":1,"s":', USER, '},"transaction":{"id":2},"process":{"pid":3,"t":{"id":', USER, "}}}"),
-        _text(stamp, '"host":{"name":"h","ip":1,"user":{"name":"x","id":', USER, '}},"log":{"level":"a","file":"f', USER, '"}}'),
-        _text(stamp, '"host":{"user":{"name":"x"}},"u":', USER, "}"),
-        _text(stamp, '"date":"x","pid":', USER, ',"k":{"pid":"', USER, '","version":"1.0","q":[[{"time":1}]]},"v":"1.0"}'),
+        _text(stamp, '"level":"Warn","u":', _user(), ',"e":{},"list":[]}'),
+        _text(stamp, '"level":"ERROR","name":"n', _user(), '","tn":"n', _user(), '"}'),
+        _text(stamp, '"log":"x","u":', _user(), "}"),
+        _text(stamp, '"message":"m', _user(), '","k":{"message":"m', _user(), '","z":[{"time":1},{"a":', _user(), "}]}}"),
+        _text(stamp, '"trace":{"id":1,"s":', _user(), '},"transaction":{"id":2},"process":{"pid":3,"t":{"id":', _user(), "}}}"),
+        _text(stamp, '"host":{"name":"h","ip":1,"user":{"name":"x","id":', _user(), '}},"log":{"level":"a","file":"f', _user(), '"}}'),
+        _text(stamp, '"host":{"user":{"name":"x"}},"u":', _user(), "}"),
+        _text(stamp, '"date":"x","pid":', _user(), ',"k":{"pid":"', _user(), '","version":"1.0","q":[[{"time":1}]]},"v":"1.0"}'),
     )
 
 
@@ -423,10 +437,10 @@ def _args(options: Options = DEFAULT) -> Query:
 def normalize_single(spark: SparkSession, folder: str) -> DataFrame:
     stamp = S.stamp("yyyy-MM-dd HH:mm:ss.SSS")
     line = _cases(
-        _text('{"t":"', stamp, '+00:00","pid":', USER, ',"l":"Info","lg":"x","tn":"n","v":"1","q":[1]}'),
-        _text('{"time":"', stamp, '","pid":', USER, ',"msg":"m"}'),
-        _text("not json ", USER),
-        _text('["', stamp, '", ', USER, "]"),
+        _text('{"t":"', stamp, '+00:00","pid":', _user(), ',"l":"Info","lg":"x","tn":"n","v":"1","q":[1]}'),
+        _text('{"time":"', stamp, '","pid":', _user(), ',"msg":"m"}'),
+        _text("not json ", _user()),
+        _text('["', stamp, '", ', _user(), "]"),
     )
     df = _events(spark, folder).select("event_id", line.alias("line"))
     options = Options(fallback_time="2000-01-01 00:00:00.000+00:00")
@@ -454,16 +468,16 @@ def _prefixed() -> Column:
 def _ecs() -> Column:
     return _text(
         '{"@timestamp":"', S.stamp("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), '+03:00","log":{"level":"critical","logger":"L',
-        USER, '","original":"o"},"service":{"name":"s', USER, '"},"process":{"pid":', USER,
-        '},"message":"v1 [1.2.', DIGIT, ']","labels":{"a":1},"ecs":{"version":"1"},"host":{"name":"h"},"k":', USER, "}",
+        _user(), '","original":"o"},"service":{"name":"s', _user(), '"},"process":{"pid":', _user(),
+        '},"message":"v1 [1.2.', _digit(), ']","labels":{"a":1},"ecs":{"version":"1"},"host":{"name":"h"},"k":', _user(), "}",
     )
 
 
 def _es_json() -> Column:
     return _text(
         '{"type":"server","timestamp":"', S.stamp("yyyy-MM-dd'T'HH:mm:ss,SSS"),
-        '","level":"CRITICAL","component":"o.e.x","cluster.name":"c","node.name":"n', USER,
-        '","message":"v7.17.', DIGIT, '","process.id":', USER, ',"extra":', USER, "}",
+        '","level":"CRITICAL","component":"o.e.x","cluster.name":"c","node.name":"n', _user(),
+        '","message":"v7.17.', _digit(), '","process.id":', _user(), ',"extra":', _user(), "}",
     )
 
 
@@ -478,11 +492,11 @@ def _early_lines() -> Column:
     shapes = S.templates()
     return _cases(
         shapes["procrun"], shapes["syslog"], shapes["es_text"],
-        _text("plain ", S.stamp("yyyy-MM-dd HH:mm:ss,SSS"), " text ", USER),
-        _text('{"timestamp":"', S.stamp("yyyy-MM-dd HH:mm:ss.SSS"), '","level":"Warning","serviceName":"s', USER, '"}'),
-        _text('{"@timestamp":"', S.stamp("yyyy-MM-dd'T'HH:mm:ss.SSS"), 'Z","log.level":"Information","process":{"pid":', USER,
-              ',"thread":{"id":7}},"service":{"name":"e', USER, '"},"message":"m', USER, '"}'),
-        shapes["canonical"], _text('{"date":"', S.stamp("yyyy-MM-dd HH:mm:ss.SSS"), '","logger":"l', USER, '"}'),
+        _text("plain ", S.stamp("yyyy-MM-dd HH:mm:ss,SSS"), " text ", _user()),
+        _text('{"timestamp":"', S.stamp("yyyy-MM-dd HH:mm:ss.SSS"), '","level":"Warning","serviceName":"s', _user(), '"}'),
+        _text('{"@timestamp":"', S.stamp("yyyy-MM-dd'T'HH:mm:ss.SSS"), 'Z","log.level":"Information","process":{"pid":', _user(),
+              ',"thread":{"id":7}},"service":{"name":"e', _user(), '"},"message":"m', _user(), '"}'),
+        shapes["canonical"], _text('{"date":"', S.stamp("yyyy-MM-dd HH:mm:ss.SSS"), '","logger":"l', _user(), '"}'),
     )
 
 
@@ -514,7 +528,7 @@ def syslog_simple(spark: SparkSession, folder: str) -> DataFrame:
 
 def minimal_raw_line(spark: SparkSession, folder: str) -> DataFrame:
     line = _cases(
-        _text(S.stamp("yyyy-MM-dd'T'HH:mm:ss,SSS"), "  warn   <x> ", USER), S.templates()["minimal_dotted"]
+        _text(S.stamp("yyyy-MM-dd'T'HH:mm:ss,SSS"), "  warn   <x> ", _user()), S.templates()["minimal_dotted"]
     )
     records = V.minimal_with_raw_line(S.lines_of(_events(spark, folder), line))
     return records.select(*KEY, "t", "_raw_line", "_logged_at", "l", "pid", "v", "lg", "tn", _span("message").alias("message"))
@@ -573,15 +587,15 @@ QUERIES: dict[str, Query] = {
     "source_key": _of_url("source_key", X.source_key),
     "syslog_span": syslog_span,
     "json_time": _json_query(_json_time_lines, lambda view: {"t": T.parse_time(route.json_time_text(view.record))}),
-    "json_level": _json_query(_json_level_lines, lambda view: {"l": J.json_level(view, LINE)}),
-    "level_titled": _json_query(_json_level_lines, lambda view: {"l": J.json_level_titled(view, LINE)}),
+    "json_level": _json_query(_json_level_lines, lambda view: {"l": J.json_level(view, _line())}),
+    "level_titled": _json_query(_json_level_lines, lambda view: {"l": J.json_level_titled(view, _line())}),
     "json_pid": _json_query(_json_pid_lines, lambda view: {"pid": J.json_pid(view)}),
     "json_trace": _json_query(
         _json_id_lines,
         lambda view: {"trace_id": J.json_trace_id(view), "transaction_id": J.json_transaction_id(view)},
     ),
-    "json_logger": _json_query(_json_name_lines, lambda view: {"lg": J.json_logger(view, SERVICE)}),
-    "json_tenant": _json_query(_json_name_lines, lambda view: {"tn": J.json_tenant(view, SERVICE)}),
+    "json_logger": _json_query(_json_name_lines, lambda view: {"lg": J.json_logger(view, _service())}),
+    "json_tenant": _json_query(_json_name_lines, lambda view: {"tn": J.json_tenant(view, _service())}),
     "json_message": _json_query(_json_message_lines, lambda view: {"mt": J.json_message(view)}),
     "json_version": _json_query(_json_message_lines, lambda view: {"v": J.json_version(view)}),
     "json_ex": _json_query(_json_error_lines, lambda view: {"ex": F.to_json(J.json_errors(view.record))}),
