@@ -31,7 +31,7 @@ CANONICAL, JSON, PROCRUN, ES_TEXT, SYSLOG, MINIMAL = (
 
 def drop_blank(df: DataFrame, text: str = "line") -> DataFrame:
     """Strip every line and drop those with nothing left."""
-    return df.withColumn(text, strip(F.col(text))).where(F.col(text) != "")
+    return df.withColumn(text, pinned(strip(F.col(text)))).where(F.col(text) != "")
 
 
 def is_canonical(record: Column) -> Column:

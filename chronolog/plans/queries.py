@@ -20,6 +20,7 @@ from chronolog.plans import merge as M
 from chronolog.plans import normalize as N
 from chronolog.plans import sample_lines as S
 from chronolog.session import configure
+from chronolog.sources.lookup import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEY = ["file_path", "line_seq"]
@@ -256,7 +257,7 @@ def minimal_docs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def minimal_conversations(spark: SparkSession, folder: str) -> DataFrame:
-    turns = configure(spark).read.parquet(f"{folder}/conversations.parquet")
+    turns = spread(configure(spark).read.parquet(f"{folder}/conversations.parquet"), "conv_id")
     lines = turns.select(
         F.explode(F.split("text", "\n")).alias("line"), _text("/chat/", F.col("role"), ".log").alias("file_path"),
         F.col("conv_id").alias("file_block_start"), F.col("turn").alias("line_seq"),
@@ -268,7 +269,7 @@ def minimal_conversations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_tags(spark: SparkSession, folder: str) -> DataFrame:
-    pages = configure(spark).read.parquet(f"{folder}/pages.parquet")
+    pages = spread(configure(spark).read.parquet(f"{folder}/pages.parquet"), "page_id")
     lines = pages.select("page_id", F.posexplode(F.split("html", "\n")).alias("pos", "line"))
     lines = route.drop_blank(lines)
     return lines.select(

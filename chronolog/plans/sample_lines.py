@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolog.sources.lookup import spread
+
 SHAPES = [
     "procrun", "syslog", "es_text", "minimal_dotted", "minimal_piped", "json_nested", "json_flat",
     "canonical",
@@ -61,7 +63,7 @@ def templates() -> dict[str, Column]:
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/events.parquet")
+    return spread(spark.read.parquet(f"{folder}/events.parquet"), "event_id")
 
 
 def lines_of(df: DataFrame, line: Column) -> DataFrame:
@@ -91,7 +93,7 @@ def mixed_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Every line of every document: the source plays the file, (document, position) the order."""
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{folder}/documents.parquet"), "doc_id")
     parts = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return parts.select(
         "line",

@@ -11,6 +11,16 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 32
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A table that comes in fewer partitions than there are cores, spread over all cores.
+
+    Reading a line costs more than moving it, so one unsplittable file should not keep all but one
+    core idle. Tables with enough partitions, that is all large ones, are left where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """The table on reliable storage, so that it is computed once and survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
