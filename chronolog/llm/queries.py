@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolog.llm import quality
+from chronolog.llm import decontamination, line_dedup, ngram_join, quality
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,27 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "rule")
 
 
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, folder, "documents"))
+    return done.select(
+        "doc_id",
+        "removed_lines",
+        F.sha2(F.col("text"), 256).alias("text_sha256"),
+    )
+
+
+def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.groups(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "n_item", "n_shared")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op8_line_dedup": op8_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }

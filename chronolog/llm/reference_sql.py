@@ -2,4 +2,69 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(text: str) -> str:
+    return f"regexp_extract_all(translate({text}, '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+')"
+
+
+def _shingles(words: str) -> str:
+    return f"list_distinct([array_to_string({words}[i:i + 4], ' ') for i in range(1, len({words}) - 3)])"
+
+
+LINE_DEDUP = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no,
+    unnest(string_split(text, chr(10))) AS line
+  FROM documents WHERE text IS NOT NULL),
+split AS (SELECT doc_id, line_no, {_words("line")} AS w FROM lines),
+sets AS (SELECT doc_id, line_no, {_shingles("w")} AS s FROM split WHERE len(w) >= 5),
+tokens AS (SELECT doc_id, line_no, len(s) AS n, unnest(s) AS t FROM sets),
+gone AS (
+  SELECT DISTINCT doc_id, line_no FROM (
+    SELECT x.doc_id, x.line_no
+    FROM tokens x JOIN tokens y ON x.t = y.t AND (y.doc_id < x.doc_id OR y.doc_id = x.doc_id AND y.line_no < x.line_no)
+    GROUP BY x.doc_id, x.line_no, y.doc_id, y.line_no, x.n, y.n
+    HAVING 7 * count(*) >= 3 * (x.n + y.n))),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text
+  FROM lines ANTI JOIN gone USING (doc_id, line_no) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(c.n, 0) AS removed_lines,
+  CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(k.text, '')) END AS text_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN counts c USING (doc_id)
+"""
+
+NGRAM_JOIN = f"""
+WITH RECURSIVE split AS (SELECT doc_id, {_words("coalesce(text, '')")} AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN {_shingles("w")}
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM split),
+tokens AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+links AS MATERIALIZED (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM tokens x JOIN tokens y ON x.t = y.t AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.component_id
+FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON s.doc_id = m.a
+"""
+
+#: Items of fewer than five words, of which the tables have none, are left out here.
+DECONTAMINATION = f"""
+WITH held AS (
+  SELECT doc_id, unnest({_shingles("w")}) AS t FROM (SELECT doc_id, {_words("text")} AS w FROM documents) WHERE len(w) >= 5),
+sought AS (
+  SELECT item_id, len(s) AS n, unnest(s) AS t FROM (
+    SELECT item_id, {_shingles("w")} AS s FROM (SELECT item_id, {_words("text")} AS w FROM benchmark) WHERE len(w) >= 5))
+SELECT doc_id, item_id, n AS n_item, count(*) AS n_shared
+FROM held JOIN sought USING (t) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 75 * n
+"""
+
+SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": NGRAM_JOIN,
+    "op4_benchmark_decontamination": DECONTAMINATION,
+    "op8_line_dedup": LINE_DEDUP,
+}
