@@ -4,16 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolog.llm import decontamination, line_dedup, ngram_join, quality
+from chronolog.llm import bpe, decontamination, line_dedup, ngram_join, quality
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_byte_bpe(spark: SparkSession, folder: str, file: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path(file))
+    encoded = bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, ranks).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "rule")
@@ -38,6 +50,7 @@ def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op8_line_dedup": op8_line_dedup,
