@@ -1,6 +1,6 @@
 """Line dedup: later lines that match an earlier one are taken out of the documents.
 
-A line's tokens are its distinct five-word shingles, with A-Z lower-cased. A line goes when an earlier
+A line's tokens are its distinct five-word shingles, words as they stand. A line goes when an earlier
 line of the corpus (order: doc_id, hash of the text, place in the document) has the same or a similar token set,
 by a Jaccard similarity of 0.75 or more; it does not matter whether that earlier line itself stays.
 Lines of fewer than five words have no shingle and stay.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from chronolog.functions.text import pinned
 from chronolog.llm.setjoin import by_rarity, near_sizes, overlap, reach, sharing, similar
 from chronolog.llm.shared import small, written
-from chronolog.llm.shingles import distinct_hashes, folded, words
+from chronolog.llm.shingles import distinct_hashes, words
 
 LONG_ENOUGH = r"^[ \t\x0B\f\r]*([^ \t\n\x0B\f\r]+[ \t\x0B\f\r]+){4}[^ \t\n\x0B\f\r]"
 #: A line that makes up more than this part of all lines is compared at its first place only; there
@@ -42,15 +42,15 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _with_tokens(lines: DataFrame, *keep: str) -> DataFrame:
-    split = lines.select(*keep, pinned(words(folded(F.col("line")))).alias("w"))
+    split = lines.select(*keep, pinned(words(F.col("line"))).alias("w"))
     return split.select(*keep, pinned(distinct_hashes(F.col("w"))).alias("tokens"))
 
 
-def _matched(sets: DataFrame) -> DataFrame:
-    """Keys of ``sets(key, place, tokens)`` that are similar to a set at an earlier place."""
-    ordered = written(by_rarity(sets.select(F.struct("place", "key").alias("key"), "tokens")))
-    sets = ordered.select("key.key", "key.place", "n", "shared")
-    rows = sets.select(
+def _matched(sets: DataFrame, places: DataFrame) -> DataFrame:
+    """Keys of ``sets(key, tokens)`` that are similar to a set at an earlier one of ``places(key, place)``."""
+    sets = written(by_rarity(sets))
+    placed = sets.select("key", "n", "shared").join(small(places), "key")
+    rows = placed.select(
         F.struct("place", "key", "n").alias("x"),
         (F.col("n") - F.size("shared")).alias("alone"),
         F.posexplode(F.slice("shared", F.lit(1), reach(F.col("n"), F.col("shared")))).alias("at", "e"),
@@ -85,10 +85,10 @@ def later_matches(docs: DataFrame) -> DataFrame:
     compared = lines.join(F.broadcast(heavy), ["h", "h2"], "left").where("only IS NULL OR only = place")
     partnered = written(sharing(_with_tokens(compared, "h")))
     firsts = classes.join(small(partnered), "h", "left_semi").select("h", "h2", "first")
-    firsts = small(written(firsts))
-    seen = lines.join(firsts, ["h", "h2"]).where("first = place").dropDuplicates(["h", "h2"])
-    sets = _with_tokens(seen, "h", "h2", "place").select(F.struct("h", "h2").alias("key"), "place", "tokens")
-    matched = written(_matched(sets).select("key.h", "key.h2", F.lit(True).alias("whole")))
+    firsts = written(firsts.withColumn("key", F.monotonically_increasing_id()))
+    seen = lines.join(small(firsts), ["h", "h2"]).where("first = place").dropDuplicates(["key"])
+    matched = _matched(_with_tokens(seen, "key"), firsts.select("key", F.col("first").alias("place")))
+    matched = written(firsts.join(small(written(matched)), "key").select("h", "h2", F.lit(True).alias("whole")))
     hit = (
         classes.join(small(matched), ["h", "h2"], "left")
         .where("copies > 1 OR whole")

@@ -75,10 +75,11 @@ class Prepared:
         compared = full.join(F.broadcast(heavy), ["h", "h2"], "left").where("only IS NULL OR only = doc_id")
         partnered = written(sharing(compared, F.size("tokens")))
         chosen = self.classes.join(small(partnered), "h", "left_semi").select("h", "h2", F.col("first").alias("doc_id"))
-        chosen = written(chosen)
+        chosen = written(chosen.withColumn("key", F.monotonically_increasing_id()))
         seen = texts.join(small(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
-        sets = _sets(seen, "doc_id").join(small(chosen), ["h", "h2", "doc_id"], "left_semi").dropDuplicates(["h", "h2"])
-        lists = by_rarity(sets.select(F.struct("doc_id", "h", "h2").alias("key"), "tokens"))
+        sets = _sets(seen, "doc_id").join(small(chosen), ["h", "h2", "doc_id"]).dropDuplicates(["key"])
+        self.names = chosen.select("key", F.struct("doc_id", "h", "h2").alias("name"))
+        lists = by_rarity(sets.select("key", "tokens"))
         asked = lists.withColumn("asks", pinned(_matches(F.col("n"), F.col("shared"))))
         taken = reach(F.col("n"), F.col("shared"), F.col("asks"))
         self.lists = written(asked.where(taken > 0))
@@ -99,6 +100,14 @@ class Prepared:
         counted = both.select("a", "b", "n_a", "n_b", pinned(overlap(F.col("sa"), F.col("sb"))).alias("overlap"))
         return counted.where(similar(F.col("overlap"), F.col("n_a"), F.col("n_b")))
 
+    def named(self, pairs: DataFrame) -> DataFrame:
+        """Pairs of keys as pairs of class names; names begin with the least doc_id."""
+        names = small(self.names)
+        first = names.select(F.col("key").alias("a"), F.col("name").alias("name_a"))
+        second = names.select(F.col("key").alias("b"), F.col("name").alias("name_b"))
+        joined = pairs.join(first, "a").join(second, "b").drop("a", "b")
+        return joined.withColumnsRenamed({"name_a": "a", "name_b": "b"})
+
     def to_pivots(self) -> DataFrame:
         """One candidate pair per document: with the pivot it shares most prefix shingles with."""
         pivots = self.postings.groupBy("token").agg(F.max(F.struct("central", F.col("x").alias("y"))).alias("p"))
@@ -143,7 +152,7 @@ def links(docs: DataFrame) -> DataFrame:
     result may be as large as the links are many.
     """
     prepared = Prepared(docs)
-    return prepared.verified(prepared.between(None))
+    return prepared.named(prepared.verified(prepared.between(None)))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -156,7 +165,7 @@ def groups(docs: DataFrame) -> DataFrame:
     prepared = Prepared(docs)
     near = written(prepared.verified(prepared.to_pivots()).select("a", "b"))
     rest = written(prepared.verified(prepared.between(components(near))).select("a", "b"))
-    labels = components(near.union(rest)) if rest.head(1) else components(near)
+    labels = components(prepared.named(near.union(rest)).select("a", "b"))
     named = prepared.classes.select("h", "h2", F.struct(F.col("first").alias("doc_id"), "h", "h2").alias("id"))
     classes = named.join(labels, "id", "left").select("h", "h2", F.coalesce("component.doc_id", "id.doc_id").alias("component"))
     rows = prepared.rows.select("doc_id", "h", "h2", "n")

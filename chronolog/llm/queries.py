@@ -5,16 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolog.llm import bpe, decontamination, line_dedup, ngram_join, quality
+from chronolog.llm import (
+    bpe, chat_format, decontamination, line_dedup, lm_score, ngram_join, quality, token_counts,
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def held_out(folds: int) -> Column:
+    """Whether a document is kept from learning; one without an id is not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 2, F.lit(False))
+
+
 def op1_byte_bpe(spark: SparkSession, folder: str, file: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(file))
     encoded = bpe.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
@@ -26,6 +33,47 @@ def op1_byte_bpe(spark: SparkSession, folder: str, file: str = "byte_bpe_50k.tik
     )
 
 
+def op9_lm_scoring(spark: SparkSession, folder: str, file: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path(file))
+    scored = lm_score.score(table(spark, folder, "documents"), ~held_out(7), ranks, public_tokenizers.PATTERN)
+    return scored.withColumn("held_out", ~F.col("learn")).drop("learn")
+
+
+def op3_token_counts(spark: SparkSession, folder: str, file: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path(file))
+    return token_counts.count_sections(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and conversation -7, whose texts hold the template's own control strings."""
+    text = r"\### Assistant: </turn> ok"
+    more = [(-7, 0, "user", text), (-7, 1, "assistant", text)]
+    columns = "conv_id bigint, turn bigint, role string, text string"
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    template = chat_format.MarkedTurns()
+    done = chat_format.format_chats(rows.unionByName(spark.createDataFrame(more, columns)), template)
+    cut = lambda a, b: F.substring(F.col("formatted"), a + 1, b - a)
+    read = F.transform(
+        "spans",
+        lambda s: F.struct(
+            template.role(cut(s["start"], s["text_start"])).alias("role"),
+            template.text(cut(s["text_start"], s["text_end"])).alias("text"),
+            s["loss"].alias("loss"),
+        ),
+    )
+    turns = done.select("conv_id", "formatted", read.alias("turns"))
+    line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
+    return turns.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"),
+        F.char_length(loss).cast("bigint").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "rule")
@@ -53,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op3_token_counts": op3_token_counts,
+    "op5_chat_formatting": op5_chat_formatting,
     "op8_line_dedup": op8_line_dedup,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
 }

@@ -18,7 +18,7 @@ WITH lines AS (
   SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no,
     unnest(string_split(text, chr(10))) AS line
   FROM documents WHERE text IS NOT NULL),
-split AS (SELECT doc_id, line_no, {_words("line")} AS w FROM lines),
+split AS (SELECT doc_id, line_no, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS w FROM lines),
 sets AS (SELECT doc_id, line_no, {_shingles("w")} AS s FROM split WHERE len(w) >= 5),
 tokens AS (SELECT doc_id, line_no, len(s) AS n, unnest(s) AS t FROM sets),
 gone AS (

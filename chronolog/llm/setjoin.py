@@ -39,7 +39,9 @@ def sharing(sets: DataFrame, prefix: Column | None = None) -> DataFrame:
     """
     size = F.size("tokens")
     taken = F.slice("tokens", F.lit(1), prefix_size(size) if prefix is None else prefix)
+    # 48 bits of a token do: a chance meeting lets a set pass that has no partner, never the reverse
     rows = sets.where(size > 0).select("h", F.explode(taken).alias("token"))
+    rows = rows.select("h", F.shiftrightunsigned("token", 16).alias("token"))
     same = Window.partitionBy("token")
     return (
         rows.select("h", F.min("h").over(same).alias("low"), F.max("h").over(same).alias("high"))
@@ -53,7 +55,8 @@ def by_rarity(sets: DataFrame) -> DataFrame:
     """``sets(key, tokens)`` as ``(key, n, shared)``: tokens of two sets or more, rarest first.
 
     ``shared`` is an array of ``(df, token)`` structs. Tokens of one set only are left out: they come
-    first in the order, but meet nothing, and no overlap needs them. Sets without shared tokens go.
+    first in the order, but meet nothing, and no overlap needs them. Sets without shared tokens go. Keys
+    should be small numbers: each travels once with every token.
     """
     rows = sets.select("key", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     counted = rows.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
