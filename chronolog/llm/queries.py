@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolog.llm import (
-    bpe, chat_format, decontamination, line_dedup, lm_score, ngram_join, quality, token_counts,
+    bpe, chat_format, decontamination, html_text, language_id, line_dedup, lm_score, ngram_join, quality, token_counts,
 )
 
 
@@ -33,6 +33,16 @@ def op1_byte_bpe(spark: SparkSession, folder: str, file: str = "byte_bpe_50k.tik
     )
 
 
+def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
+
+
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language_id.identify(docs, language_id.train(docs, ~held_out(4)))
+    return found.select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score")
+
+
 def op9_lm_scoring(spark: SparkSession, folder: str, file: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(file))
     scored = lm_score.score(table(spark, folder, "documents"), ~held_out(7), ranks, public_tokenizers.PATTERN)
@@ -103,6 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op3_token_counts": op3_token_counts,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_html_extraction": op6_html_extraction,
+    "op7_language_id": op7_language_id,
     "op8_line_dedup": op8_line_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
