@@ -6,7 +6,7 @@ by a Jaccard similarity of 0.75 or more; it does not matter whether that earlier
 Lines of fewer than five words have no shingle and stay.
 
 How: equal lines form classes by a 128-bit hash; only a class's first line is compared. A prefix pass
-in hash order finds the classes that can have a partner at all; for these, tokens are ordered by
+in hash order finds the classes that can have a partner at all (``sharing``); for these, tokens are ordered by
 rarity, and prefix, positional and length filters give candidates, whose Jaccard is verified.
 Candidates are first sought with the earliest line of each token; only lines still unmatched then meet
 all earlier lines of their tokens, so that a family of thousands of variants makes no square of pairs.
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolog.functions.text import pinned
-from chronolog.llm.setjoin import by_rarity, near_sizes, overlap, reach, sharing, similar
+from chronolog.llm.setjoin import by_rarity, near_sizes, overlap, reach, searched, sharing, similar
 from chronolog.llm.shared import small, written
 from chronolog.llm.shingles import distinct_hashes, words
 
@@ -83,7 +83,8 @@ def later_matches(docs: DataFrame) -> DataFrame:
     total = classes.agg(F.sum("copies")).first()[0] or 0
     heavy = classes.where(F.col("copies") > max(1.0, total * HEAVY)).select("h", "h2", F.col("first").alias("only"))
     compared = lines.join(F.broadcast(heavy), ["h", "h2"], "left").where("only IS NULL OR only = place")
-    partnered = written(sharing(_with_tokens(compared, "h")))
+    sets = _with_tokens(compared, "h").select("h", F.size("tokens").alias("n"), "tokens")
+    partnered = written(sharing(sets.select("h", "n", F.slice("tokens", F.lit(1), searched(F.col("n"))).alias("tokens"))))
     firsts = classes.join(small(partnered), "h", "left_semi").select("h", "h2", "first")
     firsts = written(firsts.withColumn("key", F.monotonically_increasing_id()))
     seen = lines.join(small(firsts), ["h", "h2"]).where("first = place").dropDuplicates(["key"])

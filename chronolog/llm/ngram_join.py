@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolog.functions.text import pinned
-from chronolog.llm.setjoin import by_rarity, near_sizes, overlap, prefix_size, reach, sharing, similar
+from chronolog.llm.setjoin import by_rarity, near_sizes, overlap, reach, searched, sharing, similar
 from chronolog.llm.shared import components, small, written
 from chronolog.llm.shingles import distinct_hashes, folded, words
 
@@ -64,7 +64,7 @@ class Prepared:
     def __init__(self, docs: DataFrame) -> None:
         texts = docs.select("doc_id", "text")
         n = F.size("tokens")
-        first = F.slice("tokens", F.lit(1), F.greatest(prefix_size(n), F.lit(0)))
+        first = F.slice("tokens", F.lit(1), searched(n))
         self.rows = written(_sets(texts, "doc_id").select("doc_id", "h", "h2", n.alias("n"), first.alias("tokens")))
         full = self.rows.where("n > 0 AND doc_id IS NOT NULL")
         self.classes = written(
@@ -73,7 +73,7 @@ class Prepared:
         total = self.classes.agg(F.sum("copies")).first()[0] or 0
         heavy = self.classes.where(F.col("copies") > max(1.0, total * HEAVY)).select("h", "h2", F.col("first").alias("only"))
         compared = full.join(F.broadcast(heavy), ["h", "h2"], "left").where("only IS NULL OR only = doc_id")
-        partnered = written(sharing(compared, F.size("tokens")))
+        partnered = written(sharing(compared.select("h", "n", "tokens")))
         chosen = self.classes.join(small(partnered), "h", "left_semi").select("h", "h2", F.col("first").alias("doc_id"))
         chosen = written(chosen.withColumn("key", F.monotonically_increasing_id()))
         seen = texts.join(small(chosen.select("doc_id").distinct()), "doc_id", "left_semi")

@@ -15,9 +15,22 @@ def least_overlap(n: Column) -> Column:
     return F.floor((3 * n + 3) / 4).cast("int")
 
 
-def prefix_size(n: Column) -> Column:
-    """Of any two similar sets in one order of tokens, prefixes of this size share a token."""
-    return n - least_overlap(n) + 1
+def prefix_size(n: Column, matches: Column | int = 1) -> Column:
+    """Of any two similar sets in one order of tokens, prefixes of this size share ``matches`` tokens.
+
+    Where two sets ask for different numbers of matches, they share the lesser.
+    """
+    return F.least(n, n - least_overlap(n) + matches)
+
+
+def _asked(n: Column) -> Column:
+    """Matches that the prefix pass asks of a set of n tokens."""
+    return 1 + F.floor(n / 16).cast("int")
+
+
+def searched(n: Column) -> Column:
+    """Prefix of a set of n tokens in the prefix pass."""
+    return prefix_size(n, _asked(n))
 
 
 def similar(overlap: Column, a: Column, b: Column) -> Column:
@@ -28,27 +41,27 @@ def near_sizes(a: Column, b: Column) -> Column:
     return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
 
 
-def sharing(sets: DataFrame, prefix: Column | None = None) -> DataFrame:
-    """The ``h`` of those ``sets(h, tokens)`` that may have a partner: rows ``(h)``, distinct.
+def sharing(sets: DataFrame) -> DataFrame:
+    """The ``h`` of those ``sets(h, n, tokens)`` that may have a partner: rows ``(h)``, distinct.
 
-    Tokens come sorted, so the first ones are a prefix in the order of hashes. A set none of whose
-    prefix tokens occurs in the prefix of another ``h`` has no similar set. This takes one shuffle of a
-    quarter of the tokens and builds no pair; a common token gives a row for each set, one of the set's
-    many rows. Rows that repeat an ``h`` don't count as others. ``prefix``: how many tokens to take, where
-    it does not follow from the size of ``tokens``.
+    ``tokens`` are the first ``searched(n)`` of a set's n tokens in the order of hashes. A set stays if as many of
+    these as it must share with any similar set, which is no smaller than three quarters of it, occur in
+    another ``h`` of near size. This is one shuffle of a third of the tokens and builds no pair; a common token
+    gives one row for each set, one of the set's many. Rows that repeat an ``h`` don't count as others.
     """
-    size = F.size("tokens")
-    taken = F.slice("tokens", F.lit(1), prefix_size(size) if prefix is None else prefix)
     # 48 bits of a token do: a chance meeting lets a set pass that has no partner, never the reverse
-    rows = sets.where(size > 0).select("h", F.explode(taken).alias("token"))
-    rows = rows.select("h", F.shiftrightunsigned("token", 16).alias("token"))
+    rows = sets.select("h", "n", F.explode("tokens").alias("token"))
+    rows = rows.select("h", "n", F.shiftrightunsigned("token", 16).alias("token"))
     same = Window.partitionBy("token")
-    return (
-        rows.select("h", F.min("h").over(same).alias("low"), F.max("h").over(same).alias("high"))
-        .where("low < high")
-        .select("h")
-        .distinct()
-    )
+    by_size = same.orderBy("n", "h")
+    seen = rows.select(
+        "h", "n",
+        F.lag("h").over(by_size).alias("h_below"), F.lag("n").over(by_size).alias("below"), F.lead("n").over(by_size).alias("above"),
+        F.min("h").over(same).alias("low"), F.max("h").over(same).alias("high"),
+    )
+    near = (4 * F.col("below") >= 3 * F.col("n")) | (3 * F.col("above") <= 4 * F.col("n"))
+    met = seen.where("low < high").where(F.col("h_below").isNull() | (F.col("h_below") != F.col("h"))).where(near)
+    return met.groupBy("h", "n").count().where(F.col("count") >= _asked(least_overlap(F.col("n")))).select("h").distinct()
 
 
 def by_rarity(sets: DataFrame) -> DataFrame:
@@ -68,7 +81,7 @@ def by_rarity(sets: DataFrame) -> DataFrame:
 def reach(n: Column, shared: Column, matches: Column | int = 1) -> Column:
     """How many of ``shared`` lie in the prefix that shares ``matches`` tokens with any similar set."""
     alone = n - F.size(shared)
-    return F.greatest(F.lit(0), F.least(F.size(shared), prefix_size(n) - 1 + matches - alone))
+    return F.greatest(F.lit(0), F.least(F.size(shared), prefix_size(n, matches) - alone))
 
 
 def overlap(a: Column, b: Column) -> Column:
