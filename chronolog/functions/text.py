@@ -13,6 +13,7 @@ from chronolog.functions.fixed import FORBIDDEN_IN_NAMES, SERVICES, SPACE_CHARS,
 
 CASED = r"[\p{Lu}\p{Ll}\p{Lt}]"
 FIELD_MARK = "\u0001"
+ESCAPE = "\u0002"
 
 
 def strip(text: Column) -> Column:
@@ -46,12 +47,19 @@ def contains_any(text: Column, words: list[str]) -> Column:
 def groups(text: Column, pattern: str, count: int) -> Column:
     """All capture groups of the first match as one array, with a single regex run.
 
-    The array is shorter than ``count`` when the pattern does not match.
+    The array is shorter than ``count`` when the pattern does not match. Marks that the text itself holds
+    are escaped before and restored in the parts.
     """
     marked = FIELD_MARK.join(f"${i + 1}" for i in range(count))
     flags, body = re.match(r"(\(\?[a-zA-Z]+\))?(.*)", pattern, re.S).groups()
     lead = "" if body.startswith("^") else "^.*?"
-    return F.split(F.regexp_replace(text, (flags or "") + lead + body, marked), FIELD_MARK)
+    split = lambda t: F.split(F.regexp_replace(t, (flags or "") + lead + body, marked), FIELD_MARK)
+    escaped = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + "0")), F.lit(FIELD_MARK), F.lit(ESCAPE + "1"))
+    restored = F.transform(
+        split(escaped),
+        lambda p: F.replace(F.replace(p, F.lit(ESCAPE + "1"), F.lit(FIELD_MARK)), F.lit(ESCAPE + "0"), F.lit(ESCAPE)),
+    )
+    return F.when(F.contains(text, F.lit(FIELD_MARK)), restored).otherwise(split(text))
 
 
 def title_case(text: Column) -> Column:

@@ -20,8 +20,8 @@ from chronolog.functions.text import let, strip
 
 UTC = "+00:00"
 OFFSET = r"([+-](?:[01]\d|2[0-3]))(?::?([0-5]\d))?"
-USUAL = rf"^\d{{4}}-\d{{2}}-\d{{2}}[Tt{SPACE}]\d{{2}}:\d{{2}}:\d{{2}}(?:[.,]\d+)?{WS}*(?:Z|{OFFSET})?$"
-CLOCK_TAIL = rf"^(.*?(?:\d:\d{{2}}|T\d{{4}}(?:\d\d)?)(?:[.,]\d+)?(?:{WS}?[AaPp][Mm])?){WS}*(?:Z|UTC|GMT|{OFFSET})$"
+USUAL = rf"^\d{{4}}-\d{{2}}-\d{{2}}[Tt{SPACE}]\d{{2}}:\d{{2}}:\d{{2}}(?:[.,]\d+)?{WS}*(?:[Zz]|{OFFSET})?$"
+CLOCK_TAIL = rf"^(.*?(?:\d:\d{{2}}|T\d{{4}}(?:\d\d)?)(?:[.,]\d+)?(?:{WS}?[AaPp][Mm])?){WS}*(?:[Zz]|UTC|GMT|{OFFSET})$"
 # a year, and not just a number of seconds
 DATED = r"^(?=.*\d{4})(?:.*[^\d.].*|\d{8}(?:\d{4}(?:\d{2})?)?|.*\.\d+\..*)$"
 # what the rewrites below lead to
@@ -32,9 +32,15 @@ REWRITES = [
     (r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*[.,]?\s+", ""),
     (r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?", "$1"),
     (r"(:\d{2}),(\d)", "$1.$2"),
-    (r"(\.\d{9})\d+", "$1"),
+    # a zone's name after the clock: what is no known offset reads as UTC
+    (
+        r"(?i)(\d:\d{2}(?:\.\d+)?(?:\s?[ap]m)?)\s+(?!(?:am|pm|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\b)[a-z]{2,5}(?=\s|$)",
+        "$1",
+    ),
+    # 12:00:00 01.09.2025
+    (r"^(\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)\s+(\S.*)$", "$2 $1"),
     # Apr 3 00:10:19 2025
-    (r"^([A-Za-z]{3})\s+(\d{1,2})\s+(\d{1,2}:\d{2}:\d{2})\s+(\d{4})$", "$4-$1-$2 $3"),
+    (r"^([A-Za-z]{3})\s+(\d{1,2})\s+(\d{1,2}:\d{2}:\d{2}(?:\.\d+)?)\s+(\d{4})$", "$4-$1-$2 $3"),
     # Apr 3, 2025 ...
     (r"^([A-Za-z]{3})\s+(\d{1,2}),?\s+(\d{4})(?:[,:\s]+|$)", "$3-$1-$2 "),
     # 03/Apr/2025:... and 3 Apr 2025 ...
@@ -77,7 +83,7 @@ def _usual(text: Column) -> Column:
     after = F.substr(text, F.lit(20))
     millis = F.rpad(F.regexp_extract(after, r"^[.,](\d{1,3})", 1), 3, "0")
     wall = F.concat(F.substring(text, 1, 10), F.lit(" "), F.substring(text, 12, 8), F.lit("."), millis)
-    tail = F.regexp_replace(after, rf"^(?:[.,]\d+)?{WS}*(?:Z|{OFFSET})?$", "$1:$2")
+    tail = F.regexp_replace(after, rf"^(?:[.,]\d+)?{WS}*(?:[Zz]|{OFFSET})?$", "$1:$2")
     return _checked(wall, _offset(tail))
 
 
@@ -98,10 +104,11 @@ def parse_time(text: Column, day_first: bool = True) -> Column:
     """
 
     def parsed(clean: Column) -> Column:
-        dated = (F.length(clean) <= 64) & clean.rlike(DATED)
-        return F.when(clean.rlike(USUAL), _usual(clean)).when(dated, _other(clean, day_first))
+        return F.when(clean.rlike(USUAL), _usual(clean)).when(clean.rlike(DATED), _other(clean, day_first))
 
-    return F.when(text.isNotNull(), let(strip(text), parsed))
+    # with single blanks and short fractions no pattern looks at a place of a long text more than once
+    plain = F.regexp_replace(F.regexp_replace(strip(text), rf"{WS}+", " "), r"([.,]\d{9})\d+", "$1")
+    return F.when(text.isNotNull(), let(plain, parsed))
 
 
 def offset_of(time: Column) -> Column:

@@ -90,7 +90,10 @@ def leftovers(record: Column, options: Options = DEFAULT) -> Column:
         out = [*own, *LIFTED_KEYS, "span"]
         broken = F.lit(False)
     if options.preserve_standard:
-        restored.update({f"original_{key}": R.member(record, key) for key in LOST_KEYS})
+        # an input key of that name stays where there is nothing to keep under it
+        for key in LOST_KEYS:
+            kept = f"original_{key}"
+            restored[kept] = F.coalesce(R.member(record, key), R.member(record, kept))
     base = F.map_filter(record, lambda key, _: ~key.isin(out))
     if restored:
         pairs = [part for key, value in restored.items() for part in (F.lit(key), value)]

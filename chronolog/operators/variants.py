@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,6 +144,10 @@ def early_records(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
     Files without a service in some record are numbered by path; ECS records without one get
     numbers of their own, after the files, in file and line order.
     """
+    if options.fallback_time is None:
+        # several jobs evaluate the records: all of them take the same time for lines without one
+        now = datetime.now(timezone.utc).isoformat(" ", "milliseconds")
+        options = replace(options, fallback_time=now)
     df = R.with_json_object(drop_blank(with_time_zone(lines)), "line")
     line, record, zone = F.col("line"), F.col("record"), F.col("time_zone")
     df = df.withColumn("format", pinned(early_format(line, record)))
@@ -244,16 +251,19 @@ def _with_unknown_services(records: DataFrame) -> DataFrame:
 
 
 def simple_syslog(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
-    """Syslog lines with the host as logger, the process as tenant and the plain message."""
-    df = drop_blank(lines)
-    df = df.withColumn("parts", groups(F.col("line"), SYSLOG_PARTS, 5)).where(F.size("parts") == 5)
+    """Syslog lines with the host as logger, the process as tenant and the plain message.
+
+    Lines of another form become minimal records, whose own columns are NULL for syslog lines.
+    """
+    df = drop_blank(lines).withColumn("parts", pinned(groups(F.col("line"), SYSLOG_PARTS, 5)))
     part = lambda i: F.get("parts", F.lit(i))
-    return df.select(
+    others = minimal_with_raw_line(df.where(F.size("parts") != 5).drop("parts"), options)
+    return df.where(F.size("parts") == 5).select(
         F.coalesce(T.parse_time(part(0)), fallback_time(options)).alias("t"),
         part(3).alias("pid"), F.lit("Info").alias("l"), part(1).alias("lg"),
         strip(part(4)).alias("mt"), part(2).alias("tn"), version_from_text(part(4)).alias("v"),
         F.parse_json(F.lit("{}")).alias("args"), "file_path", "file_block_start", "line_seq",
-    )
+    ).unionByName(others, allowMissingColumns=True)
 
 
 def english_level(line: Column) -> Column:
@@ -284,11 +294,21 @@ def minimal_with_raw_line(lines: DataFrame, options: Options = DEFAULT) -> DataF
 def keep_all_json(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """JSON lines, also after a text prefix, with all their keys and the missing canonical ones.
 
-    The result has the enriched object as ``record``; lines that hold no JSON object are left out.
+    The result has the enriched object as ``record``; lines that hold no JSON object have their
+    minimal record there.
     """
-    df = drop_blank(lines)
-    df = df.withColumn("line", F.substr("line", F.instr("line", "{"))).where(F.startswith("line", F.lit("{")))
-    df = R.with_json_object(df, "line").where(F.col("record").isNotNull())
+    whole = drop_blank(lines).withColumn("_whole", F.col("line"))
+    found = F.when(F.contains("line", F.lit("{")), F.substr("line", F.instr("line", "{")))
+    df = R.with_json_object(whole.withColumn("line", found), "line").withColumn("record", pinned(F.col("record")))
+    plain = df.where(F.col("record").isNull()).select(
+        F.col("_whole").alias("line"), "file_path", "file_block_start", "line_seq"
+    )
+    minimal = minimal_with_raw_line(plain, options)
+    members = [c for c in minimal.columns if c not in ("file_path", "file_block_start", "line_seq")]
+    pairs = [part for c in members for part in (F.lit(c), F.col(c).cast("variant"))]
+    as_map = F.map_filter(F.create_map(*pairs), lambda _, value: value.isNotNull())
+    others = minimal.select(as_map.alias("record"), "file_path", "file_block_start", "line_seq")
+    df = df.where(F.col("record").isNotNull()).drop("_whole")
     df = df.withColumn("service", service_from_path(F.col("file_path")))
     case = F.when(R.has(F.col("record"), "t"), R.truthy(R.member(F.col("record"), "t")))
     written = case.otherwise(_early_time_text(F.col("record")))
@@ -296,4 +316,5 @@ def keep_all_json(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
     df = df.withColumn("_time", F.coalesce("_time", fallback_time(options)))
     df, view = J.with_view(df)
     full = J.enriched(view, F.col("line"), F.col("service"), F.col("_time"))
-    return df.select(full.alias("record"), "file_path", "file_block_start", "line_seq")
+    enriched = df.select(full.alias("record"), "file_path", "file_block_start", "line_seq")
+    return enriched.unionByName(others)

@@ -66,6 +66,12 @@ def _by_format(**columns: Column) -> Column:
     return case
 
 
+def _json_text(options: Options) -> Column:
+    """The JSON part of a line that may begin with other text."""
+    line = F.col("line")
+    return F.substr(line, F.instr(line, "{")) if options.prefixed_json else line
+
+
 def _json_columns(options: Options, view: J.View) -> dict[str, Column]:
     """Columns of JSON objects, by the chosen rules; ``v`` only where a key names it."""
     if options.json_rules == "ecs":
@@ -81,7 +87,7 @@ def _json_columns(options: Options, view: J.View) -> dict[str, Column]:
             "mt": J.or_default(view, "message", ""),
         }
     level = (
-        J.json_level_titled(view, F.col("line"))
+        J.json_level_titled(view, _json_text(options))
         if options.levels == "titled"
         else J.shorten_information(F.col("_full_level"))
     )
@@ -121,7 +127,7 @@ def with_fields(df: DataFrame, options: Options = DEFAULT, carry: tuple[str, ...
                 json=searched,
             ),
             # the level as first found, for arguments that repeat it in full
-            "_full_level": F.when(F.col("format") == "json", J.json_full_level(view, line)),
+            "_full_level": F.when(F.col("format") == "json", J.json_full_level(view, _json_text(options))),
         }
     )
     message = F.col("_message")

@@ -102,6 +102,13 @@ def parse_ts_notations(spark: SparkSession, folder: str) -> DataFrame:
         S.stamp("yyyyMMdd'T'HHmmss"),
         S.stamp("M/d/yyyy h:mm:ss a"),
         _text("not a time ", _user()),
+        _text(S.stamp("yyyy-MM-dd HH:mm:ss"), " MSK"),
+        _text(S.stamp("EEE MMM dd HH:mm:ss"), " MSK ", S.stamp("yyyy")),
+        S.stamp("EEE MMM dd HH:mm:ss.SSSSSS yyyy"),
+        _text(S.stamp("yyyy-MM-dd'T'HH:mm:ss"), "z"),
+        _text(S.stamp("EEE, dd MMM yyyy HH:mm:ss"), " EST"),
+        S.stamp("HH:mm:ss dd.MM.yyyy"),
+        _text(S.stamp("yyyy-MM-dd"), " " * 60, S.stamp("HH:mm:ss.SSS"), "0" * 60),
     )
     df = _events(spark, folder).select("event_id", text.alias("written"))
     return df.select("event_id", T.parse_time(F.col("written")).alias("t"))
@@ -188,19 +195,20 @@ def _normalized(shape: str, columns: list[str], options: Options = DEFAULT) -> Q
 def _merged(order: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         records = M.merge(S.mixed_lines(configure(spark), folder), order=order)
-        return records.select(*KEY, "t", "pid", "l", "lg", "tn", "v", "mt", "format", "time_source")
+        chosen = records.select(*KEY, "t", "pid", "l", "lg", "tn", "v", "mt", "format", "time_source")
+        return M.with_position(chosen)
 
     return run
 
 
 def merge_procrun(spark: SparkSession, folder: str) -> DataFrame:
     records = M.merge(S.shaped_lines(configure(spark), folder, "procrun"))
-    return records.select(*KEY, "t", "pid", "l", "lg", "tn", "v", "mt")
+    return M.with_position(records.select(*KEY, "t", "pid", "l", "lg", "tn", "v", "mt"))
 
 
 def merge_rendered(spark: SparkSession, folder: str) -> DataFrame:
     records = M.merge(S.shaped_lines(configure(spark), folder, "procrun"))
-    return records.select(*KEY, N.rendered(records).alias("value"))
+    return M.with_position(records.select(*KEY, N.rendered(records).alias("value")))
 
 
 def _ranked(order: str) -> Query:
@@ -463,7 +471,8 @@ def _mixed_es() -> Column:
 
 
 def _prefixed() -> Column:
-    return _text("INFO worker: ", S.templates()["json_flat"])
+    # the level of the text before the object is not the object's
+    return _text("[error] worker: ", F.replace(S.templates()["json_flat"], F.lit('"level":"Information",'), F.lit("")))
 
 
 def _ecs() -> Column:
@@ -523,8 +532,11 @@ def unknown_service_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def syslog_simple(spark: SparkSession, folder: str) -> DataFrame:
-    records = V.simple_syslog(S.shaped_lines(configure(spark), folder, "syslog"))
-    return records.select(*KEY, "t", "pid", "l", "lg", "mt", "tn", "v")
+    options = Options(fallback_time=FIXED)
+    records = V.simple_syslog(S.mixed_lines(configure(spark), folder), options)
+    syslog = F.col("args").isNotNull()
+    own = [F.when(syslog, F.col(c)).alias(c) for c in ("t", "pid", "l", "lg", "mt", "tn", "v")]
+    return records.select(*KEY, *own, (~syslog & F.col("_raw_line").isNotNull()).cast("int").alias("minimal"))
 
 
 def minimal_raw_line(spark: SparkSession, folder: str) -> DataFrame:
@@ -535,9 +547,18 @@ def minimal_raw_line(spark: SparkSession, folder: str) -> DataFrame:
     return records.select(*KEY, "t", "_raw_line", "_logged_at", "l", "pid", "v", "lg", "tn", _span("message").alias("message"))
 
 
+def json_span(spark: SparkSession, folder: str) -> DataFrame:
+    line = _text(
+        '{"timestamp":"', S.stamp("yyyy-MM-dd HH:mm:ss,SSS"), '","span":{"name":"s', _user(), '","parts":[', F.col("event_id"), ',{"a":null}]}}'
+    )
+    records = N.normalize(S.lines_of(_events(spark, folder), line))
+    return records.select(*KEY, "t", F.to_json("span").alias("span"))
+
+
 def keep_all_json(spark: SparkSession, folder: str) -> DataFrame:
     line = _cases(
-        _text("prefix ", S.templates()["json_flat"]), S.templates()["json_nested"], S.templates()["canonical"]
+        _text("prefix ", S.templates()["json_flat"]), S.templates()["json_nested"], S.templates()["canonical"],
+        S.templates()["minimal_dotted"],
     )
     records = V.keep_all_json(S.lines_of(_events(spark, folder), line))
     keys = ["t", "pid", "l", "lg", "mt", "tn", "v", "tr", "timestamp", "@timestamp", "ex"]
@@ -626,4 +647,5 @@ QUERIES: dict[str, Query] = {
     "syslog_simple": syslog_simple,
     "minimal_raw_line": minimal_raw_line,
     "keep_all_json": keep_all_json,
+    "json_span": json_span,
 }

@@ -6,8 +6,15 @@ lines were written from events.
 
 from __future__ import annotations
 
-from chronolog.functions.fixed import SERVICES
-
+# Service names, in order of precedence.
+SERVICES = [
+    "elasticsearch", "kibana", "logstash", "nginx", "apache", "redis", "postgres", "mysql", "mongo",
+    "rabbitmq", "rabbit", "kafka", "zookeeper", "traefik", "haproxy", "grafana", "prometheus",
+    "alertmanager", "consul", "vault", "nomad", "beats", "filebeat", "metricbeat", "auditbeat",
+    "journalbeat", "winlogbeat", "fluentd", "vector", "telegraf", "cadvisor", "node_exporter",
+    "blackbox_exporter", "gateway", "auth", "payment", "user", "catalog", "search", "cache", "queue",
+    "worker", "scheduler", "report", "backup", "monitor", "health", "api", "web",
+]
 FILE = "'/logs/' || event_type || '.log'"
 KEY = f"{FILE} AS file_path, event_id AS line_seq"
 TITLE = "upper(event_type[1]) || lower(event_type[2:])"
@@ -147,8 +154,9 @@ def shape(values: dict[str, str], *names: str) -> str:
     return of_events(KEY, *[f"{values[n]} AS {n}" for n in names])
 
 
-def mixed(*names: str) -> str:
-    return of_events(KEY, *[f"{cases(8, *[s[n] for s in SHAPES])} AS {n}" for n in names])
+def mixed(*names: str, instant: bool = False) -> str:
+    columns = [f"{cases(8, *[s[n] for s in SHAPES])} AS {n}" for n in names]
+    return of_events(KEY, *columns, *([f"{INSTANT} AS instant"] if instant else []))
 
 
 INSTANT = cases(
@@ -161,13 +169,21 @@ def ranked(order: str, rank: str = "") -> str:
     return f"SELECT file_path, line_seq, t, row_number() OVER (ORDER BY {order}) - 1 AS position FROM ({inner})"
 
 
+def merged(records: str) -> str:
+    """Rows and their place in the order of their times; all offsets the same unless ``instant`` is there."""
+    if " AS instant" in records:
+        numbered = "row_number() OVER (ORDER BY instant, file_path, line_seq) - 1 AS position"
+        return f"SELECT * EXCLUDE (instant), {numbered} FROM ({records})"
+    return f"SELECT *, row_number() OVER (ORDER BY t, file_path, line_seq) - 1 AS position FROM ({records})"
+
+
 RENDERED = (
     "'{\"t\":\"' || t || '\",\"pid\":\"' || pid || '\",\"l\":\"Info\",\"lg\":\"Commons Daemon\",\"tn\":\"' || tn ||"
     " '\",\"v\":\"' || v || '\",\"mt\":\"' || mt || '\",\"args\":{}}'"
 )
 LEVEL_TEXTS = ["'error'", "'WARN'", "'Info'", "'Warn'", "'Info'", "'{\"a\":' || user_id || '}'", "'x'"]
 TITLED_TEXTS = ["'Error'", "'Warn'", "'Info'", "'Error'", "'Info'", "'{\"A\":' || user_id || '}'", "'Fatal'"]
-NOTATIONS = [T3, T0, T0, f"{SEC} || '.000+03:00'", T0, T0, T0, "NULL::VARCHAR"]
+NOTATIONS = [T3, T0, T0, f"{SEC} || '.000+03:00'", T0, T0, T0, "NULL::VARCHAR", T0, T0, T3, T0, T0, T0, T3]
 ARGS_CLEAN = [
     "'{\"u\":' || user_id || '}'", "'{\"level\":\"ERROR\"}'", "NULL::VARCHAR",
     "'{\"k\":{\"z\":[{\"a\":' || user_id || '}]}}'",
@@ -205,15 +221,15 @@ UNKNOWN = (
 )
 
 SQL: dict[str, str] = {
-    "merge_procrun": shape(PROCRUN, *RECORD),
-    "merge_rendered": f"SELECT file_path, line_seq, {RENDERED} AS value FROM ({shape(PROCRUN, *RECORD)})",
+    "merge_procrun": merged(shape(PROCRUN, *RECORD)),
+    "merge_rendered": f"SELECT file_path, line_seq, {RENDERED} AS value, position FROM ({merged(shape(PROCRUN, *RECORD))})",
     "parse_ts_iso": of_events("event_id", f"{T3} AS t"),
     "parse_ts_offset": of_events(
         "event_id", f"{SEC3} || {cases(4, *[repr(o) for o in ('+03:00', '-05:30', '+05:00', '+00:00')])} AS t",
         f"{cases(4, *[repr(o) for o in ('+03:00', '-05:30', '+05:00', '+00:00')])} AS tz_offset",
         "strftime(ts - to_minutes(CASE event_id % 4 WHEN 0 THEN 180 WHEN 1 THEN -330 WHEN 2 THEN 300 ELSE 0 END), '%Y-%m-%d %H:%M:%S.%g') AS instant",
     ),
-    "parse_ts_notations": of_events("event_id", f"{cases(8, *NOTATIONS)} AS t"),
+    "parse_ts_notations": of_events("event_id", f"{cases(15, *NOTATIONS)} AS t"),
     "format_ts": of_events(
         "event_id",
         "strftime(ts + to_minutes(CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 180 ELSE -330 END), '%Y-%m-%d %H:%M:%S.%g')"
@@ -333,7 +349,7 @@ SQL: dict[str, str] = {
         ) + " AS out",
     ),
     "union_all": f"{shape(PROCRUN, 't', 'pid', 'mt', 'format')} UNION ALL {shape(FLAT, 't', 'pid', 'mt', 'format')}",
-    "merge_all": mixed(*RECORD, "format", "time_source"),
+    "merge_all": merged(mixed(*RECORD, "format", "time_source", instant=True)),
     "merge_text_order": ranked("t, file_path, line_seq"),
     "merge_rank": ranked("instant, file_path, line_seq"),
     "sort_files": ranked("file_path, t, line_seq"),
@@ -348,6 +364,7 @@ SQL: dict[str, str] = {
         f"'7.17.' || {DIGIT} AS v", "'fallback_now' AS time_source",
     ),
     "json_prefixed": shape(FLAT, "format", *RECORD),
+    "json_span": of_events(KEY, f"{T3} AS t", "'{\"name\":\"s' || user_id || '\",\"parts\":[' || event_id || ',{\"a\":null}]}' AS span"),
     "ecs_norm": of_events(
         KEY, "'json' AS format", f"{SEC3} || '+03:00' AS t", f"{USER} AS pid", "'Fatal' AS l", "'L' || user_id AS lg",
         "'s' || user_id AS tn", f"'1.2.' || {DIGIT} AS v", f"'v1 [1.2.' || {DIGIT} || ']' AS mt",
@@ -369,8 +386,16 @@ SQL: dict[str, str] = {
         " (SELECT DISTINCT '/docs/' || source || '.log' AS file_path FROM documents)"
     ),
     "syslog_simple": of_events(
-        KEY, f"{SYSLOG['t']} AS t", f"{USER} AS pid", "'Info' AS l", "'host-' || (user_id % 5) AS lg",
-        "'AMQP connection <0.' || event_id || '.0> closed, vhost:/, user ' || event_type AS mt", "'rabbitmq' AS tn", "'0.' || event_id || '.0' AS v",
+        KEY,
+        *[
+            f"CASE event_id % 8 WHEN 1 THEN {value} END AS {name}"
+            for name, value in {
+                "t": SYSLOG["t"], "pid": USER, "l": "'Info'", "lg": "'host-' || (user_id % 5)",
+                "mt": "'AMQP connection <0.' || event_id || '.0> closed, vhost:/, user ' || event_type",
+                "tn": "'rabbitmq'", "v": "'0.' || event_id || '.0'",
+            }.items()
+        ],
+        "CASE event_id % 8 WHEN 1 THEN 0 ELSE 1 END AS minimal",
     ),
     "minimal_raw_line": of_events(
         KEY, f"{cases(2, T3, T0)} AS t",
@@ -381,15 +406,16 @@ SQL: dict[str, str] = {
         f"{cases(2, 'strftime(ts, ' + chr(39) + '%Y-%m-%dT%H:%M:%S,%g' + chr(39) + ') || ' + chr(39) + ' warn ' + chr(39) + ' || user_id', DOTTED_LINE)} AS message",
     ),
     "keep_all_json": of_events(
-        KEY, f"{T3} AS t", f"{cases(3, chr(39) + '1' + chr(39), USER, USER)} AS pid",
-        cases(3, "'Info'", "'Error'", "'Info'") + " AS l", "event_type AS lg",
-        cases(3, FLAT["mt"], NESTED["mt"], CANONICAL["mt"]) + " AS mt",
-        cases(3, FLAT["tn"], NESTED["tn"], CANONICAL["tn"]) + " AS tn",
-        cases(3, FLAT["v"], NESTED["v"], CANONICAL["v"]) + " AS v",
-        cases(3, "NULL", "'t' || event_id", "NULL") + " AS tr",
-        "CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S,%g') END AS timestamp",
-        "CASE event_id % 3 WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' END AS at_timestamp",
-        "CASE event_id % 3 WHEN 0 THEN '{\"error\":{\"code\":' || user_id || '}}' END AS ex",
-        cases(3, "15", "15", "7") + " AS keys",
+        KEY, f"{cases(4, T3, T3, T3, T0)} AS t", f"{cases(4, chr(39) + '1' + chr(39), USER, USER, DOTTED['pid'])} AS pid",
+        cases(4, "'Info'", "'Error'", "'Info'", DOTTED["l"]) + " AS l",
+        cases(4, "event_type", "event_type", "event_type", DOTTED["lg"]) + " AS lg",
+        cases(4, FLAT["mt"], NESTED["mt"], CANONICAL["mt"], "NULL") + " AS mt",
+        cases(4, FLAT["tn"], NESTED["tn"], CANONICAL["tn"], DOTTED["tn"]) + " AS tn",
+        cases(4, FLAT["v"], NESTED["v"], CANONICAL["v"], DOTTED["v"]) + " AS v",
+        cases(4, "NULL", "'t' || event_id", "NULL", "NULL") + " AS tr",
+        "CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S,%g') END AS timestamp",
+        "CASE event_id % 4 WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' END AS at_timestamp",
+        "CASE event_id % 4 WHEN 0 THEN '{\"error\":{\"code\":' || user_id || '}}' END AS ex",
+        cases(4, "15", "15", "7", "8") + " AS keys",
     ),
 }

@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 import datetime
+import logging
 import math
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolog.operators.route import drop_blank
 from chronolog.options import DEFAULT, Options
 from chronolog.plans import merge as M
 from chronolog.plans import normalize as N
 from chronolog.sources.files import SUFFIXES, file_listing, read_folder
+from chronolog.sources.lookup import materialized
 
 RANGE_BYTES = 256 * 1024 * 1024
+#: So many files without lines are named in the log.
+LOGGED = 100
+#: Part files are numbered with five digits; with more of them, name order would not be sort order.
+MOST_RANGES = 99_999
 
 
 def default_name(day: datetime.date | None = None) -> str:
@@ -43,8 +50,11 @@ def write_table(records: DataFrame, path: str, mode: str = "errorifexists") -> N
 
 
 def ranges_for(size: int, minimum: int = 1, target: int = RANGE_BYTES) -> int:
-    """Number of sort ranges for an input of so many bytes."""
-    return max(minimum, math.ceil(size / target))
+    """Number of sort ranges for an input of so many bytes, never more than part names can order.
+
+    Beyond that, ranges get larger; the sort within a range spills.
+    """
+    return min(MOST_RANGES, max(minimum, math.ceil(size / target)))
 
 
 def merge_folder(
@@ -56,13 +66,18 @@ def merge_folder(
     encoding_profile: str = "utf8_first",
     suffixes: Iterable[str] = SUFFIXES,
 ) -> dict[str, int]:
-    """Merge every log file below a folder; returns files found, records and bytes written.
+    """Merge every log file below a folder; returns files found and read, records and bytes written.
 
-    The sort gets one range per 256 MB of input, and never fewer than the session's setting.
+    ``files_read`` counts files that gave records: one with blank lines only, or one that could not be read, is
+    found, but not counted there, and is logged. The sort gets one range per 256 MB of input, and never fewer than the session's setting.
     """
     suffixes = tuple(suffixes)
     found = file_listing(spark, folder, suffixes).agg(F.count(F.lit(1)), F.sum("length")).first()
     ranges = ranges_for(found[1] or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
     lines = read_folder(spark, folder, suffixes, encoding_profile)
     metrics = write_merged(M.merge(lines, options, order, ranges), out)
-    return {"files": found[0], **metrics}
+    read = materialized(drop_blank(lines).select("file_path").distinct())
+    silent = file_listing(spark, folder, suffixes).join(read, "file_path", "left_anti")
+    for row in silent.select("file_path").limit(LOGGED).collect():
+        logging.getLogger(__name__).warning("no record came from %s", row.file_path)
+    return {"files": found[0], "files_read": read.count(), **metrics}

@@ -24,25 +24,18 @@ def file_encodings(raw: DataFrame, profile: str = "utf8_first") -> DataFrame:
     """Files not to be read as UTF-8, and how to read them.
 
     A file is UTF-8 when all its lines are; else windows-1251 (``cp1251``) unless the byte that it
-    does not define occurs; else the profile's last resort, with replacement characters. The profile
-    ``cp1251_first`` also prefers windows-1251 for files with a single multi-byte character, too
-    little to call them UTF-8. One map-side combined aggregation with at most one row per file.
+    does not define occurs; else the profile's last resort, with replacement characters: the bytes
+    as UTF-8, or, for ``cp1251_first``, as windows-1251. One map-side combined aggregation with at most
+    one row per file.
     """
     line = F.col("line")
-    facts = [
+    per_file = raw.groupBy("file_path").agg(
         F.bool_and(F.is_valid_utf8(line)).alias("utf8"),
         F.bool_or(F.contains(_bytes(line), F.lit(UNASSIGNED))).alias("unassigned"),
-    ]
-    if profile == "cp1251_first":
-        wide = F.length(F.regexp_replace(F.make_valid_utf8(line), r"[\x00-\x7f]+", ""))
-        facts.append(F.sum(F.when(is_ascii(line), F.lit(0)).otherwise(wide)).alias("wide"))
-    per_file = raw.groupBy("file_path").agg(*facts)
-    odd, last_resort = ~F.col("utf8"), "replace"
-    if profile == "cp1251_first":
-        odd = odd | ((F.col("wide") == 1) & ~F.col("unassigned"))
-        last_resort = "cp1251_replace"
+    )
+    last_resort = "cp1251_replace" if profile == "cp1251_first" else "replace"
     encoding = F.when(F.col("unassigned"), F.lit(last_resort)).otherwise(F.lit("cp1251"))
-    return per_file.where(odd).select("file_path", encoding.alias("encoding"))
+    return per_file.where(~F.col("utf8")).select("file_path", encoding.alias("encoding"))
 
 
 def decode_lines(raw: DataFrame, profile: str = "utf8_first") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from chronolog.sources.encoding import decode_lines
 
 SUFFIXES = ("log", "json", "ndjson")
 LEGACY_SUFFIXES = ("log", "json")
+MISSING, FOLDER = "missing", "folder"
 
 
 def _pattern(suffixes: tuple[str, ...]) -> str:
@@ -49,14 +52,45 @@ def read_files(
     encoding_profile: str = "utf8_first",
     skip_unreadable: bool = True,
 ) -> DataFrame:
-    """Lines of the listed files, a file listed twice read twice; other suffixes are left out."""
-    wanted = [p for p in paths if p.rsplit(".", 1)[-1].lower() in suffixes]
-    if not wanted:
+    """Lines of the listed files, a file listed twice read twice; other suffixes are left out.
+
+    A folder in the list is read with everything below it. What does not exist is skipped and logged, as
+    ``path_faults`` tells beforehand; with ``skip_unreadable`` off it is an error.
+    """
+    faults = path_faults(spark, paths)
+    for path, fault in faults.items():
+        if fault == MISSING:
+            if not skip_unreadable:
+                raise FileNotFoundError(path)
+            logging.getLogger(__name__).warning("skipped, no such file: %s", path)
+    folders = [p for p in paths if faults.get(p) == FOLDER]
+    wanted = [p for p in paths if p not in faults and p.rsplit(".", 1)[-1].lower() in suffixes]
+    tables = [_reader(spark, skip_unreadable).text(wanted)] if wanted else []
+    if folders:
+        below = _reader(spark, skip_unreadable).option("recursiveFileLookup", "true")
+        tables.append(below.option("pathGlobFilter", _pattern(suffixes)).text(folders))
+    if not tables:
         return _none(spark)
-    lines = raw_lines(_reader(spark, skip_unreadable).text(wanted))
+    lines = raw_lines(tables[0])
+    for table in tables[1:]:
+        lines = lines.unionByName(raw_lines(table))
     return decode_lines(lines, encoding_profile)
 
 
+def path_faults(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """Of the listed paths those that are no file: ``missing`` or ``folder``. Patterns match files."""
+    context = spark.sparkContext
+    faults = {}
+    for path in dict.fromkeys(paths):
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        found = place.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(place)
+        if not found:
+            faults[path] = MISSING
+        elif any(status.isDirectory() for status in found):
+            faults[path] = FOLDER
+    return faults
+
+
 def read_folder(
     spark: SparkSession,
     folder: str,

@@ -134,3 +134,49 @@ def test_new_files_of_a_folder(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert {r.l for r in back.select("l").collect()} == {"Error", "Info"}
     assert back.select(rendered(back)).count() == 2
+
+
+def test_valid_utf8_wins_in_every_profile(spark, tmp_path):
+    (tmp_path / "one.log").write_bytes("café\n".encode())
+    for profile in ("utf8_first", "cp1251_first"):
+        assert lines_of(files.read_folder(spark, str(tmp_path), encoding_profile=profile), "one.log") == ["café"]
+
+
+def test_missing_paths_and_folders_in_a_list(spark, folder):
+    path = str(folder / "a/app.log")
+    gone = str(folder / "gone.log")
+    assert files.path_faults(spark, [path, gone, str(folder / "b")]) == {gone: "missing", str(folder / "b"): "folder"}
+    rows = files.read_files(spark, [path, gone, str(folder / "b")]).collect()
+    assert sorted(r.line for r in rows) == ["2025-04-03 00:00:02 from b", "2025-04-03 00:00:03 from a"]
+    with pytest.raises(FileNotFoundError):
+        files.read_files(spark, [path, gone], skip_unreadable=False)
+
+
+def test_merge_tells_which_files_gave_no_line(spark, tmp_path, caplog):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/full.log").write_text("2025-04-03 00:00:03 x\n")
+    (tmp_path / "in/empty.log").write_text(" \n\n")
+    found = sinks.merge_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert (found["files"], found["files_read"], found["records"]) == (2, 1, 1)
+    assert "empty.log" in caplog.text
+
+
+def test_parts_never_outnumber_their_names():
+    size = 200 * 10**12
+    assert sinks.ranges_for(size) == 99_999 and sinks.ranges_for(size, 10**6) == 99_999
+    names = [f"part-{k:05d}-x" for k in (0, 9, 10, 99_998)]
+    assert names == sorted(names)
+
+
+def test_lookup_without_broadcast_spreads_rows(spark):
+    lines = spark.range(4000).select(
+        F.when(F.col("id") % 2 == 0, F.lit("hot")).when(F.col("id") % 4 == 1, F.lit("cold")).alias("file"),
+        F.lit(0).alias("file_block_start"), F.col("id").alias("line_seq"),
+    )
+    facts = spark.createDataFrame([("hot", "a"), ("other", "b")], "file_path string, fact string")
+    joined = lookup_by_file(lines, facts, "file", broadcast_bytes=0, lines_per_copy=100)
+    broadcast = lookup_by_file(lines, facts, "file")
+    key = lambda df: sorted((r.line_seq, r.file or "", r.fact or "") for r in df.collect())
+    assert key(joined) == key(broadcast)
+    none = joined.where("file IS NULL").groupBy(F.spark_partition_id()).count().collect()
+    assert len(none) > 1 and max(r["count"] for r in none) < 1000

@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from chronolog.plans.queries import QUERIES
+from chronolog.plans.reference_sql import SQL
 
 FOLDER = Path("/root/testdata/sf0.001")
 
@@ -18,12 +20,13 @@ def sql():
     return connection
 
 
-def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+def test_every_query_of_the_library_has_sql():
+    assert set(QUERIES) == set(SQL)
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.skipif(not FOLDER.exists(), reason="test tables are not here")
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_query_equals_sql(spark, sql, name):
     df = entry.queries()[name](spark, str(FOLDER))
     names = sorted(df.columns)

@@ -121,3 +121,20 @@ def test_prune_keeps_what_is_not_repeated():
     node = {"a": {"level": "ERROR", "pid": 5, "b": [{"name": "n"}, {}, [], 0, {"x": {"version": "1"}}]}, "z": {"time": 1}}
     assert prune(node, known) == {"a": {"b": [[], 0]}}
     assert prune(node, {}, keep_empty=True)["z"] == {}
+
+
+def test_long_and_odd_lines_are_not_demoted(spark):
+    got = records(spark, ["2025-04-03T00:10:19.148203+03:00 host p[1]: a \u0001 b", "[2025-04-03T00:10:19,148][WARN][lg] [P1] [svc] m\u0001\u0002n"])
+    assert got[0][0] == "syslog" and got[0][1]["span"]["message"] == "a \u0001 b"
+    assert got[1][0] == "es_text" and got[1][1]["mt"] == "m\u0001\u0002n"
+
+
+def test_input_original_keys_stay(spark):
+    options = Options(preserve_standard=True)
+    got = records(spark, ['{"original_l":"mine","k":1}', '{"original_l":"mine","l":"E"}'], options)
+    assert got[0][1]["args"] == {"original_l": "mine", "k": 1}
+    assert got[1][1]["args"] == {"original_l": "E"}
+
+
+def test_level_of_prefixed_json_is_its_own(spark):
+    assert records(spark, ['[error] worker {"a":1}'], Options(prefixed_json=True))[0][1]["l"] == "Info"
