@@ -52,8 +52,8 @@ def sharing(sets: DataFrame) -> DataFrame:
     # 48 bits of a token do: a chance meeting lets a set pass that has no partner, never the reverse
     rows = sets.select("h", "n", F.explode("tokens").alias("token"))
     rows = rows.select("h", "n", F.shiftrightunsigned("token", 16).alias("token"))
-    same = Window.partitionBy("token")
-    by_size = same.orderBy("n", "h")
+    by_size = Window.partitionBy("token").orderBy("n", "h")
+    same = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     seen = rows.select(
         "h", "n",
         F.lag("h").over(by_size).alias("h_below"), F.lag("n").over(by_size).alias("below"), F.lead("n").over(by_size).alias("above"),
