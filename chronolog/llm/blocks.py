@@ -19,10 +19,10 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from chronolog.llm import spans
-from chronolog.llm.shared import shared_folder
+from chronolog.llm.shared import bucketed
 
 #: A block ends after about this many code points; a longer text fills a block alone.
-BLOCK = 24 << 20
+BLOCK = 12 << 20
 SCHEMA = "block bigint, id string, learn boolean, c0 binary, c1 binary, c2 binary, bucket int, places binary, words binary, counts binary"
 ARROW = pa.schema(
     [("block", pa.int64()), ("id", pa.string()), ("learn", pa.bool_())]
@@ -152,23 +152,16 @@ def block_table(texts: DataFrame, split: Split, lower: bool = False) -> DataFram
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _Block()
         for batch in batches:
-            ids, words, learn = (batch.column(k).to_pylist() for k in range(3))
-            for a in range(0, len(ids), 500):
-                block.add(ids[a : a + 500], learn[a : a + 500], [w or "" for w in words[a : a + 500]], split, lower)
+            for a in range(0, len(batch), 200):
+                ids, texts, learn = (batch.slice(a, 200).column(k).to_pylist() for k in range(3))
+                block.add(ids, learn, [t or "" for t in texts], split, lower)
                 if block.size >= BLOCK:
                     yield from block.rows(buckets)
                     block = _Block()
         if block.texts:
             yield from block.rows(buckets)
 
-    name = f"chronolog_blocks_{uuid.uuid4().hex}"
-    rows = texts.select("id", "text", "learn").mapInArrow(pack, SCHEMA)
-    writer = rows.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}")
-    writer.bucketBy(partitions, "block").saveAsTable(name)
-    table = spark.table(name)
-    table.schema  # resolved: the files stay when the catalog forgets the name
-    spark.sql(f"DROP TABLE {name}")
-    return table
+    return bucketed(texts.select("id", "text", "learn").mapInArrow(pack, SCHEMA), "block")
 
 
 def text_rows(table: DataFrame) -> DataFrame:

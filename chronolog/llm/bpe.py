@@ -22,7 +22,7 @@ from chronolog.llm import spans
 from chronolog.llm.blocks import block_table, dictionary_rows, joined_planes, packed, text_rows, unpacked, unpacked_words
 
 #: A task remembers the ids of so many words; beyond, it forgets them and may encode a word again.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

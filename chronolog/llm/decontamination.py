@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolog.functions.text import pinned
-from chronolog.llm.shared import small, written
+from chronolog.llm.shared import fresh, small, written
 from chronolog.llm.shingles import WIDTH, folded, hashes, words
 
 
@@ -96,6 +96,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents in which no item is found; own columns and rows."""
-    found = written(leaks(docs, items).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct())
-    same = (F.xxhash64("text") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    ident, hashed = fresh("id", "h")
+    found = written(leaks(docs, items).select(F.col("doc_id").alias(ident), F.col("h").alias(hashed)).distinct())
+    same = (F.xxhash64("text") == F.col(hashed)) & F.col("doc_id").eqNullSafe(F.col(ident))
     return docs.join(small(found), same, "left_anti")

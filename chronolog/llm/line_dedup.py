@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from chronolog.functions.text import pinned
 from chronolog.llm.setjoin import by_rarity, near_sizes, overlap, reach, searched, sharing, similar
-from chronolog.llm.shared import small, written
+from chronolog.llm.shared import fresh, small, written
 from chronolog.llm.shingles import distinct_hashes, words
 
 LONG_ENOUGH = r"^[ \t\x0B\f\r]*([^ \t\n\x0B\f\r]+[ \t\x0B\f\r]+){4}[^ \t\n\x0B\f\r]"
@@ -50,11 +50,12 @@ def _matched(sets: DataFrame, places: DataFrame) -> DataFrame:
     """Keys of ``sets(key, tokens)`` that are similar to a set at an earlier one of ``places(key, place)``."""
     sets = written(by_rarity(sets))
     placed = sets.select("key", "n", "shared").join(small(places), "key")
-    rows = placed.select(
+    described = placed.select(
         F.struct("place", "key", "n").alias("x"),
         (F.col("n") - F.size("shared")).alias("alone"),
-        F.posexplode(F.slice("shared", F.lit(1), reach(F.col("n"), F.col("shared")))).alias("at", "e"),
-    ).select("x", (F.col("alone") + F.col("at")).alias("i"), F.col("e.token").alias("token"))
+        F.slice("shared", F.lit(1), reach(F.col("n"), F.col("shared"))).alias("first"),
+    )
+    rows = described.select("x", "alone", F.posexplode("first").alias("at", "e")).select("x", (F.col("alone") + F.col("at")).alias("i"), F.col("e.token").alias("token"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         chosen = pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
@@ -107,15 +108,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     document; a null id comes first in the order. An empty table gives an empty table. A column that
     is already called ``removed_lines`` is replaced.
     """
-    gone = written(later_matches(docs)).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("lines").alias("_lines"))
-    joined = docs.drop("removed_lines").withColumn("_hash", _row_hash()).join(
-        small(gone), (F.col("_hash") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left"
+    ident, row, lines, hashed, split = fresh("id", "row", "lines", "hash", "split")
+    gone = written(later_matches(docs)).select(F.col("doc_id").alias(ident), F.col("row").alias(row), F.col("lines").alias(lines))
+    joined = docs.drop("removed_lines").withColumn(hashed, _row_hash()).join(
+        small(gone), (F.col(hashed) == F.col(row)) & F.col("doc_id").eqNullSafe(F.col(ident)), "left"
     )
-    stays = F.array_except(F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1), F.col("_lines"))
-    packed = joined.withColumn("_all", pinned(F.when(F.col("_lines").isNotNull(), F.split("text", "\n"))))
-    text = F.array_join(F.transform(stays, lambda i: F.get(F.col("_all"), i)), "\n")
+    stays = F.array_except(F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1), F.col(lines))
+    packed = joined.withColumn(split, pinned(F.when(F.col(lines).isNotNull(), F.split("text", "\n"))))
+    text = F.array_join(F.transform(stays, lambda i: F.get(F.col(split), i)), "\n")
     return (
-        packed.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(text))
-        .withColumn("removed_lines", F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("bigint"))
-        .drop("_hash", "_id", "_row", "_lines", "_all")
+        packed.withColumn("text", F.when(F.col(lines).isNull(), F.col("text")).otherwise(text))
+        .withColumn("removed_lines", F.when(F.col(lines).isNull(), 0).otherwise(F.size(lines)).cast("bigint"))
+        .drop(ident, row, lines, hashed, split)
     )

@@ -26,7 +26,7 @@ from chronolog.llm.blocks import (
 from chronolog.llm.shared import written
 
 #: Words of one bucket that a task keeps scores of; beyond, it forgets them and may weigh a word again.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 
 def with_arc(lattice: float, count: int, tokens: int, kinds: int) -> float:

@@ -4,12 +4,12 @@ Exact copies (of the word sequence, A-Z lower-cased) form classes by a 128-bit h
 stands for its class. A prefix pass in hash order finds the documents that can have a partner at
 all. For these, shingles are ordered by rarity, and each document chooses how many matches it asks for:
 a prefix longer by one shingle for each further match, where the estimated cost of candidates falls by
-it. Two documents become a candidate when their prefixes share as many shingles as the lesser of the
-two asks; then the overlap is counted exactly.
+it. Two documents become a candidate when their prefixes, cut to what the sizes of the pair demand, share as
+many shingles as the lesser of the two asks; then the overlap is counted exactly.
 
 ``groups`` needs no pair inside a group that is known to hang together: each document is first compared
-with one pivot, the most central document among those it meets most often; only documents in
-different components then meet. ``links`` gives every pair between class representatives.
+with one pivot, of the documents that hold fewest shingles of their own the one it shares most with; only
+documents in different components then meet. ``links`` gives every pair between class representatives.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolog.functions.text import pinned
-from chronolog.llm.setjoin import by_rarity, near_sizes, overlap, reach, searched, sharing, similar
-from chronolog.llm.shared import components, small, written
+from chronolog.llm.setjoin import by_rarity, near_sizes, reach, searched, sharing, similar
+from chronolog.llm.shared import bucketed, components, fresh, small, written
 from chronolog.llm.shingles import distinct_hashes, folded, words
 
 #: Most matches a document may ask for.
@@ -58,6 +58,18 @@ def _matches(n: Column, shared: Column) -> Column:
     return F.array_min(options)["m"]
 
 
+def _may_meet() -> Column:
+    """Whether a token at place i of x and j of y can be among the first that a similar pair must share.
+
+    For sizes a and b they share at least 3 (a + b) / 7 tokens. Of these the first m, m being the lesser number
+    of matches asked for, lie before place a - 3 (a + b) / 7 + m of x, and likewise in y.
+    """
+    a, b = F.col("x.n"), F.col("y.n")
+    m = F.least("x.asks", "y.asks")
+    early = lambda n, place: 7 * (n - F.col(place) + m - 1) >= 3 * (a + b)
+    return near_sizes(a, b) & early(a, "i") & early(b, "j")
+
+
 class Prepared:
     """Written tables of one join: all rows' hashes, classes, rarity lists and prefix postings."""
 
@@ -77,27 +89,32 @@ class Prepared:
         chosen = self.classes.join(small(partnered), "h", "left_semi").select("h", "h2", F.col("first").alias("doc_id"))
         chosen = written(chosen.withColumn("key", F.monotonically_increasing_id()))
         seen = texts.join(small(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
-        sets = _sets(seen, "doc_id").join(small(chosen), ["h", "h2", "doc_id"]).dropDuplicates(["key"])
+        sets = _sets(seen, "doc_id").join(small(chosen), ["h", "h2", "doc_id"]).select("key", "tokens")
+        rows = full.join(small(chosen), ["h", "h2", "doc_id"], "left_semi")
+        if rows.groupBy("doc_id", "h", "h2").count().where("count > 1").head(1):
+            sets = sets.dropDuplicates(["key"])  # rows that repeat both id and text
         self.names = chosen.select("key", F.struct("doc_id", "h", "h2").alias("name"))
         lists = by_rarity(sets.select("key", "tokens"))
         asked = lists.withColumn("asks", pinned(_matches(F.col("n"), F.col("shared"))))
         taken = reach(F.col("n"), F.col("shared"), F.col("asks"))
-        self.lists = written(asked.where(taken > 0))
-        central = F.aggregate("shared", F.lit(0).cast("double"), lambda acc, e: acc + e["df"]) / F.col("n")
-        self.postings = written(
-            self.lists.select(
-                F.struct("key", "n", "asks").alias("x"),
-                central.alias("central"),
-                F.explode(F.slice("shared", F.lit(1), taken)).alias("e"),
-            ).select("x", "central", F.col("e.token").alias("token"))
+        self.lists = bucketed(asked.where(taken > 0), "key")
+        alone = F.col("n") - F.size("shared")
+        described = self.lists.select(
+            F.struct("key", "n", "asks", (-alone / F.col("n")).alias("central")).alias("x"),
+            alone.alias("alone"),
+            F.slice("shared", F.lit(1), taken).alias("first"),
         )
+        placed = described.select("x", "alone", F.posexplode("first").alias("at", "e"))
+        self.postings = written(placed.select("x", (F.col("alone") + F.col("at")).alias("i"), F.col("e.token").alias("token")))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of ``pairs(a, b)`` of keys the similar ones, with their overlap and sizes."""
-        left = self.lists.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("sa"))
-        right = self.lists.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("sb"))
+        tokens = F.transform("shared", lambda e: e["token"])
+        sets = self.lists.select("key", "n", tokens.alias("tokens"))
+        left = sets.withColumnsRenamed({"key": "a", "n": "n_a", "tokens": "of_a"})
+        right = sets.withColumnsRenamed({"key": "b", "n": "n_b", "tokens": "of_b"})
         both = pairs.join(left, "a").join(right, "b")
-        counted = both.select("a", "b", "n_a", "n_b", pinned(overlap(F.col("sa"), F.col("sb"))).alias("overlap"))
+        counted = both.select("a", "b", "n_a", "n_b", pinned(F.size(F.array_intersect("of_a", "of_b"))).alias("overlap"))
         return counted.where(similar(F.col("overlap"), F.col("n_a"), F.col("n_b")))
 
     def named(self, pairs: DataFrame) -> DataFrame:
@@ -110,12 +127,12 @@ class Prepared:
 
     def to_pivots(self) -> DataFrame:
         """One candidate pair per document: with the pivot it shares most prefix shingles with."""
-        pivots = self.postings.groupBy("token").agg(F.max(F.struct("central", F.col("x").alias("y"))).alias("p"))
+        pivots = self.postings.groupBy("token").agg(F.max(F.struct("x.central", F.col("x").alias("y"), F.col("i").alias("j"))).alias("p"))
         met = (
             self.postings.join(pivots, "token")
-            .select("x", F.col("p.y").alias("y"))
+            .select("x", "i", "p.y", "p.j")
             .where(F.col("x.key") != F.col("y.key"))
-            .where(near_sizes(F.col("x.n"), F.col("y.n")))
+            .where(_may_meet())
             .groupBy("x", "y")
             .count()
         )
@@ -124,22 +141,22 @@ class Prepared:
 
     def between(self, labels: DataFrame | None) -> DataFrame:
         """All candidate pairs, or only those between different ``labels(id, component)``."""
-        rows = self.postings.select("x", "token")
+        rows = self.postings
         if labels is None:
             rows = rows.withColumn("part", F.col("x.key"))
         else:
             rows = rows.join(labels, F.col("x.key") == F.col("id"), "left")
-            rows = rows.select("x", "token", F.coalesce("component", "x.key").alias("part"))
+            rows = rows.select("x", "i", "token", F.coalesce("component", "x.key").alias("part"))
         rows = written(rows)
         mixed = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
         rows = written(rows.join(mixed.select("token"), "token", "left_semi"))
-        other = rows.select(F.col("x").alias("y"), F.col("token").alias("t"), F.col("part").alias("q"))
+        other = rows.select(F.col("x").alias("y"), F.col("i").alias("j"), F.col("token").alias("t"), F.col("part").alias("q"))
         pairs = rows.join(
             other,
             (F.col("token") == F.col("t"))
             & (F.col("x.key") < F.col("y.key"))
             & (F.col("part") != F.col("q"))
-            & near_sizes(F.col("x.n"), F.col("y.n")),
+            & _may_meet(),
         )
         met = pairs.groupBy("x", "y").count().where(F.col("count") >= F.least("x.asks", "y.asks"))
         return met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
@@ -183,20 +200,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Documents without words and rows without a doc_id all stay. Of rows that repeat id and words one stays.
     """
+    ident, words_hash, hashed = fresh("id", "h", "hash")
     found = written(groups(docs))
-    gone = written(
-        found.where("component_id <> doc_id").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    )
-    again = written(
-        found.where("component_id = doc_id AND n_shingles > 0")
-        .groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
-        .count()
-        .where("count > 1")
-    )
-    marked = docs.withColumn("_hash", F.xxhash64(F.array_join(words(folded(F.col("text"))), " ")))
-    same = (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_h"))
+    named = [F.col("doc_id").alias(ident), F.col("h").alias(words_hash)]
+    gone = written(found.where("component_id <> doc_id").select(*named).distinct())
+    again = written(found.where("component_id = doc_id AND n_shingles > 0").groupBy(*named).count().where("count > 1"))
+    marked = docs.withColumn(hashed, F.xxhash64(F.array_join(words(folded(F.col("text"))), " ")))
+    same = (F.col("doc_id") == F.col(ident)) & (F.col(hashed) == F.col(words_hash))
     kept = marked.join(small(gone), same, "left_anti")
     if again.head(1):
-        twice = kept.join(small(again.select("_id", "_h")), same, "left_semi").dropDuplicates(["doc_id", "_hash"])
-        kept = kept.join(small(again.select("_id", "_h")), same, "left_anti").unionByName(twice)
-    return kept.drop("_hash")
+        again = small(again.select(ident, words_hash))
+        twice = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", hashed])
+        kept = kept.join(again, same, "left_anti").unionByName(twice)
+    return kept.drop(hashed)

@@ -71,7 +71,7 @@ def by_rarity(sets: DataFrame) -> DataFrame:
     first in the order, but meet nothing, and no overlap needs them. Sets without shared tokens go. Keys
     should be small numbers: each travels once with every token.
     """
-    rows = sets.select("key", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    rows = sets.select("key", F.size("tokens").alias("n"), "tokens").select("key", "n", F.explode("tokens").alias("token"))
     counted = rows.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
     return counted.groupBy("key", "n").agg(
         F.sort_array(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "token"))).alias("shared")

@@ -28,6 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def fresh(*names: str) -> list[str]:
+    """Column names that no table has by chance, to stand beside a caller's own columns."""
+    tag = uuid.uuid4().hex[:12]
+    return [f"_{name}_{tag}" for name in names]
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder; lineage ends there.
 
@@ -39,6 +45,23 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
+    """As ``written``, with the rows bucketed by a column: a join or grouping by it need not move them.
+
+    There are as many buckets as ``spark.sql.shuffle.partitions``. The catalog forgets the table's name at
+    once; its files stay in the shared folder.
+    """
+    spark = df.sparkSession
+    name = f"chronolog_{uuid.uuid4().hex}"
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}")
+    writer.bucketBy(buckets, column).saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # resolved while the name is known
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, marked for broadcast if it is counted to have few rows. Pass narrow, written tables."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -9,7 +9,7 @@ import tiktoken
 
 LETTER, NUMBER, OTHER, SPACE, BREAK = range(5)
 #: Texts are worked on in lots of about this many code points; a longer text is a lot of its own.
-LOT = 1 << 20
+LOT = 1 << 19
 
 _kinds: np.ndarray | None = None
 
