@@ -20,6 +20,7 @@ from chronolog.functions.fixed import (
     STANDARD_KEYS,
 )
 from chronolog.functions.text import let, title_case
+from chronolog.functions.times import parse_time
 from chronolog.options import DEFAULT, Options
 
 TIME_KEY_TEXT = '"(?:' + "|".join(DROPPED_TIME_KEYS) + ')":'
@@ -127,9 +128,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 REPEATABLE = ["level", "pid", "message", "name", "version"]
 
 
-def _repeats(key: str, value: object, known: dict[str, str]) -> bool:
+def _repeats(key: str, value: object, known: dict[str, str], keep_times: bool) -> bool:
     if key in DROPPED_TIME_KEYS:
-        return True
+        return not keep_times
     expected = known.get(key)
     if not expected:
         return False
@@ -138,26 +139,26 @@ def _repeats(key: str, value: object, known: dict[str, str]) -> bool:
     return (str(value) if key == "pid" else value) == expected
 
 
-def prune(node: dict, known: dict[str, str], keep_empty: bool = False) -> dict:
-    """Drop time keys and repeated values at any depth, and what that leaves empty.
+def prune(node: dict, known: dict[str, str], keep_empty: bool = False, keep_times: bool = False) -> dict:
+    """Drop time keys, unless they are to be kept, and repeated values at any depth, and what that leaves empty.
 
     Objects directly inside a list are pruned too; lists inside lists stay as they are.
     """
     kept = {}
     for key, value in node.items():
-        if _repeats(key, value, known):
+        if _repeats(key, value, known, keep_times):
             continue
         if isinstance(value, dict):
-            value = prune(value, known, keep_empty)
+            value = prune(value, known, keep_empty, keep_times)
         elif isinstance(value, list):
-            items = (prune(i, known, keep_empty) if isinstance(i, dict) else i for i in value)
+            items = (prune(i, known, keep_empty, keep_times) if isinstance(i, dict) else i for i in value)
             value = [i for i in items if keep_empty or i or not isinstance(i, dict)]
         if keep_empty or value or not isinstance(value, (dict, list)):
             kept[key] = value
     return kept
 
 
-def _nested_pruner(keep_empty: bool):
+def _nested_pruner(keep_empty: bool, keep_times: bool = False):
     """Arrow-batched pruning of the few rows whose nested values need it; other rows hold NULL.
 
     With ``keep_empty`` only time keys go.
@@ -170,7 +171,7 @@ def _nested_pruner(keep_empty: bool):
         out = pd.Series([None] * len(args), dtype=object)
         for i in args.index[args.notna()]:
             known = {} if keep_empty else dict(zip(REPEATABLE, (l[i], pid[i], mt[i], tn[i], v[i])))
-            out[i] = json.dumps(prune(json.loads(args[i]), known, keep_empty), ensure_ascii=False)
+            out[i] = json.dumps(prune(json.loads(args[i]), known, keep_empty, keep_times), ensure_ascii=False)
         return out
 
     return pruned
@@ -199,6 +200,8 @@ def with_arguments(df: DataFrame, is_json: Column, options: Options = DEFAULT) -
 
     def stays(key: Column, value: Column) -> Column:
         timed = key.isin(DROPPED_TIME_KEYS)
+        if options.keep_other_times:
+            timed = timed & F.coalesce(parse_time(R.text(value), options.day_first) == F.col("t"), F.lit(False))
         if not clean:
             return ~timed
         shown = R.text(value)
@@ -215,7 +218,7 @@ def with_arguments(df: DataFrame, is_json: Column, options: Options = DEFAULT) -
     inside = let(containers, lambda found: F.when(F.size(found) > 0, F.to_json(found)))
     df = df.withColumn("_inside", inside)
     inside = F.substr("_inside", F.lit(2))
-    suspect = inside.rlike(TIME_KEY_TEXT)
+    suspect = F.lit(False) if options.keep_other_times else inside.rlike(TIME_KEY_TEXT)
     if clean:
         suspect = (
             suspect
@@ -229,7 +232,7 @@ def with_arguments(df: DataFrame, is_json: Column, options: Options = DEFAULT) -
             suspect = suspect | F.coalesce(F.contains(inside, quoted), F.lit(False))
     df = df.withColumn("_deep", F.when(suspect, F.to_json("_rest")))
     known = [F.when(F.col("_deep").isNotNull(), F.col(c)) for c in ("l", "pid", "mt", "tn", "v")]
-    pruned = _nested_pruner(keep_empty=not clean)("_deep", *known)
+    pruned = _nested_pruner(not clean, options.keep_other_times)("_deep", *known)
     df = df.withColumn("_pruned", pruned)
     json_args = F.when(
         F.col("_pruned").isNotNull(), F.when(F.col("_pruned") != "{}", F.try_parse_json("_pruned"))

@@ -24,6 +24,7 @@ class Options:
     day_first: how ``03.04.2025`` in a JSON time key reads.
     preserve_standard: keep input ``l``, ``args``, ``ex``, ``trace_id`` and ``transaction_id`` of
         non-canonical JSON as ``original_*`` arguments instead of losing them.
+    keep_other_times: keep time-named arguments that show another time than the record's; nested ones stay.
     keep_two_bracket_message: keep the message of procrun lines that have no third bracket.
     fallback_time: canonical time text for lines without a time; the run's time when None.
     """
@@ -35,6 +36,7 @@ class Options:
     prefixed_json: bool = False
     day_first: bool = True
     preserve_standard: bool = False
+    keep_other_times: bool = False
     keep_two_bracket_message: bool = False
     fallback_time: str | None = None
 

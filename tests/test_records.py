@@ -96,6 +96,11 @@ def test_filters_on_records_stay_cheap(spark):
         (Options(keep_two_bracket_message=True), "[2025-04-03 00:10:19] [info] hi", {"mt": "hi"}),
         (Options(day_first=False), '{"time":"03.04.2025 1:02:03"}', {"t": "2025-03-04 01:02:03.000+00:00"}),
         (Options(prefixed_json=True), 'INFO {"level":"x"}', {"l": "x"}),
+        (
+            Options(keep_other_times=True),
+            '{"@timestamp":"2025-09-01T12:00:00Z","time":"2025-09-01 12:00:00","date":"2025-09-02","k":{"time":1,"message":"m"},"msg":"m"}',
+            {"args": {"date": "2025-09-02", "k": {"time": 1}, "msg": "m"}},
+        ),
         (Options(arguments="leftovers"), '{"tr":"x","trace":{"id":1}}', {"tr": "x", "trace_id": None, "args": None}),
         (Options(es_text="minimal"), "[2025-04-03T00:10:19,148][WARN][lg] [P1] [svc] m", {"tn": "My-Svc_1A"}),
     ],
