@@ -5,7 +5,8 @@ stands for its class. A prefix pass in hash order finds the documents that can h
 all. For these, shingles are ordered by rarity, and each document chooses how many matches it asks for:
 a prefix longer by one shingle for each further match, where the estimated cost of candidates falls by
 it. Two documents become a candidate when their prefixes, cut to what the sizes of the pair demand, share as
-many shingles as the lesser of the two asks; then the overlap is counted exactly.
+many shingles as the lesser of the two asks, unless counts of their shingles by parts of the hash space bound the
+overlap below what is needed; then the overlap is counted exactly.
 
 ``groups`` needs no pair inside a group that is known to hang together: each document is first compared
 with one pivot, of the documents that hold fewest shingles of their own the one it shares most with; only
@@ -14,6 +15,8 @@ documents in different components then meet. ``links`` gives every pair between
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ from chronolog.llm.shingles import distinct_hashes, folded, words
 
 #: Most matches a document may ask for.
 MOST_MATCHES = 4
+#: Shared shingles are counted in so many parts by hash, to bound overlaps.
+PARTS = 32
 #: What checking a candidate costs for each of its shingles, in posting entries.
 CHECK = 0.25
 #: A class with more than this part of all documents is compared by its first row only.
@@ -70,6 +75,12 @@ def _may_meet() -> Column:
     return near_sizes(a, b) & early(a, "i") & early(b, "j")
 
 
+def _most_shared() -> Column:
+    """What two documents can share at most: in each part by hash no more than the lesser of their counts."""
+    terms = [F.least(F.col(f"counts.c{k}"), F.col(f"others.c{k}")) for k in range(PARTS)]
+    return reduce(lambda a, b: a + b, terms)
+
+
 class Prepared:
     """Written tables of one join: all rows' hashes, classes, rarity lists and prefix postings."""
 
@@ -125,6 +136,14 @@ class Prepared:
         joined = pairs.join(first, "a").join(second, "b").drop("a", "b")
         return joined.withColumnsRenamed({"name_a": "a", "name_b": "b"})
 
+    def part_counts(self, keys: DataFrame) -> DataFrame:
+        """How many of a document's shared shingles fall into each of ``PARTS`` parts, for some keys."""
+        lists = self.lists.select("key", "shared").join(small(written(keys)), "key", "left_semi")
+        parts = lists.select("key", pinned(F.transform("shared", lambda e: F.pmod(e["token"], F.lit(PARTS)))).alias("parts"))
+        held = lambda k: F.size(F.filter("parts", lambda part: part == k))
+        counts = [held(k).alias(f"c{k}") for k in range(PARTS)]
+        return written(parts.select("key", F.struct(*counts).alias("counts")))
+
     def to_pivots(self) -> DataFrame:
         """One candidate pair per document: with the pivot it shares most prefix shingles with."""
         pivots = self.postings.groupBy("token").agg(F.max(F.struct("x.central", F.col("x").alias("y"), F.col("i").alias("j"))).alias("p"))
@@ -150,13 +169,16 @@ class Prepared:
         rows = written(rows)
         mixed = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
         rows = written(rows.join(mixed.select("token"), "token", "left_semi"))
-        other = rows.select(F.col("x").alias("y"), F.col("i").alias("j"), F.col("token").alias("t"), F.col("part").alias("q"))
+        counts = self.part_counts(rows.select(F.col("x.key").alias("key")).distinct())
+        rows = rows.join(small(counts), F.col("x.key") == F.col("key")).drop("key")
+        other = rows.select(*[F.col(a).alias(b) for a, b in (("x", "y"), ("i", "j"), ("token", "t"), ("part", "q"), ("counts", "others"))])
         pairs = rows.join(
             other,
             (F.col("token") == F.col("t"))
             & (F.col("x.key") < F.col("y.key"))
             & (F.col("part") != F.col("q"))
-            & _may_meet(),
+            & _may_meet()
+            & similar(_most_shared(), F.col("x.n"), F.col("y.n")),
         )
         met = pairs.groupBy("x", "y").count().where(F.col("count") >= F.least("x.asks", "y.asks"))
         return met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
