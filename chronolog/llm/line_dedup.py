@@ -1,11 +1,11 @@
 """Line dedup: later lines that match an earlier one are taken out of the documents.
 
-A line's tokens are its distinct five-word shingles, words as they stand. A line goes when an earlier
+A line's tokens are its distinct five-word shingles, with A-Z lower-cased. A line goes when an earlier
 line of the corpus (order: doc_id, hash of the text, place in the document) has the same or a similar token set,
 by a Jaccard similarity of 0.75 or more; it does not matter whether that earlier line itself stays.
 Lines of fewer than five words have no shingle and stay.
 
-How: equal lines form classes by a 128-bit hash; only a class's first line is compared. A prefix pass
+How: lines equal but for the case of A-Z form classes by a 128-bit hash; only a class's first line is compared. A prefix pass
 in hash order finds the classes that can have a partner at all (``sharing``); for these, tokens are ordered by
 rarity, and prefix, positional and length filters give candidates, whose Jaccard is verified.
 Candidates are first sought with the earliest line of each token; only lines still unmatched then meet
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from chronolog.functions.text import pinned
 from chronolog.llm.setjoin import by_rarity, near_sizes, overlap, reach, searched, sharing, similar
 from chronolog.llm.shared import fresh, small, written
-from chronolog.llm.shingles import distinct_hashes, words
+from chronolog.llm.shingles import distinct_hashes, folded, words
 
 LONG_ENOUGH = r"^[ \t\x0B\f\r]*([^ \t\n\x0B\f\r]+[ \t\x0B\f\r]+){4}[^ \t\n\x0B\f\r]"
 #: A line that makes up more than this part of all lines is compared at its first place only; there
@@ -34,8 +34,8 @@ def _row_hash() -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Lines of five words or more: place, 128-bit hash and the line itself."""
-    rows = docs.select("doc_id", _row_hash().alias("row"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """Lines of five words or more: place, and 128-bit hash and image of the folded line."""
+    rows = docs.select("doc_id", _row_hash().alias("row"), F.posexplode(F.split(folded(F.col("text")), "\n")).alias("line_no", "line"))
     return rows.where(F.col("line").rlike(LONG_ENOUGH)).select(
         F.struct(*PLACE).alias("place"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), "line"
     )

@@ -386,6 +386,26 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_folds_case(spark):
+    rng = random.Random(11)
+    line, accented = "Terms of Use and Conditions apply", "Été à la mer et au Soleil"
+    long = prose(rng, 40)
+    near = long.upper().rsplit(" ", 1)[0] + " EDIT"
+    texts = [f"{line}\n{accented}\n{long}", f"{line.upper()}\n{near}\nnew words of the second document", "ÉTÉ À LA MER ET AU SOLEIL", "Été À la mer ET AU SOLEIL", "ÉTé à LA MER ET AU SOLEIL"]
+    df = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], DOCS)
+    seen, expected = [], {}
+    for k, text in enumerate(texts):
+        sets = [(x, shingles(x)) for x in text.split("\n")]
+        kept = []
+        for x, s in sets:
+            if not any(7 * len(s & o) >= 3 * (len(s) + len(o)) for o in seen):
+                kept.append(x)
+            seen.append(s)
+        expected[k] = "\n".join(kept)
+    found = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
+    assert found == expected and found[1] == "new words of the second document" and found[2] == texts[2]
+
+
 # 9 -------------------------------------------------------------------------------------------------
 
 
