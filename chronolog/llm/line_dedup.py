@@ -3,9 +3,10 @@
 A line's tokens are its distinct five-word shingles, with A-Z lower-cased. A line goes when an earlier
 line of the corpus (order: doc_id, hash of the text, place in the document) has the same or a similar token set,
 by a Jaccard similarity of 0.75 or more; it does not matter whether that earlier line itself stays.
-Lines of fewer than five words have no shingle and stay.
+A line of one to four words has one token, its words as a whole; a line without a word stays.
 
-How: lines equal but for the case of A-Z form classes by a 128-bit hash; only a class's first line is compared. A prefix pass
+How: lines equal but for the case of A-Z form classes by a 128-bit hash, lines of under five words by their
+words alone, which settles them; of longer ones only a class's first line is compared. A prefix pass
 in hash order finds the classes that can have a partner at all (``sharing``); for these, tokens are ordered by
 rarity, and prefix, positional and length filters give candidates, whose Jaccard is verified.
 Candidates are first sought with the earliest line of each token; only lines still unmatched then meet
@@ -22,6 +23,7 @@ from chronolog.llm.setjoin import by_rarity, near_sizes, overlap, reach, searche
 from chronolog.llm.shared import fresh, small, written
 from chronolog.llm.shingles import distinct_hashes, folded, words
 
+SOME_WORD = r"[^ \t\n\x0B\f\r]"
 LONG_ENOUGH = r"^[ \t\x0B\f\r]*([^ \t\n\x0B\f\r]+[ \t\x0B\f\r]+){4}[^ \t\n\x0B\f\r]"
 #: A line that makes up more than this part of all lines is compared at its first place only; there
 #: can be no more than 1 / HEAVY of them, so their list is broadcast.
@@ -34,11 +36,16 @@ def _row_hash() -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Lines of five words or more: place, and 128-bit hash and image of the folded line."""
+    """Lines with a word: place, 128-bit hash of the folded line, and its image where it has five words or more.
+
+    A shorter line's hash is that of its words with single blanks: it tells all that its one token does.
+    """
     rows = docs.select("doc_id", _row_hash().alias("row"), F.posexplode(F.split(folded(F.col("text")), "\n")).alias("line_no", "line"))
-    return rows.where(F.col("line").rlike(LONG_ENOUGH)).select(
-        F.struct(*PLACE).alias("place"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), "line"
-    )
+    long = pinned(F.when(F.col("line").rlike(LONG_ENOUGH), F.col("line")))
+    rows = rows.where(F.col("line").rlike(SOME_WORD)).select(F.struct(*PLACE).alias("place"), "line", long.alias("long"))
+    told = pinned(F.coalesce("long", F.concat_ws(" ", words(F.col("line")))))
+    rows = rows.select("place", "long", told.alias("told"))
+    return rows.select("place", F.xxhash64("told").alias("h"), F.xxhash64(F.lit(1), "told").alias("h2"), F.col("long").alias("line"))
 
 
 def _with_tokens(lines: DataFrame, *keep: str) -> DataFrame:
@@ -83,12 +90,12 @@ def later_matches(docs: DataFrame) -> DataFrame:
     classes = written(lines.groupBy("h", "h2").agg(F.min("place").alias("first"), F.count("*").alias("copies")))
     total = classes.agg(F.sum("copies")).first()[0] or 0
     heavy = classes.where(F.col("copies") > max(1.0, total * HEAVY)).select("h", "h2", F.col("first").alias("only"))
-    compared = lines.join(F.broadcast(heavy), ["h", "h2"], "left").where("only IS NULL OR only = place")
+    compared = lines.where("line IS NOT NULL").join(F.broadcast(heavy), ["h", "h2"], "left").where("only IS NULL OR only = place")
     sets = _with_tokens(compared, "h").select("h", F.size("tokens").alias("n"), "tokens")
     partnered = written(sharing(sets.select("h", "n", F.slice("tokens", F.lit(1), searched(F.col("n"))).alias("tokens"))))
     firsts = classes.join(small(partnered), "h", "left_semi").select("h", "h2", "first")
     firsts = written(firsts.withColumn("key", F.monotonically_increasing_id()))
-    seen = lines.join(small(firsts), ["h", "h2"]).where("first = place").dropDuplicates(["key"])
+    seen = lines.where("line IS NOT NULL").join(small(firsts), ["h", "h2"]).where("first = place").dropDuplicates(["key"])
     matched = _matched(_with_tokens(seen, "key"), firsts.select("key", F.col("first").alias("place")))
     matched = written(firsts.join(small(written(matched)), "key").select("h", "h2", F.lit(True).alias("whole")))
     hit = (

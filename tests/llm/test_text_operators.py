@@ -406,6 +406,23 @@ def test_line_dedup_folds_case(spark):
     assert found == expected and found[1] == "new words of the second document" and found[2] == texts[2]
 
 
+def test_line_dedup_short_lines(spark):
+    texts = ["Read more\n\n  \none two three four\nx\nfour words and one more", "x\nREAD  more \nread\tMORE\none two three\n", "X", "one two three FOUR\ty", "y", "one two three four\nread more\n"]
+    df = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(texts)], DOCS)
+    seen, expected = [], {}
+    for k, text in enumerate(texts):
+        kept = []
+        for line in text.split("\n"):
+            s = shingles(line)
+            if not s or not any(7 * len(s & o) >= 3 * (len(s) + len(o)) for o in seen):
+                kept.append(line)
+            if s:
+                seen.append(s)
+        expected[k] = (len(text.split("\n")) - len(kept), "\n".join(kept))
+    found = {r["doc_id"]: (r["removed_lines"], r["text"]) for r in line_dedup.dedup_lines(df).collect()}
+    assert found == expected and [found[k][0] for k in range(6)] == [0, 3, 1, 0, 0, 2]
+
+
 # 9 -------------------------------------------------------------------------------------------------
 
 
