@@ -311,6 +311,16 @@ def test_html_wrapper_induction(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_template_inside_articles(spark):
+    rng = random.Random(5)
+    paragraphs = [[prose(rng, 20) for _ in range(rng.randint(1, 4))] for _ in range(12)]
+    page = lambda ps: "<body><article><p>Like what you read?</p>" + "".join(f"<p>{p}</p>" for p in ps) + "<div>Tell a friend</div></article></body>"
+    rows = [(k, f"http://news.example.com/{k}", page(ps)) for k, ps in enumerate(paragraphs)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert found == {k: "\n\n".join(ps) for k, ps in enumerate(paragraphs)}
+
+
 def test_tree_matching_counts_the_most_pairs():
     a, b = html_text.parse("<div><p>x</p><ul><li>1<li>2</ul></div>"), html_text.parse("<div><h1>t</h1><p>y</p><ul><li>3</ul></div>")
     assert html_text.matched(a, b)[0] == 5 and len(html_text.matched(a, b)[1]) == 5
