@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolog.llm import (
-    bpe, chat_format, decontamination, html_text, language_id, line_dedup, lm_score, ngram_join, quality, token_counts,
+    bpe, centroids, chat_format, decontamination, html_text, language_id, line_dedup, lm_score, ngram_join, pii, quality, token_counts,
+    tokenizer_alignment,
 )
 
 
@@ -107,6 +109,27 @@ def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return found.select("doc_id", "item_id", "n_item", "n_shared")
 
 
+def op11_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.detect(table(spark, folder, "documents"))
+    shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id",
+        *[F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(shown(of(*pii.KINDS)), 256).alias("base_sha256"),
+        shown(F.col("spans")).alias("spans"),
+    )
+
+
+def op12_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(table(spark, folder, "embeddings"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, folder: str, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model") -> DataFrame:
+    a_json, b_model = Path(public_tokenizers.path(a)).read_text(encoding="utf-8"), Path(public_tokenizers.path(b)).read_bytes()
+    return tokenizer_alignment.align(table(spark, folder, "documents"), a_json, b_model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -118,4 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
+    "op11_pii": op11_pii,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }

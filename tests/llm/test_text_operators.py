@@ -376,13 +376,12 @@ def test_line_dedup_equals_brute_force(spark, docs):
     for k, text, *_ in rows:
         kept, gone = [], 0
         for line in (text or "").split("\n"):
-            w = WORD.findall(line)
-            s = shingles(line, False)
-            match = len(w) >= 5 and any(7 * len(s & o) >= 3 * (len(s) + len(o)) for o in seen)
+            s = shingles(line)
+            match = bool(s) and any(7 * len(s & o) >= 3 * (len(s) + len(o)) for o in seen)
             gone += match
             if not match:
                 kept.append(line)
-            if len(w) >= 5:
+            if s:
                 seen.append(s)
         expected[k] = (gone, None if text is None else "\n".join(kept))
     assert found == expected and sum(g for g, _ in found.values()) > 20
@@ -392,7 +391,7 @@ def test_line_dedup_odd_rows(spark):
     text = "a b c d e f g\nx"
     df = spark.createDataFrame([(1, text, None, None, None), (1, text, None, None, None), (None, text, None, None, None), (2, "q\na b c d e f g", None, None, None)], DOCS)
     found = sorted(map(str, ((r["doc_id"], r["text"], r["removed_lines"]) for r in line_dedup.dedup_lines(df).collect())))
-    assert found == ["(1, 'x', 1)", "(1, 'x', 1)", "(2, 'q', 1)", f"(None, {text!r}, 0)"]
+    assert found == ["(1, '', 2)", "(1, '', 2)", "(2, 'q', 1)", f"(None, {text!r}, 0)"]
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
@@ -538,10 +537,10 @@ def test_pipeline_stages(spark, ranks):
             for r in sorted(before, key=lambda r: r["doc_id"]):
                 lines = []
                 for line in r["text"].split("\n"):
-                    s = shingles(line, False) if len(WORD.findall(line)) >= 5 else None
-                    if s is None or not any(7 * len(s & o) >= 3 * (len(s) + len(o)) for o in seen):
+                    s = shingles(line)
+                    if not s or not any(7 * len(s & o) >= 3 * (len(s) + len(o)) for o in seen):
                         lines.append(line)
-                    if s is not None:
+                    if s:
                         seen.append(s)
                 text = "\n".join(lines)
                 if WORD.search(text):
