@@ -23,6 +23,8 @@ from chronolog.llm.blocks import block_table, dictionary_rows, joined_planes, pa
 
 #: A task remembers the ids of so many words; beyond, it forgets them and may encode a word again.
 REMEMBERED = 500_000
+#: Texts whose ids are put together or decoded at once, to bound a worker's memory.
+ROWS = 200
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -84,17 +86,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         size_of, start_of = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
         size_of[place], start_of[place] = size, np.cumsum(size) - size
         ids = ids.astype(np.int32)
-        lists, ends = [], [0]
-        for c in zip(*(texts.column(k).to_pylist() for k in ("c0", "c1", "c2"))):
-            codes = joined_planes(*c)
-            n = size_of[codes]
-            total = int(n.sum())
-            at = np.arange(total) + np.repeat(start_of[codes] - (np.cumsum(n) - n), n)
-            lists.append(ids[at])
-            ends.append(ends[-1] + total)
-        values = pa.array(np.concatenate([np.zeros(0, np.int32), *lists]), pa.int32())
-        arrays = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), values).cast(pa.list_(pa.int32()))
-        return pa.table({"id": texts.column("id").combine_chunks(), "ids": arrays})
+        del places, sizes, flat, place, size
+        columns = [texts.column(k) for k in ("c0", "c1", "c2")]
+        parts = []
+        for k in range(0, len(texts), ROWS):
+            lists, ends = [np.zeros(0, np.int32)], [0]
+            for c in zip(*(column.slice(k, ROWS).to_pylist() for column in columns)):
+                codes = joined_planes(*c)
+                n = size_of[codes]
+                total = int(n.sum())
+                lists.append(ids[np.arange(total) + np.repeat(start_of[codes] - (np.cumsum(n) - n), n)])
+                ends.append(ends[-1] + total)
+            parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists), pa.int32())))
+        return pa.table({"id": texts.column("id"), "ids": pa.chunked_array(parts, pa.list_(pa.int32()))})
 
     done = text_rows(table).groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(put_back, "id string, ids array<int>")
     return done.select(F.col("id").cast(kind).alias(id_col), "ids")
@@ -111,16 +115,18 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", ou
 
     def to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = pa.array(sent.value, pa.binary())
-        for batch in batches:
-            ids = batch.column(at)
-            chosen = tokens.take(ids.flatten())
-            if chosen.null_count:
-                raise ValueError("an id is not in the vocabulary")
-            sizes = pc.fill_null(pc.list_value_length(ids), 0)
-            ends = pc.cumulative_sum(sizes.cast(pa.int32()))
-            offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-            whole = pc.binary_join(pa.ListArray.from_arrays(offsets, chosen), pa.scalar(b"", pa.binary()))
-            whole = pc.if_else(ids.is_valid(), whole, pa.scalar(None, pa.binary()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, whole], names=[*names, out_col])
+        for whole_batch in batches:
+            for k in range(0, len(whole_batch), ROWS):
+                batch = whole_batch.slice(k, ROWS)
+                ids = batch.column(at)
+                chosen = tokens.take(ids.flatten())
+                if chosen.null_count:
+                    raise ValueError("an id is not in the vocabulary")
+                sizes = pc.fill_null(pc.list_value_length(ids), 0)
+                ends = pc.cumulative_sum(sizes.cast(pa.int32()))
+                offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
+                whole = pc.binary_join(pa.ListArray.from_arrays(offsets, chosen), pa.scalar(b"", pa.binary()))
+                whole = pc.if_else(ids.is_valid(), whole, pa.scalar(None, pa.binary()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, whole], names=[*names, out_col])
 
     return encoded.mapInArrow(to_bytes, f"{fields}, `{out_col}` binary")
