@@ -175,15 +175,18 @@ def disclosing(found: DataFrame, texts: DataFrame) -> DataFrame:
     met = written(met.distinct())
     together = met.groupBy("value", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
     valued = met.select("hash", "value").distinct().groupBy("value").agg(F.count("*").alias("n_value")).where(F.col("n_value") >= SUPPORT)
-    candidates = written(together.join(valued, "value"))
-    terms = written(candidates.select("term").distinct())
-    stands = _occurrences(texts, terms, places=False).distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     total = max(1, texts.select("hash").distinct().count())
     information = -F.log2(F.col("n_value") / F.lit(float(total)))
-    shared = F.log2(F.col("both") * F.lit(float(total)) / (F.col("n_value") * F.col("n_term")))
-    told = candidates.join(stands, "term").where(F.col("n_value") < total).groupBy("term").agg(F.max(shared / information).alias("told"))
+    told = lambda n: F.log2(F.col("both") * F.lit(float(total)) / (F.col("n_value") * F.col(n))) / information
+    # a term stands in as many texts at least as it is near any value in: most common words end here
+    least = met.select("hash", "term").distinct().groupBy("term").agg(F.count("*").alias("least"))
+    candidates = together.join(valued.where(F.col("n_value") < total), "value").join(least, "term")
+    candidates = written(candidates.where(told("least") >= GENERALISED))
+    terms = written(candidates.select("term").distinct())
+    stands = _occurrences(texts, terms, places=False).distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    strongest = candidates.join(stands, "term").groupBy("term").agg(F.max(told("n_term")).alias("told"))
     kind = F.when(F.col("told") >= REMOVED, F.lit(ADDED[1])).otherwise(F.lit(ADDED[0]))
-    return written(told.where(F.col("told") >= GENERALISED).select("term", "told", kind.alias("kind")))
+    return written(strongest.where(F.col("told") >= GENERALISED).select("term", "told", kind.alias("kind")))
 
 
 def _text_hash(text: Column) -> Column:

@@ -18,6 +18,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from chronolog.llm import spans
 from chronolog.llm.shared import small, written
 
 #: A worker remembers so many aligned chunks; beyond, it forgets them and may align a chunk again.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 BLANK = "▁"
 CHUNK = re.compile(rf" +[^ ]*(?:(?<=[\s{BLANK}]) +[^ ]*| +\Z)*")
 NAMES = ["n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times"]
@@ -61,64 +62,102 @@ class Pair:
         self.a_bytes = {i: bytes(stands[c] for c in t) for t, i in self.a.get_vocab().items() if t not in added}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
+        self._tables: tuple[np.ndarray, np.ndarray, list[str]] | None = None
         self.chunked = not any(BLANK in p.lstrip(BLANK) for p in pieces)
 
     def chunks(self, text: str) -> list[str]:
         """The text with a blank before it, in parts that are tokenized on their own."""
         return CHUNK.findall(" " + text) if self.chunked else [" " + text]
 
-    def aligned(self, chunks: list[str]) -> list[tuple[int, int, int, str, list[int]] | None]:
-        """For each chunk: tokens of A and B, groups, the groups as text, and linked ids as ``a << 32 | b``.
-
-        None where the bytes of either side's tokens are not those of the chunk.
-        """
-        of_a = self.a.encode_batch(chunks, add_special_tokens=False)
-        of_b = self.b.encode([c[1:] for c in chunks], return_type="proto", num_threads=1)
-        done = []
-        for chunk, a, b in zip(chunks, of_a, of_b):
-            data, ids = chunk.encode(), a.ids
-            bytes_a = [self.a_bytes.get(i, b"") for i in ids]
-            pieces = [(p.id, p.begin + 1, p.end + 1) for p in b.pieces]
-            bytes_b = [self.b_bytes[i] for i, _, _ in pieces]
-            if b"".join(bytes_a) != data or b"".join(bytes_b) != data:
-                done.append(None)
-                continue
-            offsets = a.offsets
-            if len(data) != len(chunk):
-                at = [0]
-                for c in chunk:
-                    at.append(at[-1] + len(c.encode()))
-                offsets = [(at[s], at[e]) for s, e in offsets]
-            ends_a = cut(offsets, bytes_a)
-            ends_b = cut([(s, e) for _, s, e in pieces], bytes_b)
-            done.append(grouped(ids, ends_a, [i for i, _, _ in pieces], ends_b))
-        return done
-
-
-def cut(coarse: list[tuple[int, int]], decoded: list[bytes]) -> list[int]:
-    """The byte after each token: its span's end where the span is its own, else its decoded bytes' end."""
-    ends, last = [], 0
-    for k, (start, end) in enumerate(coarse):
-        own = start < end and (k + 1 == len(coarse) or coarse[k + 1][0] >= end)
-        last = end if own else last + len(decoded[k])
-        ends.append(last)
-    return ends
-
-
-def grouped(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]) -> tuple[int, int, int, str, list[int]]:
-    """Groups between common ends, as numbers, text and pairs of ids whose tokens end together."""
-    i = j = 0
-    texts, pairs = [], []
-    common = sorted(set(ends_a).intersection(ends_b))
-    for end in common:
-        p, q = i, j
-        while i < len(a) and ends_a[i] <= end:
-            i += 1
-        while j < len(b) and ends_b[j] <= end:
-            j += 1
-        texts.append(",".join(map(str, a[p:i])) + "|" + ",".join(map(str, b[q:j])))
-        pairs.extend(x << 32 | y for x, u in zip(a[p:i], ends_a[p:i]) if u == end for y, v in zip(b[q:j], ends_b[q:j]) if v == end)
-    return len(a), len(b), len(common), ";".join(texts), pairs
+    def tables(self) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Byte lengths of both vocabularies' tokens, and their ids as text with what may follow: ``,`` ``|`` ``;``."""
+        if self._tables is None:
+            size = max(self.a_bytes, default=-1) + 1
+            of_a = np.array([len(self.a_bytes.get(i, b"")) for i in range(size)], np.int64)
+            of_b = np.array([len(x) for x in self.b_bytes], np.int64)
+            shown = [f"{i}{sign}" for n, last in ((size, "|"), (len(of_b), ";")) for sign in (",", last) for i in range(n)]
+            self._tables = of_a, of_b, shown
+        return self._tables
+
+
+class Tokens:
+    """The tokens of many chunks on one side: ids, the chunk of each, and the byte of all chunks' bytes that each ends at."""
+
+    def __init__(self, ids: list[list[int]], starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> None:
+        self.count = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.ids = np.fromiter(chain.from_iterable(ids), np.int64, int(self.count.sum()))
+        owner = np.repeat(np.arange(len(ids)), self.count)
+        last = np.append(owner[1:] != owner[:-1], True)[: len(owner)]
+        own = (starts < ends) & (last | (np.append(starts[1:], 0)[: len(starts)] >= ends))
+        # of no own span: as far as the decoded bytes go
+        lengths = sizes[self.ids]
+        through = np.concatenate(([0], np.cumsum(lengths)))
+        begin = np.cumsum(self.count) - self.count
+        decoded = through[1:] - np.repeat(through[begin], self.count) + np.repeat(first[:-1], self.count)
+        self.ends = np.where(own, ends, decoded)
+        self.bytes = np.bincount(owner, weights=lengths, minlength=len(ids)).astype(np.int64)
+
+
+def aligned(pair: Pair, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Of each chunk: whether its bytes are not those of the tokens, the numbers of tokens of A and B and of groups, the
+    groups as text with a ``;`` after each, and the number of linked ids; then all linked ids as ``a << 32 | b``.
+    """
+    if not chunks:
+        return np.zeros(0, bool), np.zeros((0, 3), np.int64), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    of_a = pair.a.encode_batch(chunks, add_special_tokens=False)
+    of_b = pair.b.encode([c[1:] for c in chunks], return_type="proto", num_threads=1)
+    ids_a = [x.ids for x in of_a]
+    pieces = [[(p.id, p.begin, p.end) for p in x.pieces] for x in of_b]
+    data = [c.encode() for c in chunks]
+    wrong = np.array(
+        [
+            b"".join(map(pair.a_bytes.__getitem__, i)) != d or b"".join([pair.b_bytes[p[0]] for p in q]) != d
+            for i, q, d in zip(ids_a, pieces, data)
+        ],
+        bool,
+    )
+    if wrong.any():
+        right = np.flatnonzero(~wrong).tolist()
+        _, counts, texts, links, pairs = aligned(pair, [chunks[k] for k in right])
+        every, shown, many = np.zeros((len(chunks), 3), np.int64), [""] * len(chunks), np.zeros(len(chunks), np.int64)
+        every[right], many[right] = counts, links
+        for k, text in zip(right, texts):
+            shown[k] = text
+        return wrong, every, shown, many, pairs
+    sizes_a, sizes_b, shown = pair.tables()
+    first = np.cumsum([0, *map(len, data)])
+    # A's spans count characters, B's bytes after the blank
+    code = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)
+    at = np.concatenate(([0], np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))))
+    char = np.cumsum([0, *map(len, chunks)])[:-1]
+    spans_a = np.array(list(chain.from_iterable(x.offsets for x in of_a)), np.int64).reshape(-1, 2)
+    many = np.fromiter(map(len, ids_a), np.int64, len(ids_a))
+    spans_a = at[spans_a + np.repeat(char, many)[:, None]]
+    flat_b = np.array(list(chain.from_iterable(pieces)), np.int64).reshape(-1, 3)
+    many = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    spans_b = flat_b[:, 1:] + (np.repeat(first[:-1], many) + 1)[:, None]
+    a = Tokens(ids_a, spans_a[:, 0], spans_a[:, 1], sizes_a, first)
+    b = Tokens([[p[0] for p in q] for q in pieces], spans_b[:, 0], spans_b[:, 1], sizes_b, first)
+    common = np.intersect1d(a.ends, b.ends)
+    pairs = linked(a, b, common)
+    groups = np.diff(np.searchsorted(common, first, side="right"))
+    # tokens by group, A's before B's; the last of a side in its group has another sign behind it
+    group = np.concatenate((np.searchsorted(common, a.ends), np.searchsorted(common, b.ends)))
+    side = np.repeat([0, 1], [len(a.ids), len(b.ids)])
+    order = np.lexsort((side, group))
+    key = (2 * group + side)[order]
+    ends_side = np.append(key[1:] != key[:-1], True)[: len(key)]
+    base = np.array([0, 2 * len(sizes_a)])[side] + np.concatenate((a.ids, b.ids))
+    token = base[order] + ends_side * np.array([len(sizes_a), len(sizes_b)])[side[order]]
+    parts = list(map(shown.__getitem__, token.tolist()))
+    edges = np.cumsum([0, *(a.count + b.count).tolist()]).tolist()
+    texts = ["".join(parts[x:y]) for x, y in zip(edges, edges[1:])]
+    return wrong, np.stack((a.count, b.count, groups), axis=1), texts, groups, pairs
+
+
+def linked(a: Tokens, b: Tokens, common: np.ndarray) -> np.ndarray:
+    """The ids of the tokens that end at the common ends. No token is empty, so that each side has one there."""
+    return a.ids[np.searchsorted(a.ends, common)] << 32 | b.ids[np.searchsorted(b.ends, common)]
 
 
 class Memory:
@@ -139,19 +178,14 @@ class Memory:
     def learn(self, chunks: set[str]) -> None:
         new = [c for c in chunks if c not in self.number]
         for k in range(0, len(new), 20_000):
-            self._add(new[k : k + 20_000])
-
-    def _add(self, new: list[str]) -> None:
-        found = self.pair.aligned(new)
-        for c in new:
-            self.number[c] = len(self.number)
-        none = (0, 0, 0, "", [])
-        self.wrong = np.concatenate((self.wrong, [f is None for f in found]))
-        found = [f or none for f in found]
-        self.texts.extend(f[3] for f in found)
-        self.counts = np.concatenate((self.counts, np.array([f[:3] for f in found], np.int64).reshape(-1, 3)))
-        self.pairs = np.concatenate((self.pairs, np.array([p for f in found for p in f[4]], np.int64)))
-        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum([len(f[4]) for f in found], dtype=np.int64)))
+            part = new[k : k + 20_000]
+            wrong, counts, texts, links, pairs = aligned(self.pair, part)
+            self.number.update(zip(part, range(len(self.number), len(self.number) + len(part))))
+            self.texts += texts
+            self.wrong = np.concatenate((self.wrong, wrong))
+            self.counts = np.concatenate((self.counts, counts))
+            self.pairs = np.concatenate((self.pairs, pairs))
+            self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(links)))
 
     def text(self, chunks: list[str]) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
         """Counts, hash of the groups, and distinct pairs with their numbers of a text cut into chunks."""
@@ -159,7 +193,7 @@ class Memory:
         if not chunks or self.wrong[codes].any():
             return 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
         n_a, n_b, n_groups = self.counts[codes].sum(axis=0).tolist()
-        hashed = hashlib.sha256(";".join(map(self.texts.__getitem__, codes.tolist())).encode()).hexdigest()
+        hashed = hashlib.sha256("".join(map(self.texts.__getitem__, codes.tolist()))[:-1].encode()).hexdigest()
         start, size = self.first[codes], self.first[codes + 1] - self.first[codes]
         at = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
         return n_a, n_b, n_groups, hashed, *np.unique(self.pairs[at], return_counts=True)
