@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import json
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolog.functions import deep_json as D
 from chronolog.functions import records as R
 from chronolog.functions.fixed import (
     DROPPED_TIME_KEYS,
@@ -19,7 +15,7 @@ from chronolog.functions.fixed import (
     REPEATED_KEYS,
     STANDARD_KEYS,
 )
-from chronolog.functions.text import let, title_case
+from chronolog.functions.text import let, pinned, title_case
 from chronolog.functions.times import parse_time
 from chronolog.options import DEFAULT, Options
 
@@ -122,59 +118,28 @@ def es_json_arguments(record: Column) -> Column:
 
 # --- cleaning
 
-# Workers need not have this package installed: the pruning function travels by value.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-REPEATABLE = ["level", "pid", "message", "name", "version"]
 
+def _quoted(value: Column) -> Column:
+    """A string as it stands in masked compact JSON."""
+    return D.masked(let(F.to_json(F.struct(value.alias("v"))), lambda j: F.substr(j, F.lit(6), F.length(j) - 6)))
 
-def _repeats(key: str, value: object, known: dict[str, str], keep_times: bool) -> bool:
-    if key in DROPPED_TIME_KEYS:
-        return not keep_times
-    expected = known.get(key)
-    if not expected:
-        return False
-    if key == "level":
-        return str(value).title() == expected
-    return (str(value) if key == "pid" else value) == expected
 
+def _drops(keep_empty: bool, keep_times: bool) -> D.Drops:
+    """Which members of nested objects go: time keys, and unless ``keep_empty`` what repeats a column."""
 
-def prune(node: dict, known: dict[str, str], keep_empty: bool = False, keep_times: bool = False) -> dict:
-    """Drop time keys, unless they are to be kept, and repeated values at any depth, and what that leaves empty.
-
-    Objects directly inside a list are pruned too; lists inside lists stay as they are.
-    """
-    kept = {}
-    for key, value in node.items():
-        if _repeats(key, value, known, keep_times):
-            continue
-        if isinstance(value, dict):
-            value = prune(value, known, keep_empty, keep_times)
-        elif isinstance(value, list):
-            items = (prune(i, known, keep_empty, keep_times) if isinstance(i, dict) else i for i in value)
-            value = [i for i in items if keep_empty or i or not isinstance(i, dict)]
-        if keep_empty or value or not isinstance(value, (dict, list)):
-            kept[key] = value
-    return kept
-
-
-def _nested_pruner(keep_empty: bool, keep_times: bool = False):
-    """Arrow-batched pruning of the few rows whose nested values need it; other rows hold NULL.
-
-    With ``keep_empty`` only time keys go.
-    """
-
-    @F.pandas_udf("string")
-    def pruned(
-        args: pd.Series, l: pd.Series, pid: pd.Series, mt: pd.Series, tn: pd.Series, v: pd.Series
-    ) -> pd.Series:
-        out = pd.Series([None] * len(args), dtype=object)
-        for i in args.index[args.notna()]:
-            known = {} if keep_empty else dict(zip(REPEATABLE, (l[i], pid[i], mt[i], tn[i], v[i])))
-            out[i] = json.dumps(prune(json.loads(args[i]), known, keep_empty, keep_times), ensure_ascii=False)
-        return out
+    def drops(key: Column, value: Column) -> Column:
+        gone = F.lit(False) if keep_times else key.isin([f'"{k}"' for k in DROPPED_TIME_KEYS])
+        if keep_empty:
+            return gone
+        shown = D.scalar_text(value)
+        repeated = ((key == '"level"') & (F.col("l") != "") & (title_case(shown) == F.col("l"))) | (
+            (key == '"pid"') & (F.col("pid") != "") & (shown == F.col("pid"))
+        )
+        for name, column in (("message", "mt"), ("name", "tn"), ("version", "v")):
+            repeated = repeated | ((key == f'"{name}"') & (F.col(column) != "") & (value == _quoted(F.col(column))))
+        return gone | F.coalesce(repeated, F.lit(False))
 
-    return pruned
+    return drops
 
 
 def _names(key: str, value: Column) -> Column:
@@ -186,8 +151,8 @@ def _names(key: str, value: Column) -> Column:
 def with_arguments(df: DataFrame, is_json: Column, options: Options = DEFAULT) -> DataFrame:
     """Add ``args`` to JSON rows that already have their other columns.
 
-    Top-level keys are handled by map functions. Nested values are only looked into by Python when
-    their text shows a key that might have to go; all other rows never leave the JVM as data.
+    Top-level keys are handled by map functions. Nested values are only looked into when their text shows a
+    key that might have to go; all other rows have NULL there.
     """
     record = F.col("record")
     if options.json_rules != "generic":
@@ -231,9 +196,8 @@ def with_arguments(df: DataFrame, is_json: Column, options: Options = DEFAULT) -
             quoted = F.rtrim(_names(key, F.col(column)), F.lit("}"))
             suspect = suspect | F.coalesce(F.contains(inside, quoted), F.lit(False))
     df = df.withColumn("_deep", F.when(suspect, F.to_json("_rest")))
-    known = [F.when(F.col("_deep").isNotNull(), F.col(c)) for c in ("l", "pid", "mt", "tn", "v")]
-    pruned = _nested_pruner(not clean, options.keep_other_times)("_deep", *known)
-    df = df.withColumn("_pruned", pruned)
+    pruned = D.pruned_json(F.col("_deep"), _drops(not clean, options.keep_other_times), keep_empty=not clean)
+    df = df.withColumn("_pruned", pinned(F.when(F.col("_deep").isNotNull(), pruned)))
     json_args = F.when(
         F.col("_pruned").isNotNull(), F.when(F.col("_pruned") != "{}", F.try_parse_json("_pruned"))
     ).when(F.size("_rest") > 0, F.to_variant_object("_rest"))

@@ -1,11 +1,15 @@
 """Hand-written lines and the records they must give."""
 
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronolog import Options, normalize, normalize_json, rendered
-from chronolog.operators.arguments import prune
+from chronolog.functions.deep_json import pruned_json
+from chronolog.functions.fixed import DROPPED_TIME_KEYS
+from chronolog.operators import arguments
 
 FALLBACK = "2000-01-01 00:00:00.000+00:00"
 PATH = "/a/my-svc_1a.log"
@@ -121,11 +125,61 @@ def test_single_records(spark):
     assert out[3]["pid"] == 5
 
 
-def test_prune_keeps_what_is_not_repeated():
-    known = {"level": "Error", "pid": "5", "message": "m", "name": "n", "version": "1"}
-    node = {"a": {"level": "ERROR", "pid": 5, "b": [{"name": "n"}, {}, [], 0, {"x": {"version": "1"}}]}, "z": {"time": 1}}
-    assert prune(node, known) == {"a": {"b": [[], 0]}}
-    assert prune(node, {}, keep_empty=True)["z"] == {}
+KNOWN = {"level": "Error", "pid": "5", "message": 'm "{,:}" \\\\ é', "name": "n", "version": "1"}
+
+
+def prune(node, known, keep_empty=False):
+    """The rule for nested arguments, member by member."""
+
+    def repeats(key, value):
+        if key in DROPPED_TIME_KEYS:
+            return True
+        if key == "level":
+            return isinstance(value, str) and value.title() == known.get(key)
+        return key in known and (str(value) if key == "pid" and isinstance(value, int) else value) == known[key]
+
+    kept = {}
+    for key, value in node.items():
+        if repeats(key, value):
+            continue
+        if isinstance(value, dict):
+            value = prune(value, known, keep_empty)
+        elif isinstance(value, list):
+            items = [prune(i, known, keep_empty) if isinstance(i, dict) else i for i in value]
+            value = [i for i in items if keep_empty or i or not isinstance(i, dict)]
+        if keep_empty or value or not isinstance(value, (dict, list)):
+            kept[key] = value
+    return kept
+
+
+def nested(rng, depth):
+    kind = rng.random()
+    if depth and kind < 0.35:
+        keys = ["level", "pid", "message", "name", "version", "time", "date", "k", 'q"{', "a,b:c", "é\\\\"]
+        return {k: nested(rng, depth - 1) for k in rng.sample(keys, rng.randint(0, 5))}
+    if depth and kind < 0.55:
+        return [nested(rng, depth - 1) for _ in range(rng.randint(0, 4))]
+    return rng.choice(["ERROR", "error", 5, "5", KNOWN["message"], "n", "1", 1, "", "{}", "[]", "a\n\t\"{[,:]}", None, True, 0, 1.5, "\u0001\u0007"])
+
+
+@pytest.mark.parametrize("keep_empty", [False, True])
+def test_nested_arguments_equal_the_rule(spark, keep_empty):
+    rng = random.Random(5)
+    nodes = [{"a": nested(rng, 6), "b": nested(rng, 3), "time": nested(rng, 2)} for _ in range(400)]
+    deep = {"k": 1}
+    for i in range(60):
+        deep = {"x": deep, "time": 1} if i % 3 else {"x": [deep, {"date": 2}]}
+    nodes += [{}, deep, {"a": [{"time": 1}] * 3000}, {"a": [[{"time": 1}]], "b": [{"c": [[], {}, [[{}]]]}]}]
+    known = {} if keep_empty else KNOWN
+    text = lambda n: json.dumps(n, ensure_ascii=False, separators=(",", ":"))
+    df = spark.createDataFrame([(i, text(n)) for i, n in enumerate(nodes)] + [(-1, None)], "i int, text string")
+    for column, name in (("l", "level"), ("pid", "pid"), ("mt", "message"), ("tn", "name"), ("v", "version")):
+        df = df.withColumn(column, F.lit(KNOWN[name]))
+    found = df.select("i", pruned_json(F.col("text"), arguments._drops(keep_empty, False), keep_empty).alias("p"))
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = {r["i"]: r["p"] for r in found.collect()}
+    assert rows.pop(-1) is None
+    assert {i: json.loads(p) for i, p in rows.items()} == {i: prune(n, known, keep_empty) for i, n in enumerate(nodes)}
 
 
 def test_long_and_odd_lines_are_not_demoted(spark):
