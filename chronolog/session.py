@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     # decode(..., 'windows-1251') needs the JVM's full charset list
     "spark.sql.legacy.javaCharsets": "true",
+    # bytes that a charset does not know become replacement characters
+    "spark.sql.legacy.codingErrorAction": "true",
     # HotSpot does not compile methods above this size: larger generated methods are better split
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }

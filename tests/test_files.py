@@ -180,3 +180,51 @@ def test_lookup_without_broadcast_spreads_rows(spark):
     assert key(joined) == key(broadcast)
     none = joined.where("file IS NULL").groupBy(F.spark_partition_id()).count().collect()
     assert len(none) > 1 and max(r["count"] for r in none) < 1000
+
+
+def test_utf16_files(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    # U+0A8A before U+0100 holds the bytes of a line feed across two characters, as U+0100 before U+0A8A does
+    lines = [f"2025-04-03 00:00:{i % 60:02d} строка {i}" for i in range(3000)]
+    lines[7], lines[8], lines[2000] = "a \u0a8a\u0100 b \u0100\u0a8a c", "\u0100\u0a8a\u0a8a\u0100", "\u0a8a\u0100\u0a8a\u0100 \u2028 😀"
+    for name, charset in (("le", "utf-16-le"), ("be", "utf-16-be")):
+        (root / f"{name}.log").write_bytes(("\ufeff" + "\n".join(lines) + "\n").encode(charset))
+    (root / "crlf.log").write_bytes("\ufeffone\r\n\r\nlast é".encode("utf-16-le"))
+    (root / "only.json").write_bytes(b"\xff\xfe")
+    (root / "half.log").write_bytes("\ufeffok\n\ud800x\n".encode("utf-16-be", "surrogatepass"))
+    (root / "utf8.log").write_bytes((RUSSIAN + "\n").encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = files.read_folder(spark, str(root))
+        assert lines_of(df, "le.log") == lines and lines_of(df, "be.log") == lines
+        assert df.where(F.col("file_path").endswith("le.log")).select("file_block_start").distinct().count() > 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert lines_of(df, "crlf.log") == ["one", "", "last é"] and lines_of(df, "utf8.log") == [RUSSIAN]
+    assert lines_of(df, "only.json") in ([], [""]) and lines_of(df, "half.log") == ["ok", "\ufffd"]  # the unit behind a lone surrogate goes with it
+    path = str(root / "crlf.log")
+    assert files.read_files(spark, [path, path]).count() == 6
+
+
+TEXT = [
+    "Ошибка соединения с сервером базы данных, повтор через пять секунд",
+    "2025-04-03 00:00:01 INFO запрос выполнен успешно, обработано записей: 120",
+    "ВНИМАНИЕ: превышено время ожидания ответа от внешней службы",
+    "Пользователь Иванов вошёл в систему с адреса 10.0.0.1",
+]
+
+
+@pytest.mark.parametrize("profile", ["utf8_first", "cp1251_first"])
+def test_charsets_are_told_apart(spark, tmp_path, profile):
+    written = {}
+    for charset in ("cp1251", "koi8-r", "cp866", "utf-8"):
+        for k in range(len(TEXT) + 1):
+            name = f"{charset}-{k}.log"
+            written[name] = TEXT if k == len(TEXT) else [TEXT[k], "plain"]
+            (tmp_path / name).write_bytes(("\n".join(written[name]) + "\n").encode(charset))
+    (tmp_path / "latin.log").write_bytes("café".encode("latin-1"))
+    df = files.read_folder(spark, str(tmp_path), encoding_profile=profile)
+    found = {name: lines_of(df, "/" + name) for name in written}
+    assert found == written
+    assert lines_of(df, "latin.log") == ["cafй"]
