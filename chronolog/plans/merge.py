@@ -114,11 +114,16 @@ def merge_metrics(records: DataFrame) -> DataFrame:
 
 
 def observed(rendered: DataFrame, name: str = "merge") -> tuple[DataFrame, Observation]:
-    """Count records and bytes of rendered lines while they are written, without another pass."""
+    """Count records and bytes of rendered lines while they are written, without another pass.
+
+    Where the rows also tell their ``file_path``, ``files`` is the set of the paths' hashes: eight bytes for each file.
+    """
     observation = Observation(name)
+    files = [F.collect_set(F.xxhash64("file_path")).alias("files")] if "file_path" in rendered.columns else []
     counted = rendered.observe(
         observation,
         F.count(F.lit(1)).alias("records"),
         F.coalesce(F.sum(rendered_bytes(F.col("value"))), F.lit(0)).alias("bytes"),
+        *files,
     )
     return counted, observation

@@ -10,12 +10,10 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolog.operators.route import drop_blank
 from chronolog.options import DEFAULT, Options
 from chronolog.plans import merge as M
 from chronolog.plans import normalize as N
 from chronolog.sources.files import SUFFIXES, file_listing, read_folder
-from chronolog.sources.lookup import materialized
 
 RANGE_BYTES = 256 * 1024 * 1024
 #: So many files without lines are named in the log.
@@ -34,8 +32,13 @@ def write_merged(records: DataFrame, path: str, mode: str = "errorifexists") ->
 
     The part files, read in name order, are the merged log; each is sorted and they do not overlap.
     """
-    lines, observation = M.observed(records.select(N.rendered(records).alias("value")))
-    lines.write.mode(mode).text(path)
+    return {k: v for k, v in _write_observed(records, path, mode).items() if k != "files"}
+
+
+def _write_observed(records: DataFrame, path: str, mode: str) -> dict:
+    shown = [N.rendered(records).alias("value"), *[F.col(c) for c in records.columns if c == "file_path"]]
+    lines, observation = M.observed(records.select(*shown))
+    lines.select("value").write.mode(mode).text(path)
     return observation.get
 
 
@@ -75,9 +78,10 @@ def merge_folder(
     found = file_listing(spark, folder, suffixes).agg(F.count(F.lit(1)), F.sum("length")).first()
     ranges = ranges_for(found[1] or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
     lines = read_folder(spark, folder, suffixes, encoding_profile)
-    metrics = write_merged(M.merge(lines, options, order, ranges), out)
-    read = materialized(drop_blank(lines).select("file_path").distinct())
-    silent = file_listing(spark, folder, suffixes).join(read, "file_path", "left_anti")
+    metrics = _write_observed(M.merge(lines, options, order, ranges), out, "errorifexists")
+    read = metrics.pop("files")
+    known = spark.createDataFrame([(h,) for h in read], "hash bigint")
+    silent = file_listing(spark, folder, suffixes).join(known, F.xxhash64("file_path") == F.col("hash"), "left_anti")
     for row in silent.select("file_path").limit(LOGGED).collect():
         logging.getLogger(__name__).warning("no record came from %s", row.file_path)
-    return {"files": found[0], "files_read": read.count(), **metrics}
+    return {"files": found[0], "files_read": len(read), **metrics}
