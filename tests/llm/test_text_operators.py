@@ -326,6 +326,66 @@ def test_tree_matching_counts_the_most_pairs():
     assert html_text.matched(a, b)[0] == 5 and len(html_text.matched(a, b)[1]) == 5
 
 
+def test_tree_matching_equals_every_alignment(monkeypatch):
+    rng = random.Random(6)
+
+    def tree(depth):
+        tag = rng.choice(["div", "p", "b"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(rng.randint(0, 3) if depth else 0)) + f"</{tag}>"
+
+    def most(a, b):
+        if a.label != b.label:
+            return 0
+        left, right = ([k for k in n.kids if not isinstance(k, str)] for n in (a, b))
+
+        def aligned(i, j):
+            if i == len(left) or j == len(right):
+                return 0
+            return max(aligned(i + 1, j), aligned(i, j + 1), most(left[i], right[j]) + aligned(i + 1, j + 1) if most(left[i], right[j]) else 0)
+
+        return 1 + aligned(0, 0)
+
+    for _ in range(40):
+        a, b = (html_text.parse("<section>" + "".join(tree(2) for _ in range(3)) + "</section>") for _ in range(2))
+        size, pairs = html_text.matched(a, b)
+        assert size == most(a, b) == len(pairs) and all(x.label == y.label for x, y in pairs)
+        with monkeypatch.context() as m:
+            m.setattr(html_text, "PAIRS", 0)
+            assert html_text.matched(a, b)[0] <= size
+
+
+def test_html_keeps_headings_and_what_a_class_only_hints_at(spark):
+    rng = random.Random(8)
+    page = (
+        "<body><article><h2>Abstract</h2><p>{0} by <b>Reuters</b> {1}</p><div class='related-work'><p>{2}</p></div><section class='comment-analysis'>{3}</section>"
+        "<div class='ad-hoc'>Sign up now</div><div class='share-buttons'>{4}</div><div class='related-reading'><a href='/x'>{5}</a></div><table><tr><th>Year</th></tr><tr><td>{6}</td></tr></table></article></body>"
+    ).format
+    facts = [[prose(rng, 8) for _ in range(7)] for _ in range(12)]
+    rows = [(k, f"http://papers.example.com/{k}", page(*f)) for k, f in enumerate(facts)]
+    rows += [(50, "http://papers.example.com/stub", "<p>Moved</p>"), (51, "http://papers.example.com/deep", "<article>" + "<div>" * 5000 + "far" + "</div>" * 5000 + "</article>")]
+    found = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    expected = {k: "\n\n".join(["Abstract", f"{f[0]} by Reuters {f[1]}", f[2], f[3], "Year", f[6]]) for k, f in enumerate(facts)}
+    assert found == {**expected, 50: "Moved", 51: "far"}
+
+
+def test_html_seeds_are_those_of_layouts(spark):
+    rng = random.Random(9)
+    news = "<body><div><p>Welcome to our shop</p></div><div><p>{}</p></div></body>".format
+    shop = "<body><section><p>All prices with tax</p></section><section><p>{}</p></section></body>".format
+    texts = [prose(rng, 20) for _ in range(16)]
+    rows = [(k, "http://x.example.com/a", (news if k % 2 else shop)(t)) for k, t in enumerate(texts)] + [(90, "http://x.example.com/b", "")]
+    rows += [(91, "http://x.example.com/c", "<body>Gone</body>")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert found == {**dict(enumerate(texts)), 90: "", 91: "Gone"}
+
+
+def test_html_of_very_wide_pages():
+    wide = lambda k: html_text.parse("<body>" + "".join("<p>x</p>" if i % k else f"<p><b>{i}</b></p>" for i in range(5000)) + "</body>")
+    size, pairs = html_text.matched(wide(3), wide(4))
+    assert size == len(pairs) > 5000
+
+
 # 7 -------------------------------------------------------------------------------------------------
 
 
