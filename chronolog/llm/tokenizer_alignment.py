@@ -29,7 +29,7 @@ from chronolog.llm import spans
 from chronolog.llm.shared import small, written
 
 #: A worker remembers so many aligned chunks; beyond, it forgets them and may align a chunk again.
-REMEMBERED = 500_000
+REMEMBERED = 900_000
 BLANK = "▁"
 CHUNK = re.compile(rf" +[^ ]*(?:(?<=[\s{BLANK}]) +[^ ]*| +\Z)*")
 NAMES = ["n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times"]
@@ -59,7 +59,7 @@ class Pair:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         stands = byte_of_char()
         added = {t["content"] for t in json.loads(a_json).get("added_tokens", [])}
-        self.a_bytes = {i: bytes(stands[c] for c in t) for t, i in self.a.get_vocab().items() if t not in added}
+        self.a_bytes = {i: b"" if t in added else bytes(stands[c] for c in t) for t, i in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
         self._tables: tuple[np.ndarray, np.ndarray, list[str]] | None = None
@@ -83,10 +83,9 @@ class Pair:
 class Tokens:
     """The tokens of many chunks on one side: ids, the chunk of each, and the byte of all chunks' bytes that each ends at."""
 
-    def __init__(self, ids: list[list[int]], starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> None:
-        self.count = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.ids = np.fromiter(chain.from_iterable(ids), np.int64, int(self.count.sum()))
-        owner = np.repeat(np.arange(len(ids)), self.count)
+    def __init__(self, ids: np.ndarray, count: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> None:
+        self.ids, self.count = ids, count
+        owner = np.repeat(np.arange(len(count)), count)
         last = np.append(owner[1:] != owner[:-1], True)[: len(owner)]
         own = (starts < ends) & (last | (np.append(starts[1:], 0)[: len(starts)] >= ends))
         # of no own span: as far as the decoded bytes go
@@ -95,7 +94,13 @@ class Tokens:
         begin = np.cumsum(self.count) - self.count
         decoded = through[1:] - np.repeat(through[begin], self.count) + np.repeat(first[:-1], self.count)
         self.ends = np.where(own, ends, decoded)
-        self.bytes = np.bincount(owner, weights=lengths, minlength=len(ids)).astype(np.int64)
+
+
+def rebuilt(ids: np.ndarray, count: np.ndarray, sizes: np.ndarray, tokens: dict[int, bytes] | list[bytes], first: np.ndarray, data: list[bytes]) -> bool:
+    """Whether the bytes of the tokens are those of the chunks, each chunk's its own."""
+    through = np.concatenate(([0], np.cumsum(sizes[ids])))
+    ends = through[np.cumsum(count)]
+    return np.array_equal(ends, first[1:]) and b"".join([tokens[i] for i in ids.tolist()]) == b"".join(data)
 
 
 def aligned(pair: Pair, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
@@ -107,37 +112,41 @@ def aligned(pair: Pair, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, list
     of_a = pair.a.encode_batch(chunks, add_special_tokens=False)
     of_b = pair.b.encode([c[1:] for c in chunks], return_type="proto", num_threads=1)
     ids_a = [x.ids for x in of_a]
-    pieces = [[(p.id, p.begin, p.end) for p in x.pieces] for x in of_b]
+    flat, many_b = [], []
+    for x in of_b:
+        many_b.append(len(x.pieces))
+        for p in x.pieces:
+            flat += (p.id, p.begin, p.end)
+    pieces = np.array(flat, np.int64).reshape(-1, 3)
     data = [c.encode() for c in chunks]
-    wrong = np.array(
-        [
-            b"".join(map(pair.a_bytes.__getitem__, i)) != d or b"".join([pair.b_bytes[p[0]] for p in q]) != d
-            for i, q, d in zip(ids_a, pieces, data)
-        ],
-        bool,
-    )
-    if wrong.any():
-        right = np.flatnonzero(~wrong).tolist()
+    sizes_a, sizes_b, shown = pair.tables()
+    first = np.cumsum([0, *map(len, data)])
+    many_a, many_b = np.fromiter(map(len, ids_a), np.int64, len(ids_a)), np.array(many_b, np.int64)
+    flat_a = np.fromiter(chain.from_iterable(ids_a), np.int64, int(many_a.sum()))
+    sides = ((flat_a, many_a, sizes_a, pair.a_bytes), (pieces[:, 0], many_b, sizes_b, pair.b_bytes))
+    if not all(rebuilt(ids, many, sizes, tokens, first, data) for ids, many, sizes, tokens in sides):
+        right, wrong = [], np.zeros(len(chunks), bool)
+        cuts = [np.cumsum(np.append(0, many)).tolist() for _, many, _, _ in sides]
+        for k, d in enumerate(data):
+            parts = [b"".join([tokens[i] for i in ids[c[k] : c[k + 1]].tolist()]) for (ids, _, _, tokens), c in zip(sides, cuts)]
+            wrong[k] = any(part != d for part in parts)
+            if not wrong[k]:
+                right.append(k)
         _, counts, texts, links, pairs = aligned(pair, [chunks[k] for k in right])
-        every, shown, many = np.zeros((len(chunks), 3), np.int64), [""] * len(chunks), np.zeros(len(chunks), np.int64)
+        every, told, many = np.zeros((len(chunks), 3), np.int64), [""] * len(chunks), np.zeros(len(chunks), np.int64)
         every[right], many[right] = counts, links
         for k, text in zip(right, texts):
-            shown[k] = text
-        return wrong, every, shown, many, pairs
-    sizes_a, sizes_b, shown = pair.tables()
-    first = np.cumsum([0, *map(len, data)])
+            told[k] = text
+        return wrong, every, told, many, pairs
     # A's spans count characters, B's bytes after the blank
     code = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)
     at = np.concatenate(([0], np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))))
     char = np.cumsum([0, *map(len, chunks)])[:-1]
-    spans_a = np.array(list(chain.from_iterable(x.offsets for x in of_a)), np.int64).reshape(-1, 2)
-    many = np.fromiter(map(len, ids_a), np.int64, len(ids_a))
-    spans_a = at[spans_a + np.repeat(char, many)[:, None]]
-    flat_b = np.array(list(chain.from_iterable(pieces)), np.int64).reshape(-1, 3)
-    many = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    spans_b = flat_b[:, 1:] + (np.repeat(first[:-1], many) + 1)[:, None]
-    a = Tokens(ids_a, spans_a[:, 0], spans_a[:, 1], sizes_a, first)
-    b = Tokens([[p[0] for p in q] for q in pieces], spans_b[:, 0], spans_b[:, 1], sizes_b, first)
+    spans_a = np.fromiter(chain.from_iterable(chain.from_iterable(x.offsets for x in of_a)), np.int64, 2 * len(flat_a)).reshape(-1, 2)
+    spans_a = at[spans_a + np.repeat(char, many_a)[:, None]]
+    spans_b = pieces[:, 1:] + (np.repeat(first[:-1], many_b) + 1)[:, None]
+    a = Tokens(flat_a, many_a, spans_a[:, 0], spans_a[:, 1], sizes_a, first)
+    b = Tokens(pieces[:, 0], many_b, spans_b[:, 0], spans_b[:, 1], sizes_b, first)
     common = np.intersect1d(a.ends, b.ends)
     pairs = linked(a, b, common)
     groups = np.diff(np.searchsorted(common, first, side="right"))
@@ -152,7 +161,7 @@ def aligned(pair: Pair, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, list
     parts = list(map(shown.__getitem__, token.tolist()))
     edges = np.cumsum([0, *(a.count + b.count).tolist()]).tolist()
     texts = ["".join(parts[x:y]) for x, y in zip(edges, edges[1:])]
-    return wrong, np.stack((a.count, b.count, groups), axis=1), texts, groups, pairs
+    return np.zeros(len(chunks), bool), np.stack((a.count, b.count, groups), axis=1), texts, groups, pairs
 
 
 def linked(a: Tokens, b: Tokens, common: np.ndarray) -> np.ndarray:

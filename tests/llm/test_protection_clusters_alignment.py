@@ -276,7 +276,7 @@ def test_alignment_beyond_memory_and_broadcast(spark, files, monkeypatch):
 def test_spans_are_coarse_cuts():
     def ends(spans, lengths):
         starts, stops = np.array(spans).T
-        return tokenizer_alignment.Tokens([list(range(len(spans)))], starts, stops, np.array(lengths), np.array([0, sum(lengths)])).ends.tolist()
+        return tokenizer_alignment.Tokens(np.arange(len(spans)), np.array([len(spans)]), starts, stops, np.array(lengths), np.array([0, sum(lengths)])).ends.tolist()
 
     assert ends([(0, 4), (1, 4), (1, 4), (4, 6)], [2, 1, 1, 2]) == [2, 3, 4, 6]  # three tokens share a character
     assert ends([(0, 0), (0, 3)], [1, 2]) == [1, 3] and ends([(0, 1), (1, 1), (1, 3)], [1, 1, 1]) == [1, 2, 3]
