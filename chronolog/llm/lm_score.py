@@ -2,10 +2,10 @@
 
 The pieces are an existing vocabulary's tokens. Their probabilities are learned from the training texts:
 add-one smoothed counts of the pieces in the encodings of all training words. A word's probability sums over
-all ways to cut it, a blank in front, into pieces: a forward recursion in log space. A word of the training texts
-is besides an arc of the lattice as a whole, by its own frequency; unseen words have the pieces alone, and how
-much goes to pieces follows from how often training texts brought a new word. Pieces hold a blank at most as
-their first byte, so no cut crosses words and a text's probability is the product of its words' and the end's. Each distinct word of the corpus is weighed once; texts are blocks of codes (``blocks``).
+all ways to cut it, a blank in front, into pieces: a forward recursion in log space. Pieces hold a blank at most as
+their first byte, so no cut crosses words and a text's probability is the product of its words' and the end's.
+Each distinct word of the corpus is weighed once; texts are blocks of codes (``blocks``). The counts of whole words
+give the base score only.
 """
 
 from __future__ import annotations
@@ -29,18 +29,6 @@ from chronolog.llm.shared import written
 REMEMBERED = 500_000
 
 
-def with_arc(lattice: float, count: int, tokens: int, kinds: int) -> float:
-    """The log of a token's probability by its pieces and, seen ``count`` times of ``tokens``, as a whole."""
-    if not tokens:
-        return lattice
-    by_pieces = lattice + log(kinds / (tokens + kinds))
-    if not count:
-        return by_pieces
-    whole = log(count / (tokens + kinds))
-    most = max(by_pieces, whole)
-    return most + log(exp(by_pieces - most) + exp(whole - most))
-
-
 class Pieces:
     """Log probabilities of the pieces; ``weight(word)`` is the log of a word's marginal probability."""
 
@@ -158,7 +146,7 @@ def score(docs: DataFrame, learn, ranks: dict[bytes, int], pattern: str, id_col:
                 for k, word in enumerate(found):
                     s = known.get(word)
                     if s is None:
-                        s = known[word] = with_arc(pieces.weight(word), counts.get(word, 0), n, v) / log(10)
+                        s = known[word] = pieces.weight(word) / log(10)
                     scores[k] = s
                 c = np.fromiter((counts.get(w, 0) for w in found), dtype=np.int64, count=len(found))
                 for column, value in zip(out, (block, place, packed(c), scores.tobytes())):
@@ -176,7 +164,7 @@ def score(docs: DataFrame, learn, ranks: dict[bytes, int], pattern: str, id_col:
         .mapInArrow(weigh, "block bigint, places binary, counts binary, scores binary")
     )
     spread = n + (v + 1)
-    end = with_arc(Pieces(ranks, learned.value, ends).end, ends, n, v) / log(10)
+    end = Pieces(ranks, learned.value, ends).end / log(10)
 
     def sum_up(texts: pa.Table, replies: pa.Table) -> pa.Table:
         places, counts, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]

@@ -237,7 +237,8 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> l
     picked = stats.where(~base_failed()).select(
         "_key.doc_id", (F.col("_key._quality") == 0).alias("bad"), *[feature(f).alias(f) for f in FEATURES]
     )
-    found = sorted(picked.collect(), key=lambda r: hash((r["doc_id"], *(r[f] for f in FEATURES))))
+    shuffled = [F.xxhash64("doc_id", *FEATURES), *FEATURES, "doc_id", "bad"]
+    found = picked.orderBy(*shuffled).collect()
     return [({f: r[f] for f in FEATURES}, r["bad"]) for r in found]
 
 

@@ -510,7 +510,11 @@ def test_lattice_sums_all_segmentations():
 
 
 def test_lm_scores(spark, docs, ranks):
-    from math import log10
+    """The score against a plain sum over all segmentations, with piece counts taken from the library directly."""
+    from functools import cache
+    from math import fsum, log10
+
+    import tiktoken
 
     rows = corpus()
     learn = F.col("doc_id") % 3 != 0
@@ -520,12 +524,27 @@ def test_lm_scores(spark, docs, ranks):
         if k % 3:
             counts.update([*WORD.findall(lowered(text)), None])
     n, v = sum(counts.values()), len(counts)
+    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    pieces = Counter()
+    for word, c in counts.items():
+        for i in library.encode_ordinary(" " + word) if word is not None else []:
+            pieces[i] += c
+    usable = {t: i for t, i in ranks.items() if b" " not in t[1:]}
+    total = sum(pieces[i] for i in usable.values()) + counts[None] + len(usable) + 1
+
+    @cache
+    def ways(text):
+        return 1.0 if not text else fsum((pieces[usable[text[:k]]] + 1) / total * ways(text[k:]) for k in range(1, len(text) + 1) if text[:k] in usable)
+
+    def likely(token):
+        return (counts[None] + 1) / total if token is None else ways(b" " + token.encode())
+
     for k, text, *_ in rows:
         tokens = [*WORD.findall(lowered(text)), None]
         r = found[k]
+        assert r["score"] == pytest.approx(sum(log10(likely(t)) for t in tokens))
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["learn"]) == (len(tokens), sum(counts[t] > 0 for t in tokens), n, k % 3 != 0)
         assert r["base_score"] == pytest.approx(sum(log10((counts[t] + 1) / (n + v + 1)) for t in tokens))
-        assert r["score"] < 0
     assert lm_score.score(docs.limit(0), learn, ranks, public_tokenizers.PATTERN).count() == 0
     untaught = lm_score.score(odd(docs), F.lit(None).cast("boolean"), ranks, public_tokenizers.PATTERN).collect()
     assert {r["train_tokens"] for r in untaught} == {0} and all(r["n_known"] == 0 for r in untaught)
