@@ -21,6 +21,7 @@ from chronolog.functions.text import let, strip
 UTC = "+00:00"
 OFFSET = r"([+-](?:[01]\d|2[0-3]))(?::?([0-5]\d))?"
 USUAL = rf"^\d{{4}}-\d{{2}}-\d{{2}}[Tt{SPACE}]\d{{2}}:\d{{2}}:\d{{2}}(?:[.,]\d+)?{WS}*(?:[Zz]|{OFFSET})?$"
+USUAL_WHOLE = USUAL.removesuffix("$") + r"\z"
 CLOCK_TAIL = rf"^(.*?(?:\d:\d{{2}}|T\d{{4}}(?:\d\d)?)(?:[.,]\d+)?(?:{WS}?[AaPp][Mm])?){WS}*(?:[Zz]|UTC|GMT|{OFFSET})$"
 # a year, and not just a number of seconds
 DATED = r"^(?=.*\d{4})(?:.*[^\d.].*|\d{8}(?:\d{4}(?:\d{2})?)?|.*\.\d+\..*)$"
@@ -106,9 +107,13 @@ def parse_time(text: Column, day_first: bool = True) -> Column:
     def parsed(clean: Column) -> Column:
         return F.when(clean.rlike(USUAL), _usual(clean)).when(clean.rlike(DATED), _other(clean, day_first))
 
-    # with single blanks and short fractions no pattern looks at a place of a long text more than once
-    plain = F.regexp_replace(F.regexp_replace(strip(text), rf"{WS}+", " "), r"([.,]\d{9})\d+", "$1")
-    return F.when(text.isNotNull(), let(plain, parsed))
+    def cleaned(given: Column) -> Column:
+        # with single blanks and short fractions no pattern looks at a place of a long text more than once
+        plain = F.regexp_replace(F.regexp_replace(strip(given), rf"{WS}+", " "), r"([.,]\d{9})\d+", "$1")
+        # most times need no cleaning
+        return F.when(given.rlike(USUAL_WHOLE), _usual(given)).when(given.isNotNull(), let(plain, parsed))
+
+    return let(text, cleaned)
 
 
 def offset_of(time: Column) -> Column:

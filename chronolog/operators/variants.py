@@ -39,6 +39,7 @@ from chronolog.sources.lookup import lookup_by_file
 EARLY_TIME_KEYS = ["@timestamp", "timestamp", "date", "time"]
 UNKNOWN_SERVICE = "DUNNOSERVICE"
 SAMPLE_LINES = 20
+PLACE_COLUMNS = ("file_path", "file_block_start", "line_seq")
 EARLY_ECS = r'^\{"@timestamp":"'
 EARLY_PROCRUN = r"^\[\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\] \[info\]"
 EARLY_SYSLOG = (
@@ -253,68 +254,73 @@ def _with_unknown_services(records: DataFrame) -> DataFrame:
 def simple_syslog(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """Syslog lines with the host as logger, the process as tenant and the plain message.
 
-    Lines of another form become minimal records, whose own columns are NULL for syslog lines.
+    Lines of another form become minimal records, whose own columns are NULL for syslog lines. One pass gives both.
     """
     df = drop_blank(lines).withColumn("parts", pinned(groups(F.col("line"), SYSLOG_PARTS, 5)))
     part = lambda i: F.get("parts", F.lit(i))
-    others = minimal_with_raw_line(df.where(F.size("parts") != 5).drop("parts"), options)
-    return df.where(F.size("parts") == 5).select(
-        F.coalesce(T.parse_time(part(0)), fallback_time(options)).alias("t"),
-        part(3).alias("pid"), F.lit("Info").alias("l"), part(1).alias("lg"),
-        strip(part(4)).alias("mt"), part(2).alias("tn"), version_from_text(part(4)).alias("v"),
-        F.parse_json(F.lit("{}")).alias("args"), "file_path", "file_block_start", "line_seq",
-    ).unionByName(others, allowMissingColumns=True)
+    syslog = F.size("parts") == 5
+    other = _raw_line_columns(F.col("line"), options)
+    own = {
+        "t": F.coalesce(T.parse_time(part(0)), fallback_time(options)),
+        "pid": part(3), "l": F.lit("Info"), "lg": part(1), "mt": strip(part(4)), "tn": part(2),
+        "v": version_from_text(part(4)), "args": F.parse_json(F.lit("{}")),
+    }
+    either = [F.when(syslog, c).otherwise(other.get(name, F.lit(None))).alias(name) for name, c in own.items()]
+    rest = [F.when(~syslog, c).alias(name) for name, c in other.items() if name not in own]
+    return _with_raw_line_times(df, F.col("line"), ~syslog).select(*either, *PLACE_COLUMNS, *rest)
 
 
 def english_level(line: Column) -> Column:
     return X.whole_word_level(line, ENGLISH_LEVELS)
 
 
-def minimal_with_raw_line(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
-    """Minimal records that keep the line itself, and the line-start time when it is all there is."""
-    df = drop_blank(lines).withColumn("service", service_from_path(F.col("file_path")))
-    line = F.col("line")
+def _with_raw_line_times(df: DataFrame, line: Column, wanted: Column) -> DataFrame:
+    """The service, and for ``wanted`` lines the time in the line or else at its start."""
     event = F.coalesce(
         T.day_first_time(F.regexp_extract(line, DAY_FIRST_TIME, 0)),
         T.year_first_time(F.regexp_extract(line, YEAR_FIRST_TIME, 0)),
     )
     logged = T.parse_time(nonempty(F.regexp_extract(line, LINE_START_TIME, 1)))
-    df = df.withColumn("_event", event).withColumn("_logged_at", F.when(F.col("_event").isNull(), logged))
-    span = X.span_of("RawLogLine", "Text", collapse_spaces(X.without_tags(line)))
-    return df.select(
-        F.coalesce("_event", "_logged_at", fallback_time(options)).alias("t"),
-        line.alias("_raw_line"), "_logged_at",
-        english_level(line).alias("l"), X.minimal_pid(line).alias("pid"),
-        bare_version(line).alias("v"), X.minimal_logger(line, F.col("service")).alias("lg"),
-        F.col("service").alias("tn"), F.to_variant_object(span).alias("span"),
-        "file_path", "file_block_start", "line_seq",
-    )
+    df = df.withColumn("service", service_from_path(F.col("file_path"))).withColumn("_event", F.when(wanted, event))
+    return df.withColumn("_logged_at", F.when(wanted & F.col("_event").isNull(), logged))
+
+
+def _raw_line_columns(line: Column, options: Options) -> dict[str, Column]:
+    """A minimal record that keeps its line, over what ``_with_raw_line_times`` adds."""
+    return {
+        "t": F.coalesce("_event", "_logged_at", fallback_time(options)),
+        "_raw_line": line, "_logged_at": F.col("_logged_at"),
+        "l": english_level(line), "pid": X.minimal_pid(line),
+        "v": bare_version(line), "lg": X.minimal_logger(line, F.col("service")),
+        "tn": F.col("service"),
+        "span": F.to_variant_object(X.span_of("RawLogLine", "Text", collapse_spaces(X.without_tags(line)))),
+    }
+
+
+def minimal_with_raw_line(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
+    """Minimal records that keep the line itself, and the line-start time when it is all there is."""
+    line = F.col("line")
+    df = _with_raw_line_times(drop_blank(lines), line, F.lit(True))
+    return df.select(*[c.alias(name) for name, c in _raw_line_columns(line, options).items()], *PLACE_COLUMNS)
 
 
 def keep_all_json(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """JSON lines, also after a text prefix, with all their keys and the missing canonical ones.
 
     The result has the enriched object as ``record``; lines that hold no JSON object have their
-    minimal record there.
+    minimal record there. One pass gives both.
     """
     whole = drop_blank(lines).withColumn("_whole", F.col("line"))
     found = F.when(F.contains("line", F.lit("{")), F.substr("line", F.instr("line", "{")))
     df = R.with_json_object(whole.withColumn("line", found), "line").withColumn("record", pinned(F.col("record")))
-    plain = df.where(F.col("record").isNull()).select(
-        F.col("_whole").alias("line"), "file_path", "file_block_start", "line_seq"
-    )
-    minimal = minimal_with_raw_line(plain, options)
-    members = [c for c in minimal.columns if c not in ("file_path", "file_block_start", "line_seq")]
-    pairs = [part for c in members for part in (F.lit(c), F.col(c).cast("variant"))]
-    as_map = F.map_filter(F.create_map(*pairs), lambda _, value: value.isNotNull())
-    others = minimal.select(as_map.alias("record"), "file_path", "file_block_start", "line_seq")
-    df = df.where(F.col("record").isNotNull()).drop("_whole")
-    df = df.withColumn("service", service_from_path(F.col("file_path")))
+    plain = F.col("record").isNull()
+    df = _with_raw_line_times(df, F.col("_whole"), plain)
+    pairs = [part for name, c in _raw_line_columns(F.col("_whole"), options).items() for part in (F.lit(name), c.cast("variant"))]
+    minimal = F.map_filter(F.create_map(*pairs), lambda _, value: value.isNotNull())
     case = F.when(R.has(F.col("record"), "t"), R.truthy(R.member(F.col("record"), "t")))
     written = case.otherwise(_early_time_text(F.col("record")))
     df = df.withColumn("_time", T.parse_time(pinned(written), options.day_first))
     df = df.withColumn("_time", F.coalesce("_time", fallback_time(options)))
     df, view = J.with_view(df)
     full = J.enriched(view, F.col("line"), F.col("service"), F.col("_time"))
-    enriched = df.select(full.alias("record"), "file_path", "file_block_start", "line_seq")
-    return enriched.unionByName(others)
+    return df.select(F.when(plain, minimal).otherwise(full).alias("record"), *PLACE_COLUMNS)
