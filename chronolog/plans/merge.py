@@ -117,13 +117,21 @@ def observed(rendered: DataFrame, name: str = "merge") -> tuple[DataFrame, Obser
     """Count records and bytes of rendered lines while they are written, without another pass.
 
     Where the rows also tell their ``file_path``, ``files`` is the set of the paths' hashes: eight bytes for each file.
+    Where they tell their ``event_ts``, ``row`` and ``part``, ``starts`` has ``part:milliseconds`` for the first row of each
+    part (no more than there are part files), and ``last`` the latest time.
     """
     observation = Observation(name)
     files = [F.collect_set(F.xxhash64("file_path")).alias("files")] if "file_path" in rendered.columns else []
+    starts = []
+    if "part" in rendered.columns and "event_ts" in rendered.columns:
+        ms = F.unix_millis("event_ts")
+        first = F.when(F.col("row").bitwiseAND(F.lit((1 << 33) - 1)) == 0, F.concat("part", F.lit(":"), F.coalesce(ms.cast("string"), F.lit(""))))
+        starts = [F.collect_set(first).alias("starts"), F.max(ms).alias("last")]
     counted = rendered.observe(
         observation,
         F.count(F.lit(1)).alias("records"),
         F.coalesce(F.sum(rendered_bytes(F.col("value"))), F.lit(0)).alias("bytes"),
         *files,
+        *starts,
     )
     return counted, observation
