@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Turn = tuple[str, str]
-#: Stands for a text when its place is sought; a private-use character.
-PROBE = ""
+#: Private-use characters of which the text is made that stands for another when its place is sought.
+RUN, EDGE = "\ue000", "\ue001"
 
 
 class Template(Protocol):
@@ -53,12 +53,22 @@ class MarkedTurns:
         return F.regexp_replace(F.regexp_extract(header, cls.HEADER, 1), cls.ESCAPED, "$1")
 
 
+def probe_for(texts: list[str]) -> str:
+    """A text that none of the texts holds, nor any text put together of them and it at another place than its own.
+
+    It is a run of one character, longer than any in the texts, between two others: no neighbour makes it longer.
+    """
+    longest = max((len(run) for text in texts for run in re.findall(f"{RUN}+", text)), default=0)
+    return EDGE + RUN * (longest + 1) + EDGE
+
+
 def located(template: Template, turns: list[Turn]) -> tuple[str, list[tuple[int, int, int, int]] | None, int | None]:
     """The rendered conversation; per turn the span and within it the text's span; where history is rewritten.
 
     Positions are code points. Each turn costs two renderings of its prefix.
     """
     before, spans = template.render([]), []
+    probe = probe_for([template.render(turns), *(part for turn in turns for part in turn)])
     for k in range(1, len(turns) + 1):
         output = template.render(turns[:k])
         start = len(before) if output.startswith(before) else len(commonprefix([before, output]))
@@ -66,9 +76,9 @@ def located(template: Template, turns: list[Turn]) -> tuple[str, list[tuple[int,
         if not output.endswith(tail) or len(output) - len(tail) < start or (spans and start < spans[-1][1]):
             return template.render(turns), None, k - 1
         end = len(output) - len(tail)
-        probed = template.render([*turns[: k - 1], (turns[k - 1][0], PROBE)])
-        at = probed.find(PROBE, start)
-        rest = len(probed) - at - len(PROBE) - len(tail) if at >= 0 else -1
+        probed = template.render([*turns[: k - 1], (turns[k - 1][0], probe)])
+        at = probed.find(probe, start)
+        rest = len(probed) - at - len(probe) - len(tail) if at >= 0 else -1
         if rest < 0 or not output.startswith(probed[:at]) or end - rest < at:
             return template.render(turns), None, k - 1
         spans.append((start, end, at, end - rest))

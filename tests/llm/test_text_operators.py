@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chronolog.llm import (
-    bpe, chat_format, decontamination, html_text, language_id, line_dedup, lm_score, ngram_join, quality, spans, token_counts,
+    bpe, chat_format, decontamination, html_text, language_id, line_dedup, lm_score, ngram_join, quality, queries, spans, token_counts,
 )
 from chronolog.llm.shared import components
 
@@ -259,8 +259,8 @@ class Forgetful:
 
 def test_chat_spans(spark):
     rng = random.Random(2)
-    pieces = ["\\", "###", "####", "</turn>", "a", "\n", "é", "<", "\\### Assistant: ", " ", ":"]
-    rows = [(c, t, rng.choice(["user", "assistant", "a:b\\", ""]), "".join(rng.choice(pieces) for _ in range(rng.randint(0, 9)))) for c in range(40) for t in range(c % 6 + 1)]
+    pieces = ["\\", "###", "####", "</turn>", "a", "\n", "é", "<", "\\### Assistant: ", " ", ":", "\ue000", "\ue001\ue000\ue001"]
+    rows = [(c, t, rng.choice(["user", "assistant", "a:b\\", "", "\ue001\ue000\ue001", "\ue000"]), "".join(rng.choice(pieces) for _ in range(rng.randint(0, 9)))) for c in range(40) for t in range(c % 6 + 1)]
     rows += [(90, None, None, None), (90, 1, "assistant", None), (91, 1, "user", "x"), (91, 1, "user", "x"), (None, 1, "user", "no id")]
     df = odd(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
     template = chat_format.MarkedTurns()
@@ -283,6 +283,32 @@ def test_chat_templates_with_tails_and_rewriting():
     assert chat_format.located(Tail(), []) == ("<s></s>", [], None)
 
 
+def test_chat_probe_is_in_no_role_or_text():
+    for held in ("\ue001\ue000\ue001", "\ue000", "\ue001\ue000\ue000", "\ue000" * 40 + "\ue001"):
+        turns = [(held, "one"), ("user", held), (held + "x" + held, held * 2)]
+        text, found, at = chat_format.located(Tail(), turns)
+        assert at is None and [text[a:b] for _, _, a, b in found] == ["one", held, held * 2]
+
+
+def test_chat_query_equals_brute_force(spark, tmp_path):
+    """What the query reads back from the output is what went in, and conversation -7 is there."""
+    rng = random.Random(8)
+    rows = [(c, t, ["user", "assistant", "system"][(c + t) % 3], rng.choice([None, "", "\\### x </turn>", "a\n\nb", "é😀 \\\\ ", "### : </turn> "])) for c in range(30) for t in range(1, c % 7 + 2)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    control = r"\### Assistant: </turn> ok"
+    turns = {-7: [("user", control), ("assistant", control)]}
+    for c, t, role, text in rows:
+        turns.setdefault(c, []).append((role, text or ""))
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    expected = {}
+    for c, of in turns.items():
+        loss = "".join(text for role, text in of if role == "assistant")
+        whole = "".join(f"{role}\n{text}\n" for role, text in of)
+        expected[c] = (len(of), digest(whole), len(loss), digest(loss), len(chat_format.MarkedTurns().render(of)))
+    found = {r[0]: tuple(r[1:]) for r in queries.op5_chat_formatting(spark, str(tmp_path)).collect()}
+    assert found == expected and len(found) == 31
+
+
 # 6 -------------------------------------------------------------------------------------------------
 
 
