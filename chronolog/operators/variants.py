@@ -63,12 +63,13 @@ ENGLISH_LEVELS = [
 def sample_time_zones(lines: DataFrame, sample: int = SAMPLE_LINES) -> DataFrame:
     """Offset of the first zoned time among each file's first lines, for files that have one.
 
-    Spark keeps only the first lines per file and task before it shuffles, so a file with most of
-    all lines costs no more than any other.
+    Only places and offsets are ranked, never line texts, and Spark keeps only the first places per file and task before
+    it shuffles, so a file with most of all lines costs no more than any other.
     """
+    zone = pinned(F.regexp_extract("line", ZONED_TIME, 1))
+    narrow = lines.select("file_path", "file_block_start", "line_seq", zone.alias("zone"))
     in_file = Window.partitionBy("file_path").orderBy("file_block_start", "line_seq")
-    head = lines.withColumn("_row", F.row_number().over(in_file)).where(F.col("_row") <= sample)
-    zones = head.select("file_path", "_row", F.regexp_extract("line", ZONED_TIME, 1).alias("zone"))
+    zones = narrow.withColumn("_row", F.row_number().over(in_file)).where(F.col("_row") <= sample)
     return (
         zones.where(F.col("zone") != "").groupBy("file_path").agg(F.min_by("zone", "_row").alias("time_zone"))
     )
