@@ -193,7 +193,7 @@ def add_records(spark: SparkSession, lines: DataFrame, path: str, options: Optio
         found = place_among([lowest if spans[n][0] is None else spans[n][0] for n in numbers], F.coalesce("ms", F.lit(lowest)))
         known_numbers = F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>")
         inside = F.get(known_numbers, found)
-        at_end = F.lit(last is None) & F.col("ms").isNotNull() if last is None else F.coalesce(F.col("ms") >= last, F.lit(False))
+        at_end = F.col("ms").isNotNull() if last is None else F.coalesce(F.col("ms") >= last, F.lit(False))
         number = F.when(at_end, F.lit(tail)).otherwise(inside)
     else:
         number = F.lit(tail)
@@ -210,7 +210,7 @@ def add_records(spark: SparkSession, lines: DataFrame, path: str, options: Optio
         replaced = [name for n in sorted(old_of) for name in old_of[n]]
         size = sum(r.length for r in known if r.number in old_of) + sum(touched[n].size for n in old_of)
         order = ["number", F.col("ms").asc_nulls_first(), "added", *M.TIES]
-        inserted = new.where(F.col("number").isin(list(old_of)) if len(old_of) < 100 else F.col("number") != tail)
+        inserted = new.where(F.col("number") < tail)
         both = _old_lines(spark, path, replaced).withColumn("added", F.lit(False)).unionByName(inserted.withColumn("added", F.lit(True)))
         ranges = min(MOST_RANGES, max(len(old_of), -(-size // target)))
         ordered = both.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
