@@ -14,9 +14,10 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +32,10 @@ PAGES = 5
 BROADCAST_BYTES = 32 << 20
 #: Elements nested deeper stand beside each other at this depth, in page order.
 DEEPEST = 200
-#: Siblings of two pages are aligned at their best up to so many pairs of them; beyond, in their order.
+#: Beyond so many pairs of siblings of two pages, the same alignment is found by array operations a row at a time.
 PAIRS = 40_000
+#: Sizes of matched siblings are remembered up to so many.
+SIZES = 4_000_000
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|iframe|svg|math)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|$)
@@ -181,6 +184,48 @@ def squeezed(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
 
+def _alignment(left: list[Node], right: list[Node]) -> list[tuple[int, int]]:
+    """Places of the siblings that pair up in the best alignment, for long lists.
+
+    Equal trees are matched once. Only some rows of the table are kept, others are worked out again on the way back.
+    """
+    kinds: dict[tuple[str, int], int] = {}
+    codes = np.array([kinds.setdefault((y.label, y.shape), len(kinds)) for y in right])
+    models = [right[i] for i in np.unique(codes, return_index=True)[1]]
+    known: dict[tuple[str, int], np.ndarray] = {}
+
+    def below(above: np.ndarray, x: Node) -> np.ndarray:
+        kind = x.label, x.shape
+        if kind not in known:
+            known.clear() if len(known) * len(models) > SIZES else None
+            known[kind] = np.array([matched(x, y)[0] for y in models], np.int64)
+        row = above.copy()
+        np.maximum(row[1:], above[:-1] + known[kind][codes], out=row[1:])
+        return np.maximum.accumulate(row)
+
+    step = isqrt(len(left)) + 1
+    row, kept = np.zeros(len(right) + 1, np.int64), []
+    for i, x in enumerate(left):
+        if i % step == 0:
+            kept.append(row)
+        row = below(row, x)
+    found, j = [], len(right)
+    for start in reversed(range(0, len(left), step)):
+        rows = [kept.pop()]
+        for x in left[start : start + step]:
+            rows.append(below(rows[-1], x))
+        i = len(rows) - 1
+        while i and j:
+            if rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            elif rows[i][j] == rows[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                found.append((start + i, j))
+    return found
+
+
 def matched(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: the most nodes of two trees that pair up, order and parents kept.
 
@@ -205,16 +250,8 @@ def matched(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     while left and right and left[-1].shape == right[-1].shape and left[-1].label == right[-1].label:
         pair(left.pop(), right.pop())
     if len(left) * len(right) > PAIRS:
-        there: dict[str, list[int]] = {}
-        for j, y in enumerate(right):
-            there.setdefault(y.label, []).append(j)
-        last = -1
-        for x in left:
-            places_ = there.get(x.label, [])
-            at = bisect_right(places_, last)
-            if at < len(places_):
-                last = places_[at]
-                pair(x, right[last])
+        for i, j in _alignment(left, right):
+            pair(left[i], right[j])
         return size, result
     width = len(right) + 1
     rows = [[0] * width]

@@ -380,6 +380,23 @@ def test_tree_matching_equals_every_alignment(monkeypatch):
             assert html_text.matched(a, b)[0] <= size
 
 
+def test_long_lists_of_siblings_are_aligned_as_short_ones(monkeypatch):
+    rng = random.Random(7)
+
+    def tree(depth):
+        tag = rng.choice(["div", "p", "b"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(rng.randint(0, 3) if depth else 0)) + f"</{tag}>"
+
+    for width in (1, 4, 9, 30, 60):
+        a, b = (html_text.parse("<section>" + "".join(tree(2) for _ in range(width)) + "</section>") for _ in range(2))
+        size, pairs = html_text.matched(a, b)
+        with monkeypatch.context() as m:
+            m.setattr(html_text, "PAIRS", 0)
+            m.setattr(html_text, "SIZES", rng.choice([0, 1000]))
+            other, same = html_text.matched(a, b)
+        assert other == size and {(id(x), id(y)) for x, y in same} == {(id(x), id(y)) for x, y in pairs}
+
+
 def test_html_keeps_headings_and_what_a_class_only_hints_at(spark):
     rng = random.Random(8)
     page = (
