@@ -15,6 +15,8 @@ SHAPES = [
     "procrun", "syslog", "es_text", "minimal_dotted", "minimal_piped", "json_nested", "json_flat",
     "canonical",
 ]
+# a line of an event takes some 0.1 to 0.3 ms to read: a task takes seconds however many events there are
+ROWS_PER_TASK = 50_000
 
 
 def stamp(pattern: str) -> Column:
@@ -63,7 +65,8 @@ def templates() -> dict[str, Column]:
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{folder}/events.parquet"), "event_id")
+    rows = spark.read.parquet(f"{folder}/events.parquet")
+    return spread(rows, "event_id", "ts", "user_id", rows_per_task=ROWS_PER_TASK)
 
 
 def lines_of(df: DataFrame, line: Column) -> DataFrame:

@@ -12,15 +12,20 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 LINES_PER_COPY = 4_000_000
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, rows_per_task: int | None = None) -> DataFrame:
     """A table that comes in fewer partitions than there are cores, spread over all cores.
 
     Reading a line costs more than moving it, so one unsplittable file should not keep all but one
     core idle. Only tables of a few partitions move: beyond ``FEW``, whatever the cluster, a table stays
-    where it is.
+    where it is, unless it has more than ``rows_per_task`` rows to a partition; then it is spread over as many
+    partitions as that asks for, so that no task grows with the table.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < min(cores, FEW) else df
+    partitions = df.rdd.getNumPartitions()
+    wanted = cores if partitions < min(cores, FEW) else 0
+    if rows_per_task and (needed := -(-df.count() // rows_per_task)) > max(partitions, wanted):
+        wanted = max(needed, cores)
+    return df.repartition(wanted, *keys) if wanted else df
 
 
 def materialized(df: DataFrame) -> DataFrame:

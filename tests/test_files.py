@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chronolog import Options, normalize
 from chronolog.functions.text import source_key
 from chronolog.plans import merge as M
-from chronolog.plans import sinks
+from chronolog.plans import sample_lines, sinks
 from chronolog.plans.normalize import rendered
 from chronolog.sources import files
 from chronolog.sources.lookup import lookup_by_file
@@ -168,6 +168,17 @@ def test_parts_never_outnumber_their_names():
     assert names == sorted(names)
 
 
+def test_events_come_in_tasks_of_few_rows(spark, tmp_path):
+    count = 2 * sample_lines.ROWS_PER_TASK * spark.sparkContext.defaultParallelism
+    rows = spark.range(0, count, 1, 8).selectExpr(
+        "id AS event_id", "CAST('2025-01-01' AS TIMESTAMP_NTZ) AS ts", "id % 7 AS user_id", "'view' AS event_type"
+    )
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    spread_rows = sample_lines.events(spark, str(tmp_path))
+    sizes = [r["count"] for r in spread_rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == count and max(sizes) < 1.1 * sample_lines.ROWS_PER_TASK
+
+
 def test_lookup_without_broadcast_spreads_rows(spark):
     lines = spark.range(4000).select(
         F.when(F.col("id") % 2 == 0, F.lit("hot")).when(F.col("id") % 4 == 1, F.lit("cold")).alias("file"),
