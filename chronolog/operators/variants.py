@@ -33,7 +33,7 @@ from chronolog.operators import text_records as X
 from chronolog.operators.route import drop_blank, fallback_time
 from chronolog.options import DEFAULT, Options
 from chronolog.plans.merge import with_position
-from chronolog.sources.lookup import lookup_by_file
+from chronolog.sources.lookup import lookup_by_file, materialized
 
 # The early release's time keys, service prefix, sample size and line patterns.
 EARLY_TIME_KEYS = ["@timestamp", "timestamp", "date", "time"]
@@ -236,12 +236,15 @@ def early_records(lines: DataFrame, options: Options = DEFAULT) -> DataFrame:
 def _with_unknown_services(records: DataFrame) -> DataFrame:
     nameless = F.col("service").isNull() & (F.col("format") != "canonical")
     single = nameless & (F.col("format") == "ecs")
-    per_file = unknown_services(records.where(nameless & ~single))
+    # numbering needs several passes over these records: they are made once, without what only the others hold
+    kept = records.where(nameless).withColumn("span", F.when(single, F.col("span")))
+    kept = materialized(kept)
+    per_file = unknown_services(kept.where(~single))
     named = lookup_by_file(records.where(~single), per_file)
     named = named.withColumn("service", F.when(nameless, F.col("unknown_service")).otherwise(F.col("service")))
     # ECS records count one by one, after the files
     order = ["file_path", "file_block_start", "line_seq"]
-    singles = with_position(records.where(single).orderBy(*order), "_n")
+    singles = with_position(kept.where(single).orderBy(*order), "_n")
     number = (F.col("_n") + 1 + per_file.count()).cast("string")
     singles = singles.withColumn("service", F.concat(F.lit(UNKNOWN_SERVICE), number)).drop("_n")
     both = named.drop("unknown_service").unionByName(singles)
