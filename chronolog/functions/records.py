@@ -80,13 +80,14 @@ def as_object(value: Column) -> Column:
     return F.try_variant_get(value, "$", OBJECT)
 
 
-def counts(value: Column) -> Column:
-    """The value is present and not empty, zero, false or null."""
-    shown = text(value)
+def counts(value: Column, shown: Column | None = None) -> Column:
+    """The value is present and not empty, zero, false or null; ``shown`` is its text if that is at hand."""
+    shown = text(value) if shown is None else shown
     empty = shown.isin("", *EMPTY_TEXTS) & ((shown == "") | ~is_string(value))
     return ~F.coalesce(empty, F.lit(True))
 
 
-def truthy(value: Column) -> Column:
+def truthy(value: Column, shown: Column | None = None) -> Column:
     """Text of a value that counts, else NULL."""
-    return F.when(counts(value), text(value))
+    shown = text(value) if shown is None else shown
+    return F.when(counts(value, shown), shown)

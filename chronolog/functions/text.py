@@ -79,7 +79,7 @@ def sanitize_name(name: Column) -> Column:
 
 
 def basename(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/\\]*)$", 1)
+    return F.substring_index(F.substring_index(path, "/", -1), "\\", -1)
 
 
 def stem(name: Column) -> Column:
@@ -89,14 +89,10 @@ def stem(name: Column) -> Column:
 
 def service_from_path(path: Column) -> Column:
     """Known service named in the file name, else the titled file stem, else ``Unknown``."""
-
-    def of_name(name: Column) -> Column:
-        services = F.split(F.lit(",".join(SERVICES)), ",")
-        known = F.get(F.filter(services, lambda service: F.contains(name, service)), F.lit(0))
-        own = title_case(F.coalesce(known, sanitize_name(stem(name))))
-        return F.coalesce(nonempty(own), F.lit("Unknown"))
-
-    return let(F.lower(basename(path)), of_name)
+    name = F.lower(basename(path))
+    known = [F.when(F.contains(name, F.lit(service)), F.lit(service)) for service in SERVICES]
+    own = title_case(F.coalesce(*known, sanitize_name(stem(name))))
+    return F.coalesce(nonempty(own), F.lit("Unknown"))
 
 
 def source_key(path: Column) -> Column:

@@ -30,18 +30,16 @@ INNER_KEYS = [
 
 @dataclass(frozen=True)
 class View:
-    """Lookups into JSON objects; ``inner`` names a member of a nested object as ``outer/inner``."""
+    """Lookups into JSON objects; ``outer/inner`` names a member of a nested object."""
 
     record: Column
-    inner: Column
-    texts: Column
 
     def has(self, key: str) -> Column:
         """The key is present, whatever its value."""
-        return F.map_contains_key(self.inner if "/" in key else self.record, F.lit(key))
+        return self.value(key).isNotNull() if "/" in key else F.map_contains_key(self.record, F.lit(key))
 
     def value(self, key: str) -> Column:
-        return F.try_element_at(self.inner if "/" in key else self.record, F.lit(key))
+        return F.col(f"`_inner:{key}`") if "/" in key else R.member(self.record, key)
 
     def text(self, key: str) -> Column:
         """The value as text, also when empty."""
@@ -49,21 +47,20 @@ class View:
 
     def given(self, key: str) -> Column:
         """The value as text, NULL when it is empty, zero or false."""
-        return F.try_element_at(self.texts, F.lit(key))
+        return F.col(f"`_given:{key}`")
 
 
 def with_view(df: DataFrame, record: str = "record") -> tuple[DataFrame, View]:
-    """Add what a ``View`` of the objects needs as columns ``_inner`` and ``_texts``."""
-    source = F.col(record)
-    pairs: list[Column] = []
-    for outer, inner in INNER_KEYS:
-        pairs += [F.lit(f"{outer}/{inner}"), R.nested(R.member(source, outer), inner)]
-    found = F.map_filter(F.create_map(*pairs), lambda _, value: value.isNotNull())
-    df = df.withColumn("_inner", F.when(source.isNotNull(), found))
-    top = F.map_filter(source, lambda key, _: key.isin(TOP_KEYS))
-    counting = F.map_filter(F.map_concat(top, F.col("_inner")), lambda _, value: R.counts(value))
-    df = df.withColumn("_texts", F.transform_values(counting, lambda _, value: R.text(value)))
-    return df, View(source, F.col("_inner"), F.col("_texts"))
+    """Add what a ``View`` of the objects needs, one column per key; Spark leaves out those that are not looked at."""
+    view = View(F.col(record))
+    inner = [f"{outer}/{inner}" for outer, inner in INNER_KEYS]
+    df = df.withColumns(
+        {f"_inner:{key}": R.nested(R.member(view.record, key.split("/")[0]), key.split("/")[1]) for key in inner}
+    )
+    keys = [*TOP_KEYS, *inner]
+    df = df.withColumns({f"_text:{key}": view.text(key) for key in keys})
+    df = df.withColumns({f"_given:{key}": R.truthy(view.value(key), F.col(f"`_text:{key}`")) for key in keys})
+    return df.drop(*[f"_text:{key}" for key in keys]), view
 
 
 def named_level(view: View) -> Column:
