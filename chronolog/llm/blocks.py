@@ -19,10 +19,14 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from chronolog.llm import spans
-from chronolog.llm.shared import bucketed
+from chronolog.llm.shared import arrow_rows, bucketed
 
 #: A block ends after about this many code points; a longer text fills a block alone.
-BLOCK = 12 << 20
+BLOCK = 8 << 20
+#: Texts are split in lots of so many code points, so that a worker's arrays stay far smaller than its block.
+LOT = 1 << 17
+#: Rows of texts that a task is handed at once.
+BATCH = 1000
 SCHEMA = "block bigint, id string, learn boolean, c0 binary, c1 binary, c2 binary, bucket int, places binary, words binary, counts binary"
 ARROW = pa.schema(
     [("block", pa.int64()), ("id", pa.string()), ("learn", pa.bool_())]
@@ -74,33 +78,42 @@ def joined_planes(c0: bytes, c1: bytes, c2: bytes) -> np.ndarray:
 
 
 class _Block:
-    """The block being filled: the dictionary so far and each text's codes."""
+    """The block being filled: the dictionary so far, how often its words occur, and each text's codes."""
 
     def __init__(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code: dict[bytes, int] = {}
         self.texts: list[tuple[str, bool, np.ndarray]] = []
         self.size = 0
+        #: Occurrences by code, in texts to learn from and in others.
+        self.times = np.zeros((2, 1 << 12), dtype=np.int64)
 
     def add(self, ids: list[str], learn: list[bool], texts: list[str], split: Split, lower: bool) -> None:
-        for a, b in spans.lots(texts):
+        for a, b in spans.lots(texts, LOT):
             chars, after = spans.code_points(texts[a:b])
             if lower:
                 chars = spans.lowered(chars)
             start, end = split(chars, after)
             code, words = spans.distinct(chars, start, end)
-            known = np.fromiter((self.code.setdefault(w, len(self.code)) for w in words), dtype=np.int32, count=len(words))
+            encoded = (w.encode() for w in words)
+            known = np.fromiter((self.code.setdefault(w, len(self.code)) for w in encoded), dtype=np.int32, count=len(words))
             coded = known[code]
             cuts = np.searchsorted(start, after)
+            if len(self.code) > self.times.shape[1]:
+                self.times = np.pad(self.times, ((0, 0), (0, len(self.code))))
+            learnt = np.repeat(np.array(learn[a:b], dtype=bool), np.diff(cuts, prepend=0))
+            for side, chosen in enumerate((learnt, ~learnt)):
+                self.times[side, known] += np.bincount(code[chosen], minlength=len(words))
             for k, (x, y) in enumerate(zip([0, *cuts], cuts)):
                 self.texts.append((ids[a + k], learn[a + k], coded[x:y]))
             self.size += len(chars)
 
     def rows(self, buckets: int) -> Iterator[pa.RecordBatch]:
+        """The rows of the full block, which is empty then."""
         block = uuid.uuid4().int >> 65
         n = len(self.code)
-        none = [np.zeros(0, dtype=np.int32)]
-        total = np.bincount(np.concatenate(none + [c for _, _, c in self.texts]), minlength=n)
-        learnt = np.bincount(np.concatenate(none + [c for _, learn, c in self.texts if learn]), minlength=n)
+        words = list(self.code)
+        self.code = {}
+        learnt, total = self.times[0, :n], self.times[:, :n].sum(axis=0)
         order = np.argsort(-total, kind="stable")
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.arange(n)
@@ -119,7 +132,7 @@ class _Block:
                 ],
                 schema=ARROW,
             )
-        words = [w.encode() for w in self.code]
+        self.texts = []
         where = np.fromiter((zlib.crc32(w) % buckets for w in words), dtype=np.int64, count=n)
         by = np.lexsort((rank, where))
         edges = np.flatnonzero(np.diff(where[by], prepend=-1))
@@ -161,7 +174,8 @@ def block_table(texts: DataFrame, split: Split, lower: bool = False) -> DataFram
         if block.texts:
             yield from block.rows(buckets)
 
-    return bucketed(texts.select("id", "text", "learn").mapInArrow(pack, SCHEMA), "block")
+    with arrow_rows(spark, BATCH):
+        return bucketed(texts.select("id", "text", "learn").mapInArrow(pack, SCHEMA), "block")
 
 
 def text_rows(table: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ of the tokens' bytes, which is broadcast: a vocabulary is bounded, whatever the
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +49,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     def to_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=sent.value, special_tokens={})
-        known: dict[bytes, list[int]] = {}
+        known: dict[bytes, bytes] = {}
         for batch in batches:
             blocks, places, sizes, flat = [], [], [], []
             for block, place, words in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
@@ -58,12 +59,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 for word in unpacked_words(words):
                     ids = known.get(word)
                     if ids is None:
-                        ids = known[word] = library.encode_ordinary(word.decode())
+                        ids = known[word] = array("i", library.encode_ordinary(word.decode())).tobytes()
                     found.append(ids)
                 blocks.append(block)
                 places.append(place)
-                sizes.append(packed(np.fromiter(map(len, found), dtype=np.int64, count=len(found))))
-                flat.append(packed(np.fromiter((i for ids in found for i in ids), dtype=np.int64)))
+                sizes.append(packed(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4))
+                flat.append(packed(np.frombuffer(b"".join(found), dtype=np.int32)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(blocks, pa.int64()), *[pa.array(x, pa.binary()) for x in (places, sizes, flat)]],
                 names=["block", "places", "sizes", "ids"],

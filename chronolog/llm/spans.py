@@ -18,13 +18,14 @@ def kinds() -> np.ndarray:
     """The class of every code point, as the regular expressions of the tiktoken library see it."""
     global _kinds
     if _kinds is None:
-        every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-        text = "".join(map(chr, every))
         table = np.full(0x110000, OTHER, dtype=np.uint8)
         for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
             library = tiktoken.Encoding("classes", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
-            matched = bytes(library.encode_ordinary(text)).decode()
-            table[np.frombuffer(matched.encode("utf-32-le"), dtype=np.uint32)] = kind
+            # a few thousand at a time: the list of all their bytes would be a worker's largest object
+            for first in range(0, 0x110000, 0x1000):
+                if not 0xD800 <= first < 0xE000:
+                    matched = bytes(library.encode_ordinary("".join(map(chr, range(first, first + 0x1000))))).decode()
+                    table[np.frombuffer(matched.encode("utf-32-le"), dtype=np.uint32)] = kind
         _kinds = table
     return _kinds
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import public_tokenizers
@@ -14,9 +15,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chronolog.llm import (
-    bpe, chat_format, decontamination, html_text, language_id, line_dedup, lm_score, ngram_join, quality, queries, spans, token_counts,
+    blocks, bpe, chat_format, decontamination, html_text, language_id, line_dedup, lm_score, ngram_join, quality, queries, spans, token_counts,
 )
-from chronolog.llm.shared import components
+from chronolog.llm.shared import arrow_rows, components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -130,6 +131,42 @@ def least_reachable(rows):
     return {k: (len(sets[k]), label[k]) for k in label}
 
 
+def test_blocks_are_packed_in_small_steps(spark):
+    """No array of a task spans more than a lot of texts, a task is handed few texts at once, and the session keeps its settings."""
+    rows = [(str(k), "ab cd " * 400 + f"x{k}", k % 2 == 0) for k in range(300)] + [(None, None, True)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def split(chars, after):
+        assert len(chars) <= blocks.LOT + 2500
+        return spans.words(chars, after)
+
+    assert blocks.BATCH < int(before)
+    table = blocks.block_table(spark.createDataFrame(rows, "id string, text string, learn boolean").coalesce(1), split)
+    assert spark.conf.get(name) == before
+    assert blocks.text_rows(table).count() == len(rows)
+    times = Counter()
+    for row in blocks.dictionary_rows(table).collect():
+        times.update(dict(zip(blocks.unpacked_words(row["words"]), blocks.unpacked(row["counts"]).tolist())))
+    assert times == Counter(w.encode() for _, text, learn in rows if learn for w in (text or "").split()) | Counter(
+        {f"x{k}".encode(): 0 for k in range(1, 300, 2)}
+    )
+    with arrow_rows(spark, 7):
+        assert spark.conf.get(name) == "7"
+    assert spark.conf.get(name) == before
+
+
+def test_classes_of_code_points_are_found_in_little_memory(monkeypatch):
+    monkeypatch.setattr(spans, "_kinds", None)
+    tracemalloc.start()
+    try:
+        kinds = spans.kinds()
+        assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    finally:
+        tracemalloc.stop()
+    assert [kinds[ord(c)] for c in "aß漢7٣ \u3000\n'"] == [spans.LETTER] * 3 + [spans.NUMBER] * 2 + [spans.SPACE] * 3 + [spans.OTHER]
+
+
 def test_ngram_groups_equal_brute_force(spark, docs):
     rows = corpus()
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.groups(odd(docs)).collect()}
