@@ -2,8 +2,8 @@
 
 Texts become blocks of codes over the blocks' distinct words (``blocks``); the words of all dictionaries
 are shuffled by their hash, so that each distinct word of the corpus meets one task, is encoded once, and
-its ids go back to the blocks, where they are put in the words' places. Decoding joins ids with the table
-of the tokens' bytes, which is broadcast: a vocabulary is bounded, whatever the corpus.
+its ids go back to the blocks, where they are put in the words' places. Decoding looks ids up in the table of the
+tokens' bytes, a constant of the plan: a vocabulary is bounded, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +23,7 @@ from chronolog.llm.blocks import block_table, dictionary_rows, joined_planes, pa
 
 #: A task remembers the ids of so many words; beyond, it forgets them and may encode a word again.
 REMEMBERED = 500_000
-#: Texts whose ids are put together or decoded at once, to bound a worker's memory.
+#: Texts whose ids are put together at once, to bound a worker's memory.
 ROWS = 200
 
 
@@ -106,28 +105,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """The rows with ``out_col``, the bytes of their ids; null for a null array. An unknown id raises."""
-    by_id = {i: token for token, i in ranks.items()}
-    table = [by_id.get(i) for i in range(max(by_id, default=-1) + 1)]
-    sent = encoded.sparkSession.sparkContext.broadcast(table)
-    names = encoded.columns
-    at = names.index(ids_col)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-
-    def to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = pa.array(sent.value, pa.binary())
-        for whole_batch in batches:
-            for k in range(0, len(whole_batch), ROWS):
-                batch = whole_batch.slice(k, ROWS)
-                ids = batch.column(at)
-                chosen = tokens.take(ids.flatten())
-                if chosen.null_count:
-                    raise ValueError("an id is not in the vocabulary")
-                sizes = pc.fill_null(pc.list_value_length(ids), 0)
-                ends = pc.cumulative_sum(sizes.cast(pa.int32()))
-                offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-                whole = pc.binary_join(pa.ListArray.from_arrays(offsets, chosen), pa.scalar(b"", pa.binary()))
-                whole = pc.if_else(ids.is_valid(), whole, pa.scalar(None, pa.binary()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, whole], names=[*names, out_col])
-
-    return encoded.mapInArrow(to_bytes, f"{fields}, `{out_col}` binary")
+    """The rows with ``out_col``, the bytes of their ids; null for a null array. An unknown id raises.
+
+    The table of tokens is one constant of the plan, in hexadecimal: beside the workers that encode, no others are needed.
+    """
+    by_id = {i: token.hex() for token, i in ranks.items()}
+    unknown = "-"
+    tokens = F.split(F.lit(",".join(by_id.get(i, unknown) for i in range(max(by_id, default=-1) + 1))), ",")
+    of = lambda i: F.coalesce(F.get(tokens, i), F.lit(unknown))
+    ids, whole = F.col(f"`{ids_col}`"), F.unhex(F.array_join(F.transform(f"`{ids_col}`", of), ""))
+    wrong = F.raise_error(F.lit("an id is not in the vocabulary")).cast("binary")
+    return encoded.withColumn(out_col, F.when(ids.isNotNull(), F.coalesce(whole, wrong)))

@@ -131,6 +131,21 @@ def least_reachable(rows):
     return {k: (len(sets[k]), label[k]) for k in label}
 
 
+def test_decoding_needs_no_workers(spark, ranks):
+    token = {i: t for t, i in ranks.items()}
+    some = [[1, 2, 300, 50_000], [], [256, 256], None]
+    rows = spark.createDataFrame(list(enumerate(some)), "`doc id` int, ids array<int>")
+    done = bpe.decode(rows, ranks)
+    assert "InArrow" not in done._jdf.queryExecution().toString()
+    found = {r[0]: r[2] and bytes(r[2]) for r in done.collect()}
+    assert found == {k: ids and b"".join(token[i] for i in ids) for k, ids in enumerate(some)} | {1: b""}
+    for unknown in ([1_000_000], [-1], [1, None]):
+        with pytest.raises(Exception, match="not in the vocabulary"):
+            bpe.decode(spark.createDataFrame([(unknown,)], "ids array<int>"), ranks).collect()
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        bpe.decode(rows.limit(3), {b"a": 1}).collect()
+
+
 def test_blocks_are_packed_in_small_steps(spark):
     """No array of a task spans more than a lot of texts, a task is handed few texts at once, and the session keeps its settings."""
     rows = [(str(k), "ab cd " * 400 + f"x{k}", k % 2 == 0) for k in range(300)] + [(None, None, True)]
