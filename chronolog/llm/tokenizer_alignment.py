@@ -30,6 +30,8 @@ from chronolog.llm.shared import small, written
 
 #: A worker remembers so many aligned chunks; beyond, it forgets them and may align a chunk again.
 REMEMBERED = 900_000
+#: The tokenizers read chunks in runs of so many characters or little more.
+RUN = 1000
 BLANK = "▁"
 CHUNK = re.compile(rf" +[^ ]*(?:(?<=[\s{BLANK}]) +[^ ]*| +\Z)*")
 NAMES = ["n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times"]
@@ -97,42 +99,76 @@ class Tokens:
 
 
 def rebuilt(ids: np.ndarray, count: np.ndarray, sizes: np.ndarray, tokens: dict[int, bytes] | list[bytes], first: np.ndarray, data: list[bytes]) -> bool:
-    """Whether the bytes of the tokens are those of the chunks, each chunk's its own."""
+    """Whether the bytes of the tokens are those of the chunks, each run's its own; ``count`` and ``first`` go by run."""
     through = np.concatenate(([0], np.cumsum(sizes[ids])))
     ends = through[np.cumsum(count)]
     return np.array_equal(ends, first[1:]) and b"".join([tokens[i] for i in ids.tolist()]) == b"".join(data)
 
 
-def aligned(pair: Pair, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+def runs(chunks: list[str]) -> np.ndarray:
+    """Where runs of chunks begin that may be tokenized as one text, and the number of chunks.
+
+    A chunk that ends in white space or the blank's sign ends its run, as no chunk may begin behind it.
+    """
+    begin, size = [], RUN
+    for k, chunk in enumerate(chunks):
+        if size >= RUN:
+            begin.append(k)
+            size = 0
+        size = RUN if chunk[-1].isspace() or chunk[-1] == BLANK else size + len(chunk)
+    return np.array([*begin, len(chunks)], np.int64)
+
+
+def cut(ids: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The number of tokens of each chunk, by the bytes of the tokens, and whether every chunk ends with a token."""
+    through = np.concatenate(([0], np.cumsum(sizes[ids])))
+    at = np.searchsorted(through, first)
+    return np.diff(at), np.array_equal(through[np.minimum(at, len(ids))], first) and through[-1] == first[-1]
+
+
+def aligned(pair: Pair, chunks: list[str], single: bool = False) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
     """Of each chunk: whether its bytes are not those of the tokens, the numbers of tokens of A and B and of groups, the
     groups as text with a ``;`` after each, and the number of linked ids; then all linked ids as ``a << 32 | b``.
+
+    The tokenizers read runs of chunks, which they cut where the chunks begin; with ``single`` each chunk is read alone.
     """
     if not chunks:
         return np.zeros(0, bool), np.zeros((0, 3), np.int64), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    of_a = pair.a.encode_batch(chunks, add_special_tokens=False)
-    of_b = pair.b.encode([c[1:] for c in chunks], return_type="proto", num_threads=1)
+    single = single or not pair.chunked
+    begin = np.arange(len(chunks) + 1) if single else runs(chunks)
+    read = chunks if single else ["".join(chunks[x:y]) for x, y in zip(begin.tolist(), begin[1:].tolist())]
+    of_a = pair.a.encode_batch(read, add_special_tokens=False)
+    of_b = pair.b.encode([c[1:] for c in read], return_type="proto", num_threads=1)
     ids_a = [x.ids for x in of_a]
-    flat, many_b = [], []
+    flat, run_b = [], []
     for x in of_b:
-        many_b.append(len(x.pieces))
-        for p in x.pieces:
-            flat += (p.id, p.begin, p.end)
+        found = x.pieces
+        run_b.append(len(found))
+        flat += [v for p in found for v in (p.id, p.begin, p.end)]
     pieces = np.array(flat, np.int64).reshape(-1, 3)
     data = [c.encode() for c in chunks]
     sizes_a, sizes_b, shown = pair.tables()
     first = np.cumsum([0, *map(len, data)])
-    many_a, many_b = np.fromiter(map(len, ids_a), np.int64, len(ids_a)), np.array(many_b, np.int64)
-    flat_a = np.fromiter(chain.from_iterable(ids_a), np.int64, int(many_a.sum()))
-    sides = ((flat_a, many_a, sizes_a, pair.a_bytes), (pieces[:, 0], many_b, sizes_b, pair.b_bytes))
-    if not all(rebuilt(ids, many, sizes, tokens, first, data) for ids, many, sizes, tokens in sides):
-        right, wrong = [], np.zeros(len(chunks), bool)
-        cuts = [np.cumsum(np.append(0, many)).tolist() for _, many, _, _ in sides]
-        for k, d in enumerate(data):
+    run_a, run_b = np.fromiter(map(len, ids_a), np.int64, len(ids_a)), np.array(run_b, np.int64)
+    flat_a = np.fromiter(chain.from_iterable(ids_a), np.int64, int(run_a.sum()))
+    sides = ((flat_a, run_a, sizes_a, pair.a_bytes), (pieces[:, 0], run_b, sizes_b, pair.b_bytes))
+    (many_a, whole_a), (many_b, whole_b) = ((run, True) if single else cut(ids, sizes, first) for ids, run, sizes, _ in sides)
+    whole = whole_a and whole_b
+    if not (whole and all(rebuilt(ids, run, sizes, tokens, first[begin], data) for ids, run, sizes, tokens in sides)):
+        wrong = np.zeros(len(chunks), bool)
+        cuts = [np.cumsum(np.append(0, run)).tolist() for _, run, _, _ in sides]
+        doubted = []
+        for k, (x, y) in enumerate(zip(begin.tolist(), begin[1:].tolist())):
+            d = b"".join(data[x:y])
             parts = [b"".join([tokens[i] for i in ids[c[k] : c[k + 1]].tolist()]) for (ids, _, _, tokens), c in zip(sides, cuts)]
-            wrong[k] = any(part != d for part in parts)
-            if not wrong[k]:
-                right.append(k)
-        _, counts, texts, links, pairs = aligned(pair, [chunks[k] for k in right])
+            if any(part != d for part in parts):
+                doubted += range(x, y)
+        if single:
+            wrong[doubted] = True
+        elif doubted:
+            wrong[doubted] = aligned(pair, [chunks[k] for k in doubted], single=True)[0]
+        right = np.flatnonzero(~wrong).tolist()
+        _, counts, texts, links, pairs = aligned(pair, [chunks[k] for k in right], single=single or not wrong.any())
         every, told, many = np.zeros((len(chunks), 3), np.int64), [""] * len(chunks), np.zeros(len(chunks), np.int64)
         every[right], many[right] = counts, links
         for k, text in zip(right, texts):
@@ -141,10 +177,10 @@ def aligned(pair: Pair, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, list
     # A's spans count characters, B's bytes after the blank
     code = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)
     at = np.concatenate(([0], np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))))
-    char = np.cumsum([0, *map(len, chunks)])[:-1]
+    char = np.cumsum([0, *map(len, read)])[:-1]
     spans_a = np.fromiter(chain.from_iterable(chain.from_iterable(x.offsets for x in of_a)), np.int64, 2 * len(flat_a)).reshape(-1, 2)
-    spans_a = at[spans_a + np.repeat(char, many_a)[:, None]]
-    spans_b = pieces[:, 1:] + (np.repeat(first[:-1], many_b) + 1)[:, None]
+    spans_a = at[spans_a + np.repeat(char, run_a)[:, None]]
+    spans_b = pieces[:, 1:] + (np.repeat(first[begin[:-1]], run_b) + 1)[:, None]
     a = Tokens(flat_a, many_a, spans_a[:, 0], spans_a[:, 1], sizes_a, first)
     b = Tokens(pieces[:, 0], many_b, spans_b[:, 0], spans_b[:, 1], sizes_b, first)
     common = np.intersect1d(a.ends, b.ends)
@@ -169,8 +205,18 @@ def linked(a: Tokens, b: Tokens, common: np.ndarray) -> np.ndarray:
     return a.ids[np.searchsorted(a.ends, common)] << 32 | b.ids[np.searchsorted(b.ends, common)]
 
 
+def put(array: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
+    """``array`` with ``more`` from place ``n`` on, in a new array half as large again if it has no room."""
+    if n + len(more) > len(array):
+        room = np.zeros((n + len(more) + n // 2, *array.shape[1:]), array.dtype)
+        room[:n] = array[:n]
+        array = room
+    array[n : n + len(more)] = more
+    return array
+
+
 class Memory:
-    """Aligned chunks by number: counts and texts, and all their pairs in one array."""
+    """Aligned chunks by number: counts and texts, and all their pairs in one array. The arrays have room behind."""
 
     def __init__(self, pair: Pair) -> None:
         self.pair = pair
@@ -190,11 +236,12 @@ class Memory:
             part = new[k : k + 20_000]
             wrong, counts, texts, links, pairs = aligned(self.pair, part)
             self.number.update(zip(part, range(len(self.number), len(self.number) + len(part))))
+            n, linked = len(self.texts), int(self.first[len(self.texts)])
             self.texts += texts
-            self.wrong = np.concatenate((self.wrong, wrong))
-            self.counts = np.concatenate((self.counts, counts))
-            self.pairs = np.concatenate((self.pairs, pairs))
-            self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(links)))
+            self.wrong = put(self.wrong, n, wrong)
+            self.counts = put(self.counts, n, counts)
+            self.pairs = put(self.pairs, linked, pairs)
+            self.first = put(self.first, n + 1, linked + np.cumsum(links))
 
     def text(self, chunks: list[str]) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
         """Counts, hash of the groups, and distinct pairs with their numbers of a text cut into chunks."""

@@ -273,6 +273,39 @@ def test_alignment_beyond_memory_and_broadcast(spark, files, monkeypatch):
     assert tokenizer_alignment.align(docs.limit(0), *files).count() == 0
 
 
+def test_runs_of_chunks_are_aligned_as_single_chunks(files, monkeypatch):
+    """The tokenizers read few texts for many chunks; chunks whose bytes differ are found among the others."""
+    pair = tokenizer_alignment.Pair(*files)
+    rng = random.Random(5)
+    pieces = [" ", " ", "\n", "a", "the", "é", "中", "😀", "'s", "1", "!", "\x85", "ing", "\r", "\xa0", "́"]
+    texts = [t for t in TEXTS if t] + ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    chunks = list(dict.fromkeys(c for t in texts for c in pair.chunks(t)))
+    rng.shuffle(chunks)
+
+    def told(chunks, **how):
+        return [x.tolist() if isinstance(x, np.ndarray) else x for x in tokenizer_alignment.aligned(pair, chunks, **how)]
+
+    read = []
+    encode = pair.b.encode
+    monkeypatch.setattr(pair.b, "encode", lambda texts, **how: read.append(len(texts)) or encode(texts, **how))
+    clean = [c for c in chunks if tokenizer_alignment.BLANK not in c]
+    assert not any(told(clean)[0]) and len(read) == 1 and read[0] < len(clean) / 2
+    assert told(clean) == told(clean, single=True)
+    mixed = told(chunks)
+    assert any(mixed[0]) and mixed == told(chunks, single=True)
+    monkeypatch.setattr(tokenizer_alignment, "RUN", 7)
+    assert told(chunks) == mixed
+
+
+def test_arrays_with_room():
+    array, n = np.zeros((0, 2), np.int64), 0
+    moved = 0
+    for k in range(300):
+        grown = tokenizer_alignment.put(array, n, np.full((k % 3, 2), k))
+        moved, array, n = moved + (grown is not array), grown, n + k % 3
+    assert array[:n, 1].tolist() == [k for k in range(300) for _ in range(k % 3)] and moved < 20
+
+
 def test_spans_are_coarse_cuts():
     def ends(spans, lengths):
         starts, stops = np.array(spans).T
