@@ -6,9 +6,9 @@ by a Jaccard similarity of 0.75 or more; it does not matter whether that earlier
 A line of one to four words has one token, its words as a whole; a line without a word stays.
 
 How: lines equal but for the case of A-Z form classes by a 128-bit hash, lines of under five words by their
-words alone, which settles them; of longer ones only a class's first line is compared. A prefix pass
-in hash order finds the classes that can have a partner at all (``sharing``); for these, tokens are ordered by
-rarity, and prefix, positional and length filters give candidates, whose Jaccard is verified.
+words alone, which settles them; of longer ones only a class's first line is compared. A prefix pass, in the
+order of the hashes of shingles' first two words, finds the classes that can have a partner at all (``meeting``); for
+these, tokens are ordered by rarity, and prefix, positional and length filters give candidates, whose Jaccard is verified.
 Candidates are first sought with the earliest line of each token; only lines still unmatched then meet
 all earlier lines of their tokens, so that a family of thousands of variants makes no square of pairs.
 """
@@ -19,9 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolog.functions.text import pinned
-from chronolog.llm.setjoin import by_rarity, near_sizes, overlap, reach, searched, sharing, similar
+from chronolog.llm.setjoin import by_rarity, listed, meeting, near_sizes, overlap, reach, similar
 from chronolog.llm.shared import fresh, small, written
-from chronolog.llm.shingles import distinct_hashes, folded, words
+from chronolog.llm.shingles import WIDTH, distinct_hashes, folded, words
 
 SOME_WORD = r"[^ \t\n\x0B\f\r]"
 LONG_ENOUGH = r"^[ \t\x0B\f\r]*([^ \t\n\x0B\f\r]+[ \t\x0B\f\r]+){4}[^ \t\n\x0B\f\r]"
@@ -48,11 +48,50 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("place", F.xxhash64("told").alias("h"), F.xxhash64(F.lit(1), "told").alias("h2"), F.col("long").alias("line"))
 
 
+def _words(line: Column) -> Column:
+    """As ``words``; where blanks are the only white space, no pattern is needed, which is much faster."""
+    blanks = F.array_remove(F.split(line, " "), "")
+    return F.when(line.rlike(r"[\t\n\x0B\f\r]"), words(line)).otherwise(blanks)
+
+
 def _with_tokens(lines: DataFrame, *keep: str) -> DataFrame:
-    split = lines.select(*keep, pinned(words(F.col("line"))).alias("w"))
+    split = lines.select(*keep, pinned(_words(F.col("line"))).alias("w"))
     return split.select(*keep, pinned(distinct_hashes(F.col("w"))).alias("tokens"))
 
 
+def _prefixes(lines: DataFrame) -> DataFrame:
+    """Shingles of ``lines(h, line)`` for the prefix pass: rows ``(h, least, most, token)``.
+
+    Shingles are ordered by the hash of their first two words; a line lists all up to the order's place
+    at which ``listed`` different pairs are reached, so at least as many different shingles, or all it has.
+    Pairs and places tell bounds of the line's number of different shingles, ``least`` and ``most``. Only
+    what is listed is hashed as a whole, from the hashes of the pairs.
+    """
+    w = lines.select("h", pinned(_words(F.col("line"))).alias("w"))
+    after = F.slice("w", F.lit(2), F.size("w") - 1)
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), after, lambda a, b: F.xxhash64(a, b))
+    rows = w.select("h", (F.size("w") - (WIDTH - 1)).alias("most"), pinned(pairs).alias("p"))
+    order = F.sort_array(F.array_distinct(F.slice("p", F.lit(1), F.col("most"))))
+    rows = rows.select("h", "most", "p", pinned(order).alias("order"))
+    least = F.size("order")
+    last = F.element_at("order", F.least(least, listed(F.col("most"))))
+    rows = rows.select("h", "most", "p", pinned(least).alias("least"), pinned(last).alias("last"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("most") - 1)).alias("i")).where(F.get("p", F.col("i")) <= F.col("last"))
+    token = F.xxhash64(F.get("p", F.col("i")), F.get("p", F.col("i") + 2), F.get("p", F.col("i") + 3))
+    return rows.select("h", "least", "most", token.alias("token"))
+
+
+def _at_places(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The folded lines at the places of ``firsts(key, first)``: one row ``(key, line)`` each."""
+    at = F.sort_array(F.collect_list(F.struct("first.line_no", "key"))).alias("at")
+    sought = written(firsts.groupBy(F.col("first.doc_id").alias("ident"), F.col("first.row").alias("row")).agg(at))
+    texts = docs.select("doc_id", _row_hash().alias("hash"), "text")
+    found = texts.join(small(sought), (F.col("hash") == F.col("row")) & F.col("doc_id").eqNullSafe(F.col("ident")))
+    split = found.select("at", pinned(F.split(folded(F.col("text")), "\n")).alias("split"))
+    rows = split.select("split", F.explode("at").alias("e")).select("e.key", F.get("split", F.col("e.line_no")).alias("line"))
+    return rows.dropDuplicates(["key"])
+
+
 def _matched(sets: DataFrame, places: DataFrame) -> DataFrame:
     """Keys of ``sets(key, tokens)`` that are similar to a set at an earlier one of ``places(key, place)``."""
     sets = written(by_rarity(sets))
@@ -87,23 +126,22 @@ def _matched(sets: DataFrame, places: DataFrame) -> DataFrame:
 def later_matches(docs: DataFrame) -> DataFrame:
     """Lines to take out, as ``(doc_id, row, lines)``: for a text, by its hash, the sorted line numbers."""
     lines = _lines(docs)
-    classes = written(lines.groupBy("h", "h2").agg(F.min("place").alias("first"), F.count("*").alias("copies")))
+    known = written(lines.select("place", "h", "h2"))
+    classes = written(known.groupBy("h", "h2").agg(F.min("place").alias("first"), F.count("*").alias("copies")))
     total = classes.agg(F.sum("copies")).first()[0] or 0
     heavy = classes.where(F.col("copies") > max(1.0, total * HEAVY)).select("h", "h2", F.col("first").alias("only"))
     compared = lines.where("line IS NOT NULL").join(F.broadcast(heavy), ["h", "h2"], "left").where("only IS NULL OR only = place")
-    sets = _with_tokens(compared, "h").select("h", F.size("tokens").alias("n"), "tokens")
-    partnered = written(sharing(sets.select("h", "n", F.slice("tokens", F.lit(1), searched(F.col("n"))).alias("tokens"))))
+    partnered = written(meeting(_prefixes(compared)))
     firsts = classes.join(small(partnered), "h", "left_semi").select("h", "h2", "first")
     firsts = written(firsts.withColumn("key", F.monotonically_increasing_id()))
-    seen = lines.where("line IS NOT NULL").join(small(firsts), ["h", "h2"]).where("first = place").dropDuplicates(["key"])
-    matched = _matched(_with_tokens(seen, "key"), firsts.select("key", F.col("first").alias("place")))
+    matched = _matched(_with_tokens(_at_places(docs, firsts), "key"), firsts.select("key", F.col("first").alias("place")))
     matched = written(firsts.join(small(written(matched)), "key").select("h", "h2", F.lit(True).alias("whole")))
     hit = (
         classes.join(small(matched), ["h", "h2"], "left")
         .where("copies > 1 OR whole")
         .select("h", "h2", F.when(F.col("whole").isNull(), F.col("first")).alias("stays"))
     )
-    gone = lines.select("h", "h2", "place").join(small(written(hit)), ["h", "h2"]).where("stays IS NULL OR stays <> place")
+    gone = known.join(small(written(hit)), ["h", "h2"]).where("stays IS NULL OR stays <> place")
     return gone.groupBy("place.doc_id", "place.row").agg(F.sort_array(F.collect_set("place.line_no")).alias("lines"))
 
 

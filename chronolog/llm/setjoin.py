@@ -33,6 +33,11 @@ def searched(n: Column) -> Column:
     return prefix_size(n, _asked(n))
 
 
+def listed(n: Column) -> Column:
+    """How many tokens the prefix pass lists of a set of at most n."""
+    return (F.floor(n / 4) + _asked(n)).cast("int")
+
+
 def similar(overlap: Column, a: Column, b: Column) -> Column:
     return 7 * overlap >= 3 * (a + b)
 
@@ -64,6 +69,26 @@ def sharing(sets: DataFrame) -> DataFrame:
     return met.groupBy("h", "n").count().where(F.col("count") >= _asked(least_overlap(F.col("n")))).select("h").distinct()
 
 
+def meeting(rows: DataFrame) -> DataFrame:
+    """As ``sharing``, for rows ``(h, least, most, token)`` of sets whose sizes are known by bounds only.
+
+    A set lists its first tokens in one order of all tokens, ``listed(most)`` different ones or all it has.
+    """
+    rows = rows.withColumn("token", F.shiftrightunsigned("token", 16))
+    by_size = Window.partitionBy("token").orderBy("least", "h")
+    before = by_size.rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.select(
+        "h", "least", "most",
+        F.lag("h").over(by_size).alias("h_below"), F.max("most").over(before).alias("below"),
+        F.lead("h").over(by_size).alias("h_above"), F.lead("least").over(by_size).alias("above"),
+    )
+    # rows of one h lie together: its first one tells of the sets below, its last one of those above
+    near_below = (F.col("h_below") != F.col("h")) & (4 * F.col("below") >= 3 * F.col("least"))
+    near_above = (F.col("h_above") != F.col("h")) & (3 * F.col("above") <= 4 * F.col("most"))
+    met = seen.where(near_below | near_above)
+    return met.groupBy("h", "least").count().where(F.col("count") >= _asked(least_overlap(F.col("least")))).select("h").distinct()
+
+
 def by_rarity(sets: DataFrame) -> DataFrame:
     """``sets(key, tokens)`` as ``(key, n, shared)``: tokens of two sets or more, rarest first.
 

@@ -587,6 +587,37 @@ def test_line_dedup_short_lines(spark):
     assert found == expected and [found[k][0] for k in range(6)] == [0, 3, 1, 0, 0, 2]
 
 
+def test_line_dedup_prefixes(spark):
+    from pyspark.sql import functions as F
+
+    from chronolog.llm import setjoin
+
+    rng = random.Random(12)
+    lines = []
+    for k in range(150):
+        w = [rng.choice("abcd" if k % 3 else "abcdefghijklmnop") for _ in range(rng.randrange(5, 60))]
+        other = list(w)
+        for _ in range(rng.randrange(4)):
+            other[rng.choice([0, -1, rng.randrange(len(w))])] = "x"
+        lines += [w, other + other[: rng.randrange(5)], w + w]
+    lines = sorted({"\t ".join(w) if len(w) % 2 else " ".join(w) for w in lines})
+    sets = [shingles(line) for line in lines]
+    rows = line_dedup._prefixes(spark.createDataFrame(list(enumerate(lines)), "h bigint, line string"))
+    sized = rows.groupBy("h", "least", "most").agg(F.countDistinct("token").alias("n"), F.any_value(setjoin.listed(F.col("most"))).alias("listed"))
+    listed = {r["h"]: r for r in sized.collect()}
+    assert len(listed) == len(lines)
+    for k, s in enumerate(sets):
+        r = listed[k]
+        assert r["least"] <= len(s) <= r["most"] and min(len(s), r["listed"]) <= r["n"] <= len(s)
+    assert sum(r["n"] for r in listed.values()) < sum(map(len, sets))
+    near = {a for a, s in enumerate(sets) for b, o in enumerate(sets) if a != b and 7 * len(s & o) >= 3 * (len(s) + len(o))}
+    met = {r["h"] for r in setjoin.meeting(rows).collect()}
+    assert near <= met and near and len(met) < len(lines)
+    repeats = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(lines)], DOCS)
+    gone = {r["doc_id"] for r in line_dedup.dedup_lines(repeats).where("removed_lines > 0").collect()}
+    assert gone == {a for a in near if any(7 * len(sets[a] & o) >= 3 * (len(sets[a]) + len(o)) for o in sets[:a])}
+
+
 # 9 -------------------------------------------------------------------------------------------------
 
 
