@@ -76,9 +76,14 @@ def _prefixes(lines: DataFrame) -> DataFrame:
     least = F.size("order")
     last = F.element_at("order", F.least(least, listed(F.col("most"))))
     rows = rows.select("h", "most", "p", pinned(least).alias("least"), pinned(last).alias("last"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("most") - 1)).alias("i")).where(F.get("p", F.col("i")) <= F.col("last"))
-    token = F.xxhash64(F.get("p", F.col("i")), F.get("p", F.col("i") + 2), F.get("p", F.col("i") + 3))
-    return rows.select("h", "least", "most", token.alias("token"))
+    at = lambda k: F.get("p", k.cast("int"))
+    token = lambda i: F.xxhash64(at(i), at(i + 2), at(i + 3))
+    # a line that repeats a pair may repeat a shingle: it lists each once, or "a a a ..." would be one token's many rows
+    places = F.sequence(F.lit(0).cast("bigint"), F.col("most").cast("bigint") - 1)
+    once = F.array_distinct(F.transform(F.filter(places, lambda i: at(i) <= F.col("last")), token))
+    repeats = F.col("least") < F.col("most")
+    rows = rows.select("*", F.explode(F.when(repeats, once).otherwise(places)).alias("e")).where(repeats | (at(F.col("e")) <= F.col("last")))
+    return rows.select("h", "least", "most", F.when(repeats, F.col("e")).otherwise(token(F.col("e"))).alias("token"))
 
 
 def _at_places(docs: DataFrame, firsts: DataFrame) -> DataFrame:

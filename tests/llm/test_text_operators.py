@@ -605,7 +605,7 @@ def test_line_dedup_prefixes(spark):
     rows = line_dedup._prefixes(spark.createDataFrame(list(enumerate(lines)), "h bigint, line string"))
     sized = rows.groupBy("h", "least", "most").agg(F.countDistinct("token").alias("n"), F.any_value(setjoin.listed(F.col("most"))).alias("listed"))
     listed = {r["h"]: r for r in sized.collect()}
-    assert len(listed) == len(lines)
+    assert len(listed) == len(lines) and rows.count() == rows.distinct().count()
     for k, s in enumerate(sets):
         r = listed[k]
         assert r["least"] <= len(s) <= r["most"] and min(len(s), r["listed"]) <= r["n"] <= len(s)
